@@ -98,7 +98,7 @@ def keyed_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """Each row's key with its group: ``_row_key, doc_id, digest, keep, group_size, kept``."""
     spark = df.sparkSession
     base = work_dir(spark, "exact-dedup")
-    keyed = with_row_key(df)
+    keyed = df if ROW_KEY in df.columns else with_row_key(df)
     texts = keyed.select(_first(doc_id).alias("entry"), normalised(F.col(text)).alias("norm"))
     texts = texts.select("entry", "norm", _digest(F.col("norm")).alias("digest"))
     keys = written(texts.select("entry", "digest"), f"{base}/keys")
@@ -130,5 +130,6 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    keep = keyed_groups(df, doc_id, text).where("kept").select(ROW_KEY)
-    return with_row_key(df).join(keep, ROW_KEY, "left_semi").drop(ROW_KEY)
+    keyed = with_row_key(df)
+    keep = keyed_groups(keyed, doc_id, text).where("kept").select(ROW_KEY)
+    return keyed.join(keep, ROW_KEY, "left_semi").drop(ROW_KEY)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +52,9 @@ def with_row_key(df: DataFrame) -> DataFrame:
     if ROW_KEY in df.columns:
         raise ValueError(f"column {ROW_KEY} is reserved")
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    if "_metadata" not in df.columns:
-        try:
-            return df.select("*", place.alias(ROW_KEY))
-        except AnalysisException:
-            pass
-        df = written(df, work_dir(df.sparkSession, "rows"))
-        return df.select("*", place.alias(ROW_KEY))
-    names = df.columns
-    safe = df.toDF(*[f"c{i}" for i in range(len(names))])
-    safe = written(safe, work_dir(df.sparkSession, "rows"))
-    return safe.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], place.alias(ROW_KEY))
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput().mkString(" ")
+    if "_metadata" in df.columns or not hidden.startswith("_metadata#"):
+        names = df.columns
+        plain = written(df.toDF(*[f"c{i}" for i in range(len(names))]), work_dir(df.sparkSession, "rows"))
+        return plain.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], place.alias(ROW_KEY))
+    return df.select("*", place.alias(ROW_KEY))
