@@ -78,6 +78,10 @@ LABELLED = np.array(
         (110, 0.0, 6, 0.0, 90, 0.0, 1, 1, 0, 0, 0), (40, 0.2, 2, 1.0, 60, 0.0, 1, 0, 0, 0, 0), (1, 0.0, 5, 0.0, 6, 0.0, 1, 0, 0, 0, 0),
     ]
 )
+#: Each block of main text once more, enclosed by what isn't main text.
+_TWINS = LABELLED[LABELLED[:, -1] == 1].copy()
+_TWINS[:, FEATURES.index("boilerplate")], _TWINS[:, -1] = 1, 0
+LABELLED = np.concatenate([LABELLED, _TWINS])
 
 
 @dataclass
