@@ -63,6 +63,8 @@ LABELLED = np.array(
         # main text on pages without an article element
         (60, 0.0, 10, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (25, 0.04, 70, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (14, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
         (7, 0.0, 55, 0.0, 45, 0.0, 0, 0, 1, 0, 1), (9, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 0, 1), (40, 0.2, 8, 0.0, 3, 0.9, 0, 0, 0, 0, 1),
+        (3, 0.0, 1, 1.0, 40, 0.0, 0, 0, 1, 0, 1), (2, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 30, 0.0, 35, 0.0, 0, 0, 1, 0, 1),
+        (2, 0.0, 45, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 20, 0.0, 55, 0.0, 0, 0, 0, 0, 1),
         (4, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 30, 0.0, 6, 0.0, 0, 0, 0, 1, 1), (16, 0.1, 20, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
         # menus, link lists and teasers outside
         (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 0), (2, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1, 0), (3, 1.0, 1, 1.0, 20, 0.0, 0, 0, 0, 0, 0),
@@ -78,10 +80,19 @@ LABELLED = np.array(
         (110, 0.0, 6, 0.0, 90, 0.0, 1, 1, 0, 0, 0), (40, 0.2, 2, 1.0, 60, 0.0, 1, 0, 0, 0, 0), (1, 0.0, 5, 0.0, 6, 0.0, 1, 0, 0, 0, 0),
     ]
 )
-#: Each block of main text once more, enclosed by what isn't main text.
-_TWINS = LABELLED[LABELLED[:, -1] == 1].copy()
-_TWINS[:, FEATURES.index("boilerplate")], _TWINS[:, -1] = 1, 0
-LABELLED = np.concatenate([LABELLED, _TWINS])
+
+
+def _twins(table: np.ndarray, which: np.ndarray, **change: float) -> np.ndarray:
+    out = table[which].copy()
+    for name, value in change.items():
+        out[:, FEATURES.index(name)] = value
+    out[:, -1] = 1 - out[:, -1]
+    return out
+
+
+# Each block of main text once more, enclosed by what isn't; and the plain text among the rest once more, in an article.
+_plain = (LABELLED[:, -1] == 0) & (LABELLED[:, FEATURES.index("boilerplate")] == 0) & (LABELLED[:, FEATURES.index("link_density")] < 0.5)
+LABELLED = np.concatenate([LABELLED, _twins(LABELLED, LABELLED[:, -1] == 1, boilerplate=1), _twins(LABELLED, _plain, in_article=1)])
 
 
 @dataclass
