@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Set
 
 import numpy as np
 
 #: Words remembered by a worker; then it starts anew.
 CACHE_WORDS = 500_000
 _ODD = re.compile("[\x1c-\x1f]")
+#: Latin letters that are one code point in any normal form, then marks.
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
 _PLAIN_SPACE = re.compile("[ \t\r\n]+")
 
 
@@ -33,7 +35,13 @@ def words_of(text: str) -> list[str]:
 
 
 class WordTokens(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes."""
+    """word -> its ids as little-endian unsigned 32-bit bytes.
+
+    A word of Latin letters and marks after them is two pieces to the
+    tokenizer, so the letters (in lower case, as the tokenizer has them) and
+    the marks are looked up apart. Letters alone end in exactly one token with
+    the end-of-word suffix, which tells the words of a long call apart again.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -41,38 +49,47 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.mark, self.mark_id = self._mark()
+        vocabulary = self.of.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cores: dict[str, bytes] = {}
 
-    def _mark(self) -> tuple[str, int]:
-        """A character that is one token by itself, to stand between words."""
-        for x in map(chr, range(0xA1, 0x2000)):
-            ids = self.of.encode(f"a {x} b", add_special_tokens=False).ids
-            if len(ids) == 3 and not x.isalnum() and x.lower() == x:
-                return x, ids[1]
-        raise ValueError("no mark")
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = np.array(self.of.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if (m := _LATIN.fullmatch(word)) and (core := self.cores.get(m[1].lower())) is not None:
+            marks = m[2]
+            if not marks:
+                ids = core
+            else:
+                if (end := self.cores.get(marks)) is None:
+                    end = self.cores[marks] = self._whole(marks)
+                ids = core + end
+        else:
+            ids = self._whole(word)
+        self[word] = ids
         return ids
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Look up new words, a thousand to a call."""
-        new = [w for w in words if w not in self and self.mark not in w and "<|" not in w]
+    def learn(self, words: Set[str]) -> None:
+        """Look up the letters of new words, a thousand to a call."""
+        new = words - self.keys()
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-        chunks = [new[i : i + 1000] for i in range(0, len(new), 1000)]
-        joined = [f" {self.mark} ".join(c) for c in chunks]
-        for chunk, e in zip(chunks, self.of.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            self.cores.clear()
+        cores = list({m[1].lower() for m in map(_LATIN.fullmatch, new) if m} - self.cores.keys())
+        chunks = [cores[i : i + 1000] for i in range(0, len(cores), 1000)]
+        for chunk, e in zip(chunks, self.of.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self.mark_id))
-            if len(parts) != len(chunk) or any((p[1:] == self.mark_id).any() for p in parts):
-                continue  # looked up one by one when they are met
-            for k, (w, p) in enumerate(zip(chunk, parts, strict=True)):
-                self[w] = (p if k == 0 else p[1:]).tobytes()
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) != len(chunk):
+                continue  # such words are looked up one by one when they are met
+            whole = ids.tobytes()
+            self.cores.update(zip(chunk, [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [words_of(t) for t in texts]
-        self.learn(set().union(*split) if split else ())
+        self.learn(set().union(*split))
         return [b"".join(map(self.__getitem__, w)) for w in split]
 
 
