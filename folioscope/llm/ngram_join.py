@@ -4,8 +4,9 @@ The incidence matrix is never multiplied whole. Columns are ordered from rare
 to frequent by estimated document frequency; two sets can only reach the
 threshold if they share one of the first ``n - ceil(t * n) + 1`` columns of
 each, a bound that follows from the sizes alone. Those columns are dealt out
-by n-gram, and neighbours in each column (by size, where sizes allow a link)
-join clusters. Within a cluster the product is taken block by block over all
+by n-gram. Overlap counts of pairs accumulate over the columns of few sets, and
+pairs below a bound derived from their sizes are discarded; in longer columns
+neighbours by size hold together. What is left forms clusters. Within a cluster the product is taken block by block over all
 columns: overlap counts accumulate column chunk by column chunk, and pairs
 below the bound of their sizes are discarded. Large clusters are split into
 blocks of bounded bytes, each pair of blocks being a task of its own.
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,14 +164,86 @@ def _sets(docs: DataFrame, k: int, percent: int, levels: np.ndarray, base: str)
     return written(docs.mapInArrow(build, schema), f"{base}/sets")
 
 
+def _bounds(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """How many leading columns two sets that link must share, by their sizes.
+
+    The overlap must reach ``percent / (100 + percent)`` of both sizes together.
+    Beyond the shared leading columns it can't be more than what follows the
+    leading columns of one of the two.
+    """
+    least = -(-percent * (n_a + n_b) // (100 + percent))
+    rest = (percent * np.maximum(n_a, n_b) + 99) // 100 - 1
+    return np.maximum(1, least - rest)
+
+
+#: Columns of at most so many classes are counted pair by pair.
+FEW = 32
+#: The count of a pair that stays together without one.
+_ALWAYS = 1 << 40
+
+
+def _near(percent: int):
+    """Sorted postings (h, n, cid) -> pairs (a, b, shared, need) of each column.
+
+    A column of few classes gives all its pairs, to be counted; a longer one
+    only links neighbours by size, which holds together all its classes whose
+    sizes allow a link. Neither keeps more than a batch and FEW rows.
+    """
+
+    def pairs_of(n: np.ndarray, cid: np.ndarray, i: np.ndarray, j: np.ndarray, shared: int) -> pa.RecordBatch:
+        ok = (100 * n[i] >= percent * n[j]) & (cid[i] != cid[j])  # n[i] <= n[j]
+        i, j = i[ok], j[ok]
+        need = _bounds(n[i], n[j], percent)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j])), pa.array(np.full(len(i), shared, np.int64)), pa.array(need)],
+            names=["a", "b", "shared", "need"],
+        )
+
+    def all_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [], []
+        for c in range(2, FEW + 1):
+            at = starts[sizes == c]
+            if len(at):
+                i, j = np.triu_indices(c, 1)
+                left.append((at[:, None] + i).ravel())
+                right.append((at[:, None] + j).ravel())
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int),) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3  # the column that the last batch ended in
+        long = False  # it is a long one, of which only the last row is held
+        for batch in batches:
+            h, n, cid = (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, batch.columns, strict=True))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])  # copies of one class
+            h, n, cid = h[new], n[new], cid[new]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            sizes = np.diff(np.append(starts, len(h)))
+            many = sizes > FEW
+            many[0] |= long
+            whole = ~many
+            whole[-1] = False
+            chain = np.repeat(many, sizes)
+            at = np.flatnonzero(chain[1:] & (h[1:] == h[:-1]))
+            yield pairs_of(n, cid, at, at + 1, _ALWAYS)
+            yield pairs_of(n, cid, *all_pairs(starts[whole], sizes[whole]), 1)
+            long = bool(many[-1])
+            first = len(h) - 1 if long else starts[-1]
+            held = [h[first:], n[first:], cid[first:]]
+        if len(held[0]) > 1:
+            yield pairs_of(held[1], held[2], *all_pairs(np.array([0]), np.array([len(held[0])])), 1)
+
+    return run
+
+
 def _clusters(sets: DataFrame, percent: int, base: str) -> DataFrame:
-    """``cid, cluster`` of all classes that share a leading column with another of near size."""
-    postings = sets.select("cid", "n", F.explode("lead").alias("h"))
-    by = Window.partitionBy("h").orderBy("n", "cid")
-    near = postings.select("cid", "n", F.lag("cid").over(by).alias("before"), F.lag("n").over(by).alias("n_before"))
-    linked = near.where((F.col("before") != F.col("cid")) & (F.col("n_before") * 100 >= F.col("n") * percent))
-    edges = written(linked.select(F.col("before").alias("u"), F.col("cid").alias("v")).distinct(), f"{base}/near")
-    return written(components(edges).select(F.col("node").alias("cid"), F.col("component").alias("cluster")), f"{base}/clusters")
+    """``cid, cluster`` of all classes that may link with another."""
+    postings = sets.select(F.explode("lead").alias("h"), "n", "cid")
+    dealt = postings.repartition("h").sortWithinPartitions("h", "n", "cid")
+    pairs = dealt.mapInArrow(_near(percent), "a long, b long, shared long, need long")
+    able = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
+    edges = written(able.select("a", "b"), f"{base}/near")
+    return written(components(edges, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("cluster")), f"{base}/clusters")
 
 
 def _slot(key: str) -> Column:

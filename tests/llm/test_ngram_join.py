@@ -53,6 +53,17 @@ def test_matches_brute_force(spark, seed, limits):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_long_columns_and_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = some_rows(4, 120)
+        got = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_null_ids_clashing_columns_and_repeated_rows(spark):
     same = " ".join(f"x{i}" for i in range(20))
     rows = [(None, same, 1), (7, same, 2), (7, same, 2), (None, None, 3), (8, "", 4)]
