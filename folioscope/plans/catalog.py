@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import prose_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**prose_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**prose_queries.ORACLE_SQL}
