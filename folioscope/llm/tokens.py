@@ -73,11 +73,13 @@ class WordTokens(dict):
 
     def learn(self, words: Set[str]) -> None:
         """Look up the letters of new words, a thousand to a call."""
-        new = words - self.keys()
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             self.cores.clear()
-        cores = list({m[1].lower() for m in map(_LATIN.fullmatch, new) if m} - self.cores.keys())
+            new = list(words)
+        letters = {m[1].lower() for m in map(_LATIN.fullmatch, new) if m}
+        cores = [c for c in letters if c not in self.cores]
         chunks = [cores[i : i + 1000] for i in range(0, len(cores), 1000)]
         for chunk, e in zip(chunks, self.of.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
