@@ -104,9 +104,24 @@ def activities(lines: DataFrame, key: str) -> DataFrame:
 
 
 def later_than(commits: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc, later``: how many commits come after each document's date (a range join)."""
-    hit = docs.join(commits, F.col("committed") > F.col("reviewed"), "left")
-    return hit.groupBy("doc").agg(F.count("committed").alias("later"))
+    """``doc, later``: how many commits come after each document's date.
+
+    Commits of the same day are counted in order, those of later days by cumulative
+    sums over days; no pair of a document and a commit is made.
+    """
+    kind = docs.schema["doc"].dataType
+    dated = docs.select("doc", F.col("reviewed").cast("timestamp").alias("at"), F.lit(0).alias("commit"))
+    made = commits.select(F.lit(None).cast(kind).alias("doc"), F.col("committed").cast("timestamp").alias("at"), F.lit(1).alias("commit"))
+    both = dated.unionByName(made).where("at IS NOT NULL").withColumn("day", F.to_date("at"))
+    # of rows at the same instant documents come first, so those commits don't count
+    in_order = Window.partitionBy("day").orderBy(F.desc("at"), "commit").rowsBetween(Window.unboundedPreceding, 0)
+    same_day = both.withColumn("same", F.sum("commit").over(in_order)).where("commit = 0")
+    days = both.groupBy("day").agg(F.sum("commit").alias("n"))  # a row a day
+    after = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("day", F.coalesce(F.sum("n").over(after), F.lit(0)).alias("rest"))
+    found = same_day.join(days, "day").select("doc", (F.col("same") + F.col("rest")).alias("later"))
+    undated = docs.where("reviewed IS NULL").select("doc", F.lit(0).cast("long").alias("later"))
+    return found.unionByName(undated).groupBy("doc").agg(F.sum("later").alias("later"))
 
 
 def redundant_rules(rules: DataFrame, key: str, text: str) -> DataFrame:
