@@ -230,6 +230,28 @@ def indirect_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reverse_reach(_edges(spark, sf_dir), changed)
 
 
+# the same over all of lineitem; the SQL of the two above reads a part of it
+
+_ALL_EDGES = "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem"
+
+
+def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+
+
+@query(f"WITH e AS ({_ALL_EDGES}) SELECT src, count(DISTINCT dst) AS out_degree FROM e GROUP BY src HAVING count(DISTINCT dst) > 2")
+def hub_modules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.hubs(_all_edges(spark, sf_dir), 2)
+
+
+@query(f"""WITH e0 AS ({_ALL_EDGES}), h AS (SELECT src FROM e0 GROUP BY src HAVING count(DISTINCT dst) > 15), e AS (SELECT * FROM e0 WHERE src NOT IN (SELECT src FROM h)), c AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 1),
+    h1 AS (SELECT DISTINCT src AS node FROM e WHERE dst IN (SELECT node FROM c)), h2 AS (SELECT DISTINCT src AS node FROM e WHERE dst IN (SELECT node FROM h1))
+    SELECT node, CAST(min(hops) AS BIGINT) AS hops FROM (SELECT node, 1 AS hops FROM h1 UNION ALL SELECT node, 2 FROM h2) WHERE node NOT IN (SELECT node FROM c) GROUP BY node""")
+def indirect_impact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = _t(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("node"))
+    return graph.reverse_reach(_all_edges(spark, sf_dir), changed)
+
+
 IMPORTS = Inline("imports", "src string, dst string", (("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "e"), ("e", "f"), ("f", "b"), ("a", "b")))
 
 
