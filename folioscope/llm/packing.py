@@ -3,35 +3,40 @@
 Only lengths matter to a packing, and there are at most ``capacity`` of them,
 so the plan is made over the histogram of piece lengths: bins with equal
 contents are one entry with a count. Best fit in decreasing order gives the
-first plan. Local search then takes the emptiest bin and moves its pieces into
+first plan. Local search then takes the emptiest bins and moves their pieces into
 other underfull bins, or exchanges one for one or two for one, whenever that
-increases the sum of squared fills, until the bin is empty or nothing helps.
-The plan's size depends on the number of different lengths and not on the
-number of documents; pieces find their place by their rank within their length.
-
-Defined results: null and empty texts are the end id alone; repeated rows are
-packed once each; an empty table gives an empty result.
+increases the sum of squared fills, until bins are empty or nothing helps; equal
+bins change together. The plan is made on the driver: it holds a row for each
+different content of a bin, not for each document. It is written as a table, and
+pieces find their place there by their length and their rank within it.
+
+Defined results: null and empty texts are the end id alone; a text longer than a
+sequence is cut into pieces, each packed by itself; ties between equal lengths go
+by task and row; repeated rows are packed once each; other columns, whatever
+their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rows import work_dir, written
 from .tokens import default_path, tokens
 
-Bins = dict[tuple[int, ...], int]
-#: Steps of local search; each changes two bins and raises the squared fill.
-SEARCH_STEPS = 20_000
+Contents = tuple[int, ...]
+Bins = dict[Contents, int]
+#: Pieces that a row of the written plan places at most.
+PLACED = 1 << 16
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
@@ -69,84 +74,131 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
 
 
 class _Underfull:
-    """Underfull bins by room, and which rooms hold a given length."""
-
-    def __init__(self, bins: Bins, capacity: int):
-        self.bins, self.capacity = Counter(bins), capacity
-        self.rooms: dict[int, dict[tuple[int, ...], None]] = {}
-        for c in self.bins:
-            self._note(c)
+    """Bins with room, which of them gives next, and what they could take in.
 
-    def _note(self, c: tuple[int, ...]) -> None:
-        self.rooms.setdefault(self.capacity - sum(c), {})[c] = None
+    A bin with room ``r`` that gives up ``y`` (no piece, one or two of them) can
+    take a longer piece of at most ``y + r``. By that ``reach`` the bins are kept,
+    the least ``y`` of each reach on top; entries of bins that are gone are
+    passed over when they come up.
+    """
 
-    def take(self, c: tuple[int, ...]) -> None:
-        self.bins[c] -= 1
+    def __init__(self, bins: Bins, capacity: int):
+        self.capacity, self.full, self.bins, self.n = capacity, Counter(), Counter(), 0
+        self.reach: list[list[tuple[int, int, Contents, Contents]]] = [[] for _ in range(capacity + 1)]
+        self.least = np.full(2 * capacity + 1, capacity + 1)
+        self.listed: set[Contents] = set()
+        self.donors: list[tuple[int, int, Contents]] = []
+        self.number = 0
+        for c, n in bins.items():
+            self.add(c, n)
+
+    def take(self, c: Contents, n: int) -> None:
+        self.n -= n
+        self.bins[c] -= n
         if not self.bins[c]:
             del self.bins[c]
-            room = self.capacity - sum(c)
-            del self.rooms[room][c]
-            if not self.rooms[room]:
-                del self.rooms[room]
 
-    def add(self, c: tuple[int, ...]) -> None:
-        if c:
-            c = tuple(sorted(c, reverse=True))
-            self.bins[c] += 1
-            self._note(c)
-
-    def emptiest(self) -> tuple[int, ...]:
-        return next(iter(self.rooms[max(self.rooms)]))
-
-
-def _without(c: tuple[int, ...], *sizes: int) -> tuple[int, ...]:
+    def add(self, c: Contents, n: int) -> None:
+        if not c:
+            return
+        self.n += n
+        c = tuple(sorted(c, reverse=True))
+        room = self.capacity - sum(c)
+        if not room:
+            self.full[c] += n
+            return
+        if c not in self.bins:
+            self.gives(c)
+            if c not in self.listed:
+                self.listed.add(c)
+                sizes = sorted(set(c))
+                outs = [()] + [(y,) for y in sizes] + [(y, z) for k, y in enumerate(sizes) for z in sizes[k:] if y != z or c.count(y) > 1]
+                for y, out in {sum(out): out for out in reversed(outs)}.items():
+                    self.number += 1
+                    heapq.heappush(self.reach[room + y], (y, self.number, c, out))
+                    self.least[room + y] = self.reach[room + y][0][0]
+        self.bins[c] += n
+
+    def gives(self, c: Contents) -> None:
+        self.number += 1
+        heapq.heappush(self.donors, (sum(c), self.number, c))
+
+    def emptiest(self) -> Contents | None:
+        while self.donors:
+            c = heapq.heappop(self.donors)[2]
+            if c in self.bins:
+                return c
+        return None
+
+    def taker(self, x: int, donor: Contents) -> tuple[Contents, Contents] | None:
+        """The bin that ``x`` of the donor's fills up best, and what it gives up; it gets fuller than the donor is now."""
+        aside, found, room = [], None, self.capacity - sum(donor)
+        while not found and len(at := np.flatnonzero(self.least[x : x + room] < x)):
+            heap = self.reach[x + at[0]]
+            _, _, c, out = heap[0]
+            if c not in self.bins:
+                heapq.heappop(heap)
+                self.listed.discard(c)
+            elif c == donor and self.bins[c] == 1:
+                aside.append((x + at[0], heapq.heappop(heap)))
+            else:
+                found = c, out
+            self.least[x + at[0]] = heap[0][0] if heap else self.capacity + 1
+        for reach, entry in aside:
+            heapq.heappush(self.reach[reach], entry)
+            self.least[reach] = self.reach[reach][0][0]
+        return found
+
+
+def _without(c: Contents, *sizes: int) -> Contents:
     left = list(c)
     for s in sizes:
         left.remove(s)
     return tuple(left)
 
 
-def _step(u: _Underfull, donor: tuple[int, ...]) -> bool:
-    """One move or exchange that fills another bin from the donor, if any."""
-    u.take(donor)
-    rooms = sorted(u.rooms)
-    for x in donor:  # move: into the tightest bin
-        at = bisect.bisect_left(rooms, x)
-        if at < len(rooms):
-            other = next(iter(u.rooms[rooms[at]]))
-            u.take(other)
-            u.add((*other, x))
-            u.add(_without(donor, x))
+def _step(u: _Underfull, donor: Contents) -> bool:
+    """One move or exchange from the donor that raises the squared fill, for all equal bins at once; False if there is none."""
+    for x in dict.fromkeys(donor):
+        if found := u.taker(x, donor):
+            other, out = found
+            n = u.bins[donor] // 2 if other == donor else min(u.bins[donor], u.bins[other])
+            u.take(donor, n)
+            u.take(other, n)
+            u.add((*_without(other, *out), x), n)
+            u.add((*_without(donor, x), *out), n)
+            if donor in u.bins:
+                u.gives(donor)
             return True
-    fill = sum(donor)
-    for x in dict.fromkeys(donor):  # exchange x for one smaller, or for two together smaller
-        for room in rooms:
-            if not room:
-                continue
-            for other in list(u.rooms[room])[:64]:
-                sizes = sorted(set(other))
-                single = [(y,) for y in sizes if x - room <= y < x]
-                double = [(y, z) for k, y in enumerate(sizes) for z in sizes[k:] if x - room <= y + z < x and (y != z or other.count(y) > 1)]
-                for out in sorted(single + double, key=sum):
-                    gain = x - sum(out)
-                    if gain + u.capacity - room > fill:  # squared fill rises
-                        u.take(other)
-                        u.add((*_without(other, *out), x))
-                        u.add((*_without(donor, x), *out))
-                        return True
-    u.add(donor)
     return False
 
 
-def local_search(bins: Bins, capacity: int, steps: int = SEARCH_STEPS) -> Bins:
-    """Move and exchange pieces between underfull bins until bins empty or nothing helps."""
+def local_search(bins: Bins, capacity: int) -> Bins:
+    """Move and exchange pieces between underfull bins until bins empty or nothing helps.
+
+    Each step changes all equal pairs of bins and raises the sum of squared
+    fills, so the search ends; it ends at once at the least number of bins that
+    the lengths allow. The emptiest bins give first; those that can't improve
+    anything try again after others did, until none can.
+    """
     total = sum(sum(c) * n for c, n in bins.items())
     least = -(-total // capacity)
     u = _Underfull(bins, capacity)
-    for _ in range(steps):
-        if sum(u.bins.values()) <= least or not _step(u, u.emptiest()):
-            break
-    return dict(u.bins)
+    stuck: list[Contents] = []
+    better = False
+    while u.n > least:
+        donor = u.emptiest()
+        if donor is None:
+            if not better:
+                break
+            for c in stuck:
+                u.gives(c)
+            stuck, better = [], False
+        elif _step(u, donor):
+            better = True
+        else:
+            stuck.append(donor)
+    return dict(u.full + u.bins)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[Bins, dict[int, tuple[np.ndarray, ...]]]:
@@ -170,6 +222,28 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[Bins, dict[int, tupl
     return bins, {k: tuple(np.array(v, np.int64).T) for k, v in rows.items()}
 
 
+def _places(spark: SparkSession, histogram: dict[int, int], capacity: int, base: str) -> DataFrame:
+    """``length, rank, sequence_id, offset`` of every piece, from the written plan."""
+    _, where = plan(histogram, capacity)
+    parts = []
+    for size, (ranks, firsts, each, offsets) in where.items():
+        n = np.diff(np.append(ranks, histogram[size]))
+        cuts = -(-n // PLACED)
+        part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        row = np.repeat(np.arange(len(n)), cuts)
+        parts.append(np.stack([np.full(len(row), size), ranks[row], firsts[row], each[row], offsets[row], part * PLACED, np.minimum(n[row], (part + 1) * PLACED)]))
+    names = ["length", "first", "sequence", "each", "at", "begin", "end"]
+    columns = np.concatenate(parts, axis=1) if parts else np.empty((len(names), 0), np.int64)
+    table = pa.table({x: pa.array(c) for x, c in zip(names, columns.astype(np.int64), strict=True)})
+    # dealt with its own columns as key: an equal share of rows, not of pieces, each
+    rows = written(spark.createDataFrame(table), f"{base}/plan").repartition("length", "first", "begin")
+    piece = rows.select("*", F.explode(F.sequence("begin", F.col("end") - 1)).alias("k"))
+    sequence = F.col("sequence") + F.floor(F.col("k") / F.col("each"))
+    return piece.select(
+        "length", (F.col("first") + F.col("k")).alias("rank"), sequence.cast("long").alias("sequence_id"), (F.col("at") + F.col("k") % F.col("each") * F.col("length")).alias("offset")
+    )
+
+
 def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces of every text: ``doc_id, piece, start, length, ids_crc32[, ids], task, number``.
 
@@ -220,26 +294,10 @@ def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     cut = written(pieces(df, doc_id, text, capacity, end_id, tokenizer, with_ids), f"{base}/pieces")
     counts = written(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), f"{base}/counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a length
-    _, where = plan(histogram, capacity)
-    shared = spark.sparkContext.broadcast(where)
+    places = _places(spark, histogram, capacity, base)
     by_task = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum("n").over(by_task) - F.col("n")
     ranked = cut.join(counts.select("length", "task", before.alias("before")), ["length", "task"])
     out = [f.name for f in cut.schema.fields if f.name not in ("task", "number")]
     rows = ranked.select(*out, (F.col("before") + F.col("number")).alias("rank"))
-    schema = T.StructType([*[cut.schema[n] for n in out], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column(out.index("length")).to_numpy(), batch.column(len(out)).to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for size in np.unique(length):
-                at = np.flatnonzero(length == size)
-                ranks, firsts, each, offsets = shared.value[int(size)]
-                k = np.searchsorted(ranks, rank[at], side="right") - 1
-                own = rank[at] - ranks[k]
-                sequence[at] = firsts[k] + own // each[k]
-                offset[at] = offsets[k] + own % each[k] * size
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[f.name for f in schema.fields])
-
-    return rows.mapInArrow(place, schema)
+    return rows.join(places, ["length", "rank"]).select(*out, "sequence_id", "offset")

@@ -61,6 +61,42 @@ def test_local_search_empties_bins():
     assert sum(packing.local_search(start, 10).values()) == 2
 
 
+def test_local_search_doesnt_depend_on_the_number_of_bins():
+    for k in (1, 1000, 1_000_000):
+        assert sum(packing.local_search({(5, 3): k, (4, 3): k, (3, 2): k}, 10).values()) == 2 * k
+
+
+def test_local_search_keeps_pieces_and_never_adds_bins():
+    r = random.Random(6)
+    for _ in range(60):
+        capacity = r.choice([10, 30, 200])
+        histogram = {r.randint(1, capacity - 1): r.randint(1, 50) for _ in range(r.randint(1, 25))}
+        before = packing.best_fit(histogram, capacity)
+        after = packing.local_search(before, capacity)
+        used = {}
+        for c, n in after.items():
+            assert sum(c) <= capacity
+            for x in c:
+                used[x] = used.get(x, 0) + n
+        assert used == histogram and sum(after.values()) <= sum(before.values())
+
+
+def test_plan_rows_place_each_piece_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PLACED", 7)
+    histogram = {10: 5, 6: 40, 3: 33, 1: 90}
+    got = packing._places(spark, histogram, 10, packing.work_dir(spark, "places")).collect()
+    assert sorted((g.length, g.rank) for g in got) == sorted((k, i) for k, n in histogram.items() for i in range(n))
+    by = {}
+    for g in got:
+        by.setdefault(g.sequence_id, []).append((g.offset, g.length))
+    for at in by.values():
+        end = 0
+        for offset, length in sorted(at):
+            assert offset == end
+            end += length
+        assert end <= 10
+
+
 def test_query_against_the_tokenizer(spark):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(["the", "Éa", "x9", "don't", "w" * 30]) for _ in range(r.choice([0, 1, 9, 300, 3000])))) for i in range(60)]
