@@ -8,21 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Name of the row key column; operators refuse inputs that already have it.
+#: Name of the row key column.
 ROW_KEY = "_row_key"
+#: Row keys that are sent to all tasks at most: some 64 MB.
+BROADCAST_ROWS = 1_000_000
+#: Keys that ``spread_join`` treats apart at most, and the least rows of one.
+HOT_KEYS, LEAST_HOT = 10_000, 256
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the session's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` names a folder that the driver and all executors
-    share. Only where it is unset (tests, local mode) a temporary one is used.
+    share. Only where it is unset in local mode (tests) a temporary one is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = set_before.get() if set_before.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/folioscope-{name}-{uuid.uuid4().hex[:12]}"
@@ -35,26 +41,63 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a work folder that nothing reads any more."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def with_row_key(df: DataFrame) -> DataFrame:
     """Add ``_row_key``, which tells rows apart even if their ids repeat.
 
-    For file sources that know it, the key is the file and the row's place in
-    it, stable under re-execution. Any other input is written to the shared
-    folder first, so that it has such places.
+    For file sources that know it, the key is the file (64 bits of a hash of its
+    path) and the row's place in it, stable under re-execution. Any other input
+    is written to the shared folder first, so that it has such places. Of other
+    columns none may have the name of the key; ``numbered`` makes sure of that.
     """
     if ROW_KEY in df.columns:
         raise ValueError(f"column {ROW_KEY} is reserved")
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     hidden = df._jdf.queryExecution().analyzed().metadataOutput().mkString(" ")
     if "_metadata" in df.columns or not hidden.startswith("_metadata#"):
-        names = df.columns
-        plain = written(df.toDF(*[f"c{i}" for i in range(len(names))]), work_dir(df.sparkSession, "rows"))
-        return plain.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], place.alias(ROW_KEY))
+        plain, names = numbered(df)
+        kept = written(plain, work_dir(df.sparkSession, "rows"))
+        return kept.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], place.alias(ROW_KEY))
     return df.select("*", place.alias(ROW_KEY))
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named by number, and their names: no name clashes with one of ours."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), df.columns
+
+
+def named(df: DataFrame, names: list[str]) -> DataFrame:
+    """The numbered columns alone, under their names again."""
+    return df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose key is not among ``dropped``, a written table.
+
+    Up to BROADCAST_ROWS keys are sent to the rows, which then need no shuffle;
+    beyond that both sides are shuffled.
+    """
+    few = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return keyed.join(F.broadcast(dropped) if few else dropped, ROW_KEY, "left_anti")
+
+
+def among(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keyed`` joined with a written table of unique row keys, which is sent to the rows while it is small."""
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return keyed.join(F.broadcast(keys) if few else keys, ROW_KEY)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, by: str, how: str = "inner", least: int = LEAST_HOT) -> DataFrame:
+    """Join on a key that is unique in ``right``, without one task for a frequent key.
+
+    ``sizes`` (``key, n``, a written table) has the rows of ``left`` by key. Frequent
+    keys, at most HOT_KEYS of them at any size of the input, are broadcast; their
+    rows are dealt by ``by`` over copies of the right row. Null keys are dealt too.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    each = max(least, total // HOT_KEYS)
+    hot = F.broadcast(sizes.where(F.col("n") >= each).select(key, F.ceil(F.col("n") / each).cast("int").alias("_copies")))
+    copy = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(1024))).otherwise(F.coalesce(F.pmod(F.xxhash64(by), "_copies"), F.lit(0)))
+    dealt = left.join(hot, key, "left").withColumn("_copy", copy.cast("int")).drop("_copies")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
+    copied = right.join(hot, key, "left").withColumn("_copy", copies).drop("_copies")
+    return dealt.join(copied, [key, "_copy"], how).drop("_copy")

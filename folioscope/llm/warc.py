@@ -5,9 +5,10 @@ itself, and an index line per record with its place. Equal payloads from
 ``REVISIT_BYTES`` on are written once; other rows get a revisit record that
 names the row which has the payload and carries its digest and length.
 
-Defined results: a null page is an empty payload; rows with a null id come
-after others where the smallest id counts; of repeated rows with one id the
-first by file and place is the response; an empty table has no archives.
+Defined results: a null page is an empty payload; a page of any length is one
+record; rows with a null id come after others where the smallest id counts; of
+repeated rows with one id the first by file (its hash) and place is the response;
+other columns, whatever their names, are ignored; an empty table has no archives.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import ROW_KEY, with_row_key, work_dir, written
+from .rows import ROW_KEY, spread_join, with_row_key, work_dir, written
 from .zip_range import Ranges, Writing, ZipError, data_at, members
 
 REVISIT_BYTES = 100
@@ -99,13 +100,14 @@ def read_records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
             yield parsed(zlib.decompress(file.read(start + place["offset"], place["length"]), 31))
 
 
-def _marked(pages: DataFrame, page_id: str) -> DataFrame:
+def _marked(pages: DataFrame, page_id: str, base: str) -> DataFrame:
     """Each row's key with its digest and, if another row has the payload, whose."""
     html = F.coalesce(F.col("html"), F.lit("").cast("binary"))
     first = F.struct(F.col(page_id).isNull().alias("no_id"), F.col(page_id).alias("id"), F.col(ROW_KEY).alias("at"))
     keys = pages.select(first.alias("entry"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
-    large = keys.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("entry").alias("keep"))
-    joined = keys.where(F.col("n") >= REVISIT_BYTES).join(large, "digest")
+    keys = written(keys.where(F.col("n") >= REVISIT_BYTES).select("entry", "digest"), f"{base}/digests")
+    large = written(keys.groupBy("digest").agg(F.min("entry").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{base}/repeated")
+    joined = spread_join(keys, large.drop("n"), "digest", large.select("digest", "n"), "entry")
     return joined.where(F.col("entry") != F.col("keep")).select(F.col("entry.at").alias(ROW_KEY), F.col("keep.id").alias("refers_to"), F.lit(True).alias("revisit"))
 
 
@@ -113,8 +115,8 @@ def archived(df: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     """Write archives of about ``archive_bytes`` of payload; a row for each: ``path, records``."""
     spark = df.sparkSession
     base = folder or work_dir(spark, "warc")
-    pages = with_row_key(df).select(ROW_KEY, F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("binary").alias("html"))
-    revisits = written(_marked(pages, "page_id"), f"{base}/revisits")
+    pages = with_row_key(df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("binary").alias("html")))
+    revisits = written(_marked(pages, "page_id", base), f"{base}/revisits")
     rows = pages.join(revisits, ROW_KEY, "left").select("page_id", "url", "html", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,22 +147,25 @@ def archived(df: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     return written(rows.mapInArrow(write, "path string, records long"), f"{base}/list")
 
 
-RESULT = T.StructType(
-    [
-        T.StructField("page_id", T.LongType()),
-        T.StructField("payload_bytes", T.LongType()),
-        T.StructField("payload_digest", T.StringType()),
-        T.StructField("record_type", T.StringType()),
-        T.StructField("refers_to", T.LongType()),
-    ]
-)
+RESULT = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+#: Tasks that read archives at most; one reads several then.
+READERS = 10_000
+
+
+def read_archives(archives: DataFrame, id_type: T.DataType = T.LongType()) -> DataFrame:
+    """A row for each record of the archives listed in ``path``, a written table; payloads are checked against their digests.
 
+    ``id_type`` is that of the page ids, a number or a string.
+    """
+    own = pa.string() if isinstance(id_type, T.StringType) else pa.int64()
+    kinds = [own, pa.int64(), pa.string(), pa.string(), own]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(RESULT, [id_type, T.LongType(), T.StringType(), T.StringType(), id_type], strict=True)])
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """A row for each record of the archives listed in ``path``; payloads are checked against their digests."""
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(5)]
+        return pa.RecordBatch.from_arrays([c.cast(pa.int32()) if isinstance(id_type, T.IntegerType) and k in (0, 4) else c for k, c in enumerate(columns)], names=list(RESULT))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 out: list[tuple] = []
@@ -175,9 +180,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         refers_to = json.loads(headers["Refers-To-Page-ID"])
                     out.append((json.loads(headers["Page-ID"]), n, digest, kind, refers_to))
                     if len(out) == 8192:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(5)], names=RESULT.names)
+                        yield batch_of(out)
                         out = []
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(5)], names=RESULT.names)
+                yield batch_of(out)
 
-    spread = archives.select("path").repartition(F.col("path"))
-    return spread.mapInArrow(read, RESULT)
+    # an explicit number, which adaptive execution leaves alone: paths are tiny, archives are not
+    tasks = max(1, min(READERS, archives.count()))
+    return archives.select("path").repartition(tasks).mapInArrow(read, schema)

@@ -19,6 +19,18 @@ def test_round_trip(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_string_ids_and_a_task_for_each_archive(spark):
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(f"p{k}", "u", "x" * 200) for k in range(9)], "page_id string, url string, html string").repartition(3)
+    archives = warc.archived(df, archive_bytes=100)
+    found = warc.read_archives(archives, T.StringType())
+    assert found.rdd.getNumPartitions() == archives.count() == 9
+    got = found.collect()
+    assert sorted(r.page_id for r in got) == [f"p{k}" for k in range(9)]
+    assert [r.page_id for r in got if r.record_type == "response"] == ["p0"] and all(r.refers_to == "p0" for r in got if r.record_type == "revisit")
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.archived(df)).count() == 0
