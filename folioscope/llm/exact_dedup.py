@@ -2,13 +2,15 @@
 
 A first scan writes the digest, identifier and place of each row. A stream
 over that table keeps one state entry a digest in a disk-backed store, with no
-expiry: the smallest identifier, where its content lies, and a count. Digests
-that were hit more than once are then checked by the full bytes of the texts;
-texts that differ under one digest are grouped by their bytes instead.
+expiry: the smallest identifier, where its content lies, and a count. Texts whose
+digest was hit more than once are then fetched by their place and checked by
+their full bytes; texts that differ under one digest are grouped by their bytes
+instead. Frequent digests are dealt over several tasks.
 
 Defined results: a null text counts as empty; a null id is larger than any
-other; among repeated rows with one id the first by file and place stays; an
-empty table gives an empty result; other columns are ignored.
+other; among repeated rows with one id the first by file (its hash) and place
+stays; a text may be as long as a row may; an empty table gives an empty result;
+other columns, whatever their names, are ignored, and kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import ROW_KEY, with_row_key, work_dir, written
+from .rows import ROW_KEY, among, named, numbered, spread_join, with_row_key, without, work_dir, written
 
 #: A run of these becomes one space before texts are compared.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -82,34 +84,34 @@ def _states(keys: DataFrame, source: str, base: str) -> DataFrame:
     return saved.groupBy("digest").agg(last).select("digest", "s.keep", "s.group_size")
 
 
-def _differing(texts: DataFrame, states: DataFrame, base: str) -> DataFrame:
-    """Digests under which texts differ byte by byte from the kept one."""
-    hits = states.where("group_size > 1")
-    copies = F.ceil(F.col("group_size") / MEMBERS_A_COPY).cast("int")
-    members = texts.join(hits, "digest").withColumn("copies", copies)
-    kept = members.where(F.col("entry") == F.col("keep")).select(
-        "digest", F.col("norm").alias("kept"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
-    )
-    dealt = members.withColumn("copy", F.pmod(F.xxhash64("entry"), F.col("copies")).cast("int"))
-    odd = dealt.join(kept, ["digest", "copy"]).where(F.col("norm") != F.col("kept")).select("digest").distinct()
-    return written(odd, f"{base}/odd")
+def _differing(keyed: DataFrame, grouped: DataFrame, states: DataFrame, base: str) -> DataFrame:
+    """Digests under which texts differ byte by byte from the kept one.
 
+    Texts are fetched by their place, and only those whose digest was hit.
+    """
+    hits = written(grouped.where("group_size > 1").select(F.col("entry.at").alias(ROW_KEY), "digest"), f"{base}/hits")
+    keepers = states.where("group_size > 1").select(F.col("keep.at").alias(ROW_KEY), "digest")
+    keepers = written(keepers, f"{base}/keepers")
+    own = F.col("norm")
+    members = among(keyed.select(ROW_KEY, normalised(F.col("text")).alias("norm")), hits)
+    kept = among(keyed.select(ROW_KEY, normalised(F.col("text")).alias("kept")), keepers).drop(ROW_KEY)
+    sizes = states.where("group_size > 1").select("digest", F.col("group_size").alias("n"))
+    both = spread_join(members, kept, "digest", sizes, ROW_KEY, least=MEMBERS_A_COPY)
+    return written(both.where(own != F.col("kept")).select("digest").distinct(), f"{base}/odd")
 
-def keyed_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's key with its group: ``_row_key, doc_id, digest, keep, group_size, kept``."""
-    spark = df.sparkSession
-    base = work_dir(spark, "exact-dedup")
-    keyed = df if ROW_KEY in df.columns else with_row_key(df)
-    texts = keyed.select(_first(doc_id).alias("entry"), normalised(F.col(text)).alias("norm"))
-    texts = texts.select("entry", "norm", _digest(F.col("norm")).alias("digest"))
-    keys = written(texts.select("entry", "digest"), f"{base}/keys")
+
+def _groups(keyed: DataFrame) -> DataFrame:
+    base = work_dir(keyed.sparkSession, "exact-dedup")
+    keys = keyed.select(_first("doc_id").alias("entry"), _digest(normalised(F.col("text"))).alias("digest"))
+    keys = written(keys, f"{base}/keys")
     states = written(_states(keys, f"{base}/keys", base), f"{base}/states")
-    odd = _differing(texts, states, base)
-    if odd.isEmpty():
-        grouped = keys.join(states, "digest")
-    else:  # one digest of different texts: their bytes are the key
-        sound = keys.join(odd, "digest", "left_anti").join(states, "digest")
-        apart = texts.join(odd, "digest")
+    sizes = states.select("digest", F.col("group_size").alias("n"))
+    grouped = written(spread_join(keys, states, "digest", sizes, "entry"), f"{base}/grouped")
+    odd = _differing(keyed, grouped, states, base)
+    if not odd.isEmpty():  # one digest of different texts: their bytes are the key
+        sound = grouped.join(odd, "digest", "left_anti")
+        texts = keyed.select(_first("doc_id").alias("entry"), normalised(F.col("text")).alias("norm"))
+        apart = texts.withColumn("digest", _digest(F.col("norm"))).join(odd, "digest")
         groups = apart.groupBy("digest", "norm").agg(F.min("entry").alias("keep"), F.count(F.lit(1)).alias("group_size"))
         grouped = sound.unionByName(apart.join(groups, ["digest", "norm"]).drop("norm"))
     return grouped.select(
@@ -122,6 +124,11 @@ def keyed_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     )
 
 
+def keyed_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row's key with its group: ``_row_key, doc_id, digest, keep_id, group_size, kept``."""
+    return _groups(with_row_key(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
+
+
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     return keyed_groups(df, doc_id, text).select(
@@ -130,7 +137,10 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    keyed = with_row_key(df)
-    keep = keyed_groups(keyed, doc_id, text).where("kept").select(ROW_KEY)
-    return keyed.join(keep, ROW_KEY, "left_semi").drop(ROW_KEY)
+    """The rows that stay, with all their columns. Texts aren't shuffled for it: the keys of those that go are looked up."""
+    plain, names = numbered(df)
+    keyed = with_row_key(plain)
+    own = {n: F.col(f"_c{i}") for i, n in enumerate(names)}
+    found = _groups(keyed.select(ROW_KEY, own[doc_id].alias("doc_id"), own[text].alias("text")))
+    gone = written(found.where(~F.col("kept")).select(ROW_KEY), f"{work_dir(df.sparkSession, 'exact-dedup')}/gone")
+    return named(without(keyed, gone), names)
