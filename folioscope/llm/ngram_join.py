@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .rows import ROW_KEY, with_row_key, work_dir, written
+from .rows import ROW_KEY, named, numbered, spread_join, with_row_key, without, work_dir, written
 
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +44,7 @@ THIN = 16
 #: Bits of the filter of documents that are in a cluster; bounded likewise.
 FILTER_BITS = 24
 #: Words whose hashes a task remembers; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,12 @@ class Limits:
     block_docs: int = 2048
 
 
+#: Sets of a block, and entries of theirs, that are multiplied at once with as many of another.
+TILE, TILE_ENTRIES = 512, 1 << 18
+#: Digests that a task remembers, so that copies repeat no work; then it starts anew.
+SEEN = 50_000
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to CACHE_WORDS."""
 
@@ -138,20 +144,23 @@ def _sets(docs: DataFrame, k: int, percent: int, levels: np.ndarray, base: str)
     names = [f.name for f in fields]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, of = WordHashes(), shared.value
+        hashes, of, seen = WordHashes(), shared.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 sizes, digests, leads, ends = [], [], [], [0]
                 for text in part.column(part.schema.get_field_index("text")).to_pylist():
                     s = shingle_set(text, k, hashes)
-                    n = len(s)
-                    lead = s
-                    if n:
+                    n, d = len(s), _digest(s)
+                    lead = s[:0]
+                    if n and d not in seen:  # the columns of a copy are those of the first
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(d)
                         order = np.argsort(of[_counter(s)], kind="stable")[: n - (percent * n + 99) // 100 + 1]
                         lead = s[order]
                     sizes.append(n)
-                    digests.append(_digest(s))
+                    digests.append(d)
                     leads.append(lead)
                     ends.append(ends[-1] + len(lead))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(leads)))
@@ -261,68 +270,130 @@ def _filter_words(rows: DataFrame) -> np.ndarray:
     return words
 
 
-def overlaps(sets: list[np.ndarray], chunk_cells: int = 1 << 23) -> np.ndarray:
-    """Overlap counts of all pairs: the product of the incidence matrix with itself.
+def _entries(sets: list[np.ndarray], cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each entry that is in one of ``cols``, by column."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(cols, flat), len(cols) - 1)
+    ok = cols[at] == flat
+    row, at = row[ok], at[ok]
+    order = np.argsort(at, kind="stable")
+    return row[order], at[order]
+
 
-    Columns that few rows have are multiplied as pairs of rows, the others as
-    dense chunks; both add up in one table of counts.
+def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None, chunk_cells: int = 1 << 21) -> np.ndarray:
+    """Overlap counts of all pairs: the product of one incidence matrix with another (or itself, no set with itself).
+
+    Columns of few pairs are multiplied pair by pair, the others as dense
+    chunks; both add up in one table of counts.
     """
-    m = len(sets)
-    row = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    out = np.zeros((m, m), np.float32)
-    order = np.argsort(col, kind="stable")
-    row, start = row[order], np.concatenate(([0], np.cumsum(count)))[:-1]
-    few = max(2, min(8, m // 16))
-    for c in range(2, few + 1):  # columns of exactly c rows
-        at = start[count == c]
-        for lo in range(0, len(at), 1 << 18):
-            rows = row[at[lo : lo + (1 << 18), None] + np.arange(c)]
-            for i in range(c):
-                for j in range(i + 1, c):
-                    pairs, n = np.unique(rows[:, i] * m + rows[:, j], return_counts=True)
-                    out.ravel()[pairs] += n
-    low = out + out.T
-    dense = np.flatnonzero(count > few)
-    wide = max(1, chunk_cells // max(1, m))
+    right = sets if others is None else others
+    out = np.zeros((len(sets), len(right)), np.float32)
+    if others is None:
+        cols, n = np.unique(np.concatenate(sets), return_counts=True)
+        cols = cols[n > 1]
+    else:
+        cols = np.intersect1d(np.unique(np.concatenate(sets)), np.unique(np.concatenate(others)), assume_unique=True)
+    if not len(cols):
+        return out
+    row_a, col_a = _entries(sets, cols)
+    row_b, col_b = (row_a, col_a) if others is None else _entries(others, cols)
+    n_a, n_b = np.bincount(col_a, minlength=len(cols)), np.bincount(col_b, minlength=len(cols))
+    few = n_a * n_b * 64 <= out.size
+    at = np.flatnonzero(few[col_a])
+    if len(at):
+        first_b, pairs = np.cumsum(n_b) - n_b, n_b[col_a[at]]
+        part = (np.cumsum(pairs) - 1) >> 18
+        for lo, hi in zip(*[np.searchsorted(part, np.unique(part), side=x) for x in ("left", "right")], strict=True):
+            n, own = pairs[lo:hi], at[lo:hi]
+            other = np.arange(n.sum()) + np.repeat(first_b[col_a[own]] - (np.cumsum(n) - n), n)
+            out += np.bincount(np.repeat(row_a[own], n) * len(right) + row_b[other], minlength=out.size).reshape(out.shape)
+    dense = np.flatnonzero(~few)
+    wide = max(1, chunk_cells // (len(sets) + len(right)))
     for lo in range(0, len(dense), wide):
-        cols = dense[lo : lo + wide]
-        part = np.zeros((m, len(cols)), np.float32)
-        part[np.concatenate([row[start[x] : start[x] + count[x]] for x in cols]), np.repeat(np.arange(len(cols)), count[cols])] = 1
-        low += part @ part.T
-    np.fill_diagonal(low, 0)
-    return low
+        own = dense[lo : lo + wide]
+        place = np.full(own[-1] - own[0] + 1, -1)
+        place[own - own[0]] = np.arange(len(own))
+
+        def chunk(m: int, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+            a, b = np.searchsorted(col, [own[0], own[-1] + 1])
+            x = place[col[a:b] - own[0]]
+            part = np.zeros((m, len(own)), np.float32)
+            part[row[a:b][x >= 0], x[x >= 0]] = 1
+            return part
+
+        left = chunk(len(sets), row_a, col_a)
+        out += left @ (left if others is None else chunk(len(others), row_b, col_b)).T
+    if others is None:
+        np.fill_diagonal(out, 0)
+    return out
+
 
+Sets = list[tuple[bytes, np.ndarray]]
 
-def _links(of: list[tuple[bytes, int, np.ndarray]], i: int, j: int, percent: int) -> Iterator[tuple[bytes, bytes, int]]:
-    """Of the classes of blocks i and j: each with its root and its number of links.
 
-    For two blocks only pairs across them count; pairs within are in (i, i) and (j, j).
+def _tiles(rows: Sets, begin: int, end: int) -> list[tuple[int, int]]:
+    """Runs of at most TILE rows with at most TILE_ENTRIES entries, or of one row."""
+    out, lo, n = [], begin, 0
+    for x in range(begin, end):
+        if x > lo and (x - lo == TILE or n + len(rows[x][1]) > TILE_ENTRIES):
+            out.append((lo, x))
+            lo, n = x, 0
+        n += len(rows[x][1])
+    return [*out, (lo, end)]
+
+
+def _links(left: Sets, right: Sets | None, percent: int) -> Iterator[tuple[bytes, bytes, int]]:
+    """Of the classes of a block (and another): each with its root and its number of links.
+
+    For two blocks only pairs across them are multiplied, a tile of each at a time; pairs within a block are in the unit of that block alone.
     """
-    sizes = np.array([len(s) for _, _, s in of], np.float64)
-    o = overlaps([s for _, _, s in of]).astype(np.float64)
-    linked = (o > 0) & (100 * o >= percent * (sizes[:, None] + sizes[None, :] - o))
-    if i != j:
-        block = np.array([b for _, b, _ in of])
-        linked &= block[:, None] != block[None, :]
-    n = linked.sum(1)
-    left = n > 0
-    while left.any():
-        seed = int(np.argmax(left))
-        seen, edge = np.zeros(len(of), bool), np.zeros(len(of), bool)
-        seen[seed] = edge[seed] = True
-        while edge.any():
-            edge = linked[edge].any(0) & ~seen
-            seen |= edge
-        left &= ~seen
-        for x in np.flatnonzero(seen):
-            yield of[x][0], of[seed][0], int(n[x])
-
-
-def _verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percent: int, limits: Limits, base: str) -> DataFrame:
+    rows = left + (right or [])
+    up, links = list(range(len(rows))), np.zeros(len(rows), np.int64)
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    tiles = _tiles(rows, 0, len(left))
+    others = tiles if right is None else _tiles(rows, len(left), len(rows))
+    for lo, lo_end in tiles:
+        for at, at_end in others:
+            if at < lo:
+                continue
+            a = rows[lo:lo_end]
+            b = None if at == lo else rows[at:at_end]
+            size_a = np.array([len(s) for _, s in a])
+            size_b = size_a if b is None else np.array([len(s) for _, s in b])
+            o = overlaps([s for _, s in a], None if b is None else [s for _, s in b]).astype(np.int64)
+            linked = (o > 0) & ((100 + percent) * o >= percent * (size_a[:, None] + size_b[None, :]))
+            links[lo : lo + len(a)] += linked.sum(1)
+            if b is not None:
+                links[at : at + len(b)] += linked.sum(0)
+            todo = linked.any(1)
+            while todo.any():
+                seen_a, seen_b = np.zeros(len(size_a), bool), np.zeros(len(size_b), bool)
+                seen_a[np.argmax(todo)] = True
+                edge = seen_a
+                while edge.any():
+                    new = linked[edge].any(0) & ~seen_b
+                    seen_b |= new
+                    edge = linked[:, new].any(1) & ~seen_a
+                    seen_a = seen_a | edge
+                todo &= ~seen_a
+                whole = np.concatenate([lo + np.flatnonzero(seen_a), at + np.flatnonzero(seen_b)]).tolist()
+                for x in whole[1:]:
+                    up[root(x)] = root(whole[0])
+    for x in np.flatnonzero(links).tolist():
+        yield rows[x][0], rows[root(x)][0], int(links[x])
+
+
+def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame, k: int, percent: int, limits: Limits, base: str) -> DataFrame:
     """``digest, root, links``: links between classes, as edges to one class of each group."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_filter_words(sets.select("cid", "doc_key").join(clusters, "cid")))
+    own = written(reps.select("cid", "doc_key", "n_shingles").join(clusters, "cid"), f"{base}/clustered")
+    bits = spark.sparkContext.broadcast(_filter_words(own))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, words, seen = WordHashes(), bits.value, set()
@@ -335,7 +406,7 @@ def _verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, per
                     s = shingle_set(text, k, hashes)
                     d = _digest(s)
                     if d is not None and d not in seen:
-                        if len(seen) >= 200_000:
+                        if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(d)
                         rows.append((_class_id(d), d, s.tobytes()))
@@ -345,10 +416,11 @@ def _verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, per
                 )
 
     whole = docs.select(_slot("doc_key").alias("slot"), "text").mapInArrow(again, "cid long, digest binary, s binary")
-    size = sets.select("cid", "n").join(clusters, "cid").groupBy("cluster", "cid").agg(F.max("n").alias("n"))
-    blocks = size.groupBy("cluster").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
-    many = F.greatest(F.ceil(F.col("n") * 8 / limits.block_bytes), F.ceil(F.col("docs") / limits.block_docs)).cast("int")
-    dealt = clusters.join(blocks.select("cluster", many.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    blocks = own.groupBy("cluster").agg(F.sum("n_shingles").alias("entries"), F.count(F.lit(1)).alias("n"))
+    many = F.greatest(F.ceil(F.col("entries") * 8 / limits.block_bytes), F.ceil(F.col("n") / limits.block_docs)).cast("int")
+    blocks = written(blocks.select("cluster", "n", many.alias("blocks")), f"{base}/blocks")
+    dealt = spread_join(clusters, blocks.drop("n"), "cluster", blocks.select("cluster", "n"), "cid")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = dealt.select("cid", "cluster", "block", other).select(
         "cid", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
@@ -361,7 +433,9 @@ def _verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, per
 
         def done() -> None:
             if unit is not None and len(held) > 1:
-                out.extend(_links([(d, b, np.frombuffer(s, np.uint64)) for d, (b, s) in held.items()], unit[1], unit[2], percent))
+                sides = [[(d, np.frombuffer(s, np.uint64)) for d, (b, s) in held.items() if b == x] for x in unit[1:]]
+                if sides[0] and sides[1]:
+                    out.extend(_links(sides[0], None if unit[1] == unit[2] else sides[1], percent))
 
         def batch_of(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -369,8 +443,9 @@ def _verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, per
                 names=["digest", "root", "links"],
             )
 
-        for batch in batches:
-            for cluster, i, j, block, digest, s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        parts = (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256))
+        for part in parts:
+            for cluster, i, j, block, digest, s in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 if unit != (cluster, i, j):
                     done()
                     unit, held = (cluster, i, j), {}
@@ -391,22 +466,28 @@ def joined(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4
     distinct k-word shingles. ``n_links`` counts linked classes of other sets;
     rows of one non-empty set are linked without being counted.
     """
-    base = work_dir(df.sparkSession, "ngram-join")
-    keyed = df if ROW_KEY in df.columns else with_row_key(df)
-    docs = keyed.select(ROW_KEY, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    docs = docs.withColumn("doc_key", F.xxhash64("doc_id"))
+    plain = with_row_key(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    return _joined(plain, k, percent, limits)
+
+
+def _joined(keyed: DataFrame, k: int, percent: int, limits: Limits = Limits()) -> DataFrame:
+    base = work_dir(keyed.sparkSession, "ngram-join")
+    docs = keyed.select(ROW_KEY, "doc_id", "text").withColumn("doc_key", F.xxhash64("doc_id"))
     levels = _frequencies(docs, k)
     sets = _sets(docs.select(ROW_KEY, "doc_id", "doc_key", "text"), k, percent, levels, base)
+    one = [F.first("cid").alias("cid"), F.first("n").alias("n_shingles"), F.min("doc_key").alias("doc_key"), F.min("doc_id").alias("first_id")]
+    reps = written(sets.where("n > 0").groupBy("digest").agg(*one, F.count(F.lit(1)).alias("n")), f"{base}/reps")
     clusters = _clusters(sets, percent, base)
-    links = _verified(docs, sets, clusters, k, percent, limits, base)
+    links = _verified(docs, reps, clusters, k, percent, limits, base)
     groups = components(links.select(F.col("digest").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("digest").agg(F.sum("links").alias("links"))
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    classes = classes.join(groups.withColumnRenamed("node", "digest"), "digest", "left").join(counts, "digest", "left")
-    classes = classes.withColumn("component", F.coalesce("component", "digest"))
-    least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = written(classes.join(least, "component").select("digest", "component", "component_id", F.coalesce("links", F.lit(0)).alias("n_links")), f"{base}/classes")
-    out = sets.select(ROW_KEY, "doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
+    classes = reps.select("digest", "first_id").join(groups.withColumnRenamed("node", "digest"), "digest", "left").join(counts, "digest", "left")
+    classes = written(classes.withColumn("component", F.coalesce("component", "digest")), f"{base}/members")
+    least = written(classes.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), f"{base}/least")
+    classes = spread_join(classes, least.drop("n"), "component", least.select("component", "n"), "digest")
+    classes = written(classes.select("digest", "component", "component_id", F.coalesce("links", F.lit(0)).alias("n_links")), f"{base}/classes")
+    out = sets.select(ROW_KEY, "doc_id", F.col("n").alias("n_shingles"), "digest")
+    out = spread_join(out, classes, "digest", reps.select("digest", "n"), ROW_KEY, "left")
     return out.select(
         ROW_KEY, "doc_id", "n_shingles", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -414,10 +495,18 @@ def joined(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """The rows that stay, with all columns: of each component the smallest id, then place."""
-    keyed = with_row_key(df)
-    found = joined(keyed, doc_id, text, k, percent)
-    alone = F.when(F.col("component").isNull(), F.to_json(F.col(ROW_KEY)))
+    """The rows that stay, with all columns: of each component the smallest id, then place.
+
+    Only keys are grouped; the rows that go are looked up by their keys.
+    """
+    plain, names = numbered(df)
+    keyed = with_row_key(plain)
+    own = {n: F.col(f"_c{i}") for i, n in enumerate(names)}
+    base = work_dir(df.sparkSession, "one-of-each")
+    found = written(_joined(keyed.select(ROW_KEY, own[doc_id].alias("doc_id"), own[text].alias("text")), k, percent), f"{base}/found")
+    grouped = found.where(F.col("component").isNotNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW_KEY)).alias("first")
-    keep = found.groupBy("component", alone.alias("alone")).agg(first).select(F.col(f"first.{ROW_KEY}").alias(ROW_KEY))
-    return keyed.join(keep, ROW_KEY, "left_semi").drop(ROW_KEY)
+    stay = written(grouped.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"), f"{base}/stay")
+    pairs = spread_join(grouped.select(ROW_KEY, "component"), stay.drop("n"), "component", stay.select("component", "n"), ROW_KEY)
+    gone = written(pairs.where(F.col(ROW_KEY) != F.col(f"first.{ROW_KEY}")).select(ROW_KEY), f"{base}/gone")
+    return named(without(keyed, gone), names)
