@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .rows import ROW_KEY, named, numbered, spread_join, with_row_key, without, work_dir, written
+from .rows import ROW_KEY, named, numbered, spread_join, trimmed, with_row_key, without, work_dir, written
 
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -121,7 +121,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
                 slots, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(n, pa.int64())], names=["slot", "n"])
 
-    counted = docs.select("doc_key", "text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = docs.select("doc_key", "text").mapInArrow(lambda b: trimmed(count(b)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     level = F.least(F.lit(63), F.floor(F.log2("n")).cast("int"))
     packed = counted.where("n >= 2").select((F.col("slot").cast("long") * 64 + level).alias("p"))
     got = packed.toArrow().column("p").to_numpy()
@@ -170,7 +170,7 @@ def _sets(docs: DataFrame, k: int, percent: int, levels: np.ndarray, base: str)
                     names=[*names, "n", "digest", "cid", "lead"],
                 )
 
-    return written(docs.mapInArrow(build, schema), f"{base}/sets")
+    return written(docs.mapInArrow(lambda b: trimmed(build(b)), schema), f"{base}/sets")
 
 
 def _bounds(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -415,7 +415,7 @@ def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame, k: int, per
                     names=["cid", "digest", "s"],
                 )
 
-    whole = docs.select(_slot("doc_key").alias("slot"), "text").mapInArrow(again, "cid long, digest binary, s binary")
+    whole = docs.select(_slot("doc_key").alias("slot"), "text").mapInArrow(lambda b: trimmed(again(b)), "cid long, digest binary, s binary")
     blocks = own.groupBy("cluster").agg(F.sum("n_shingles").alias("entries"), F.count(F.lit(1)).alias("n"))
     many = F.greatest(F.ceil(F.col("entries") * 8 / limits.block_bytes), F.ceil(F.col("n") / limits.block_docs)).cast("int")
     blocks = written(blocks.select("cluster", "n", many.alias("blocks")), f"{base}/blocks")
@@ -456,7 +456,7 @@ def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame, k: int, per
         done()
         yield batch_of(out)
 
-    return written(sorted_rows.mapInArrow(product, "digest binary, root binary, links long"), f"{base}/links")
+    return written(sorted_rows.mapInArrow(lambda b: trimmed(product(b)), "digest binary, root binary, links long"), f"{base}/links")
 
 
 def joined(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, limits: Limits = Limits()) -> DataFrame:

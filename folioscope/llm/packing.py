@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import work_dir, written
+from .rows import trimmed, work_dir, written
 from .tokens import default_path, tokens
 
 Contents = tuple[int, ...]
@@ -284,7 +284,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
                 columns += [pa.array([task] * len(row), pa.int32()), pa.array(number, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return df.select(doc_id, text).mapInArrow(cut, schema)
+    return df.select(doc_id, text).mapInArrow(lambda b: trimmed(cut(b)), schema)
 
 
 def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
