@@ -1,19 +1,22 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of words.
 
-N-grams are of characters over a fixed number of symbols: the characters that
-are most frequent in the trusted text, one symbol for all others, and one that
-stands before each text. Tasks count the n-grams of trusted texts; the counts
-are summed by n-gram and joined order by order, sharded by n-gram, into
-interpolated probabilities. Every n-gram there can be has one cell in a table
-whose size the number of symbols bounds, so the finished model can be broadcast.
+Words are hashed into a fixed number of buckets. Tasks count the pairs of words
+of trusted texts; the counts are summed by pair, whose number grows with the
+text. What concerns a single word (its probability after any other, and the
+weight that a word leaves to the lower order) has one cell a bucket and can be
+broadcast. Pairs stay a table that is dealt by pair: documents send the distinct
+pairs of blocks of rows there, packed with the rows that have them, and sums of
+logarithms come back. No task holds more than a share of the pairs.
 
 A document's perplexity is compared with a quantile, for its language, of the
 perplexities of trusted documents that the model has not seen.
 
-Defined results: null and empty texts have no perplexity and aren't kept; a
-null language is one of its own; languages with few held-out trusted documents
-use the quantile over all; without any, every text is kept; repeated rows are
-scored once each; repeated labels of an id count once, as trusted if any is.
+Defined results: null and empty texts have no perplexity and aren't kept; a text
+of any length is scored whole, equal texts alike; a null language is one of its
+own; languages with few held-out trusted documents use the quantile over all;
+without any, every text is kept; repeated rows are scored once each; repeated
+labels of an id count once, as trusted if any is, null ones don't count; other
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,25 +28,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .rows import work_dir, written
+from .ngram_join import WordHashes
+from .rows import ROW_KEY, trimmed, with_row_key, work_dir, written
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Order and symbols give ``symbols ** order`` cells: 2 ** 24 of them by default."""
-
-    order: int = 4
-    symbols: int = 64
+    bits: int = 20  #: words have 2 ** bits buckets; the first stands before each text
     quantile: float = 0.98
     least_documents: int = 100
     #: Up to so many trusted ids are broadcast; beyond, both sides are shuffled.
     broadcast_ids: int = 1_000_000
+    #: Rows whose pairs travel together, and the pairs of the model in a share.
+    block: int = 4096
+    share: int = 1 << 21
 
 
-#: N-grams whose counts travel in one row.
-BLOCK = 4096
 #: Perplexities are counted in bins of this many to a doubling.
 BINS = 200
 
@@ -52,136 +53,199 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def symbols_of(text: str, table: np.ndarray, order: int) -> np.ndarray:
-    """The symbols of a text, with ``order - 1`` of the first kind before it."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.concatenate([np.zeros(order - 1, np.int64), table[codes].astype(np.int64)])
-
+def words_of(text: str | None, hashes: WordHashes, bits: int) -> np.ndarray:
+    """The buckets of a text's words."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    return (h % np.uint64((1 << bits) - 1)).astype(np.int64) + 1
 
-def grams(x: np.ndarray, order: int, symbols: int) -> np.ndarray:
-    n = len(x) - order + 1
-    out = np.zeros(n, np.int64)
-    for k in range(order):
-        out = out * symbols + x[k : k + n]
-    return out
 
+def pairs_of(words: np.ndarray, bits: int) -> np.ndarray:
+    """Each word with the one before it; the first of a text with bucket 0."""
+    return np.concatenate([[0], words[:-1]]).astype(np.int64) << bits | words if len(words) else words
 
-def _alphabet(trusted: DataFrame, s: Settings) -> np.ndarray:
-    """Code point -> symbol."""
 
+def _counts(trusted: DataFrame, s: Settings) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                codes, n = np.unique(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-                total[codes] += n
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met])], names=["c", "n"])
+        hashes = WordHashes()
+        for part in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            own = [pairs_of(words_of(t, hashes, s.bits), s.bits) for t in part.column(0).to_pylist()]
+            g, n = np.unique(np.concatenate(own), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n, pa.int64())], names=["g", "n"])
 
-    counts = trusted.select("text").mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "c").limit(s.symbols - 2).collect()  # at most symbols - 2 rows
-    table = np.full(0x110000, s.symbols - 1, np.uint8)
-    for k, r in enumerate(top):
-        table[r.c] = k + 1
-    return table
+    return trusted.select("text").mapInArrow(lambda b: trimmed(count(b)), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def _counts(trusted: DataFrame, table: np.ndarray, s: Settings) -> DataFrame:
-    shared = trusted.sparkSession.sparkContext.broadcast(table)
+def _discounted(seen: DataFrame) -> Column:
+    """The discount of a row by its count ``n``, from the counts of counts."""
+    r = seen.agg(*[F.count_if(F.col("n") == j).alias(f"n{j}") for j in range(1, 5)]).first()
+    n = [r.n1, r.n2, r.n3, r.n4]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+    d = [min(j, max(0.05, j - (j + 1) * y * n[j] / n[j - 1])) if n[j - 1] else 0.5 * j for j in (1, 2, 3)]
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(s.symbols**s.order, np.int32)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    g, n = np.unique(grams(symbols_of(text, shared.value, s.order), s.order, s.symbols), return_counts=True)
-                    total[g] += n
-        met = np.flatnonzero(total)
-        blocks, first = np.unique(met // BLOCK, return_index=True)
-        ends = pa.array(np.append(first, len(met)), pa.int32())
-        places = pa.ListArray.from_arrays(ends, pa.array(met % BLOCK, pa.int16()))
-        n = pa.ListArray.from_arrays(ends, pa.array(total[met]))
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), places, n], names=["block", "places", "n"])
-
-    packed = trusted.select("text").mapInArrow(count, "block long, places array<short>, n array<int>").repartition("block")
-    each = packed.select("block", F.explode(F.arrays_zip("places", "n")).alias("x"))
-    summed = each.groupBy("block", "x.places").agg(F.sum("x.n").alias("n"))  # dealt by block already
-    return summed.select((F.col("block") * BLOCK + F.col("places")).alias("g"), "n")
-
-
-def probabilities(counts: DataFrame, s: Settings, base: str) -> list[tuple[DataFrame, DataFrame]]:
-    """By order, from 1: seen n-grams ``(g, p)`` and contexts ``(c, rest)``.
-
-    ``n`` of the highest order are counts, of lower ones the number of different
-    symbols before. ``rest`` is the weight that goes to the next lower order.
+
+@dataclass
+class Model:
+    """By bucket: log2 of a word's probability after an unknown one, and of the weight that a word leaves to it.
+
+    ``gains`` (``g, gain, part``) has what a seen pair's log2 probability is
+    above the sum of those two.
+    """
+
+    word: np.ndarray
+    rest: np.ndarray
+    gains: DataFrame
+    parts: int
+
+
+def _part(g: Column, s: Settings, parts: int) -> Column:
+    return F.pmod(F.shiftright(g, s.bits) + 7 * g.bitwiseAND(F.lit((1 << s.bits) - 1)), F.lit(parts)).cast("int")
+
+
+def modelled(counts: DataFrame, s: Settings, base: str) -> Model:
+    """Interpolated probabilities from written counts ``g, n`` of pairs.
+
+    A single word counts as often as there are different words before it.
     """
-    by_order = [counts]
-    for k in range(s.order - 1, 0, -1):
-        tail = F.col("g") % s.symbols**k
-        by_order.insert(0, written(by_order[0].groupBy(tail.alias("g")).agg(F.count(F.lit(1)).alias("n")), f"{base}/n{k}"))
-    out: list[tuple[DataFrame, DataFrame]] = []
-    for k, seen in enumerate(by_order, 1):
-        r = seen.agg(*[F.count_if(F.col("n") == j).alias(f"n{j}") for j in range(1, 5)]).first()
-        y = r.n1 / (r.n1 + 2 * r.n2) if r.n1 and r.n2 else 0.5
-        n = [r.n1, r.n2, r.n3, r.n4]
-        d = [min(j, max(0.05, j - (j + 1) * y * n[j] / n[j - 1])) if n[j - 1] else 0.5 * j for j in (1, 2, 3)]
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        parts = seen.select("g", F.floor(F.col("g") / s.symbols).alias("c"), "n", off.alias("d"))
-        contexts = parts.groupBy("c").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("rest"))
-        own = parts.join(contexts, "c")
-        if k == 1:
-            lower = F.lit(1.0 / s.symbols)
-        else:  # whatever follows a context was seen after the shorter one too
-            shorter = out[-1][0].select(F.col("g").alias("tail"), F.col("p").alias("lower"))
-            own = own.withColumn("tail", F.col("g") % s.symbols ** (k - 1)).join(shorter, "tail")
-            lower = F.col("lower")
-        p = (F.col("n") - F.col("d")) / F.col("total") + F.col("rest") * lower
-        out.append((written(own.select("g", p.alias("p")), f"{base}/p{k}"), written(contexts.select("c", "rest"), f"{base}/c{k}")))
-    return out
-
-
-def dense_model(levels: list[tuple[DataFrame, DataFrame]], s: Settings) -> np.ndarray:
-    """log2 of the probability of every n-gram of the highest order."""
-    p = np.full(1, 1.0 / s.symbols, np.float32)
-    for k, (seen, contexts) in enumerate(levels, 1):
-        rest = np.ones(s.symbols ** (k - 1), np.float32)
-        t = contexts.toArrow()
-        rest[t.column("c").to_numpy()] = t.column("rest").to_numpy()
-        p = (rest.reshape(-1, len(p) // s.symbols or 1, 1) * (p.reshape(1, -1, s.symbols) if k > 1 else np.repeat(p, s.symbols).reshape(1, 1, -1))).ravel()
-        t = seen.toArrow()
-        p[t.column("g").to_numpy()] = t.column("p").to_numpy()
-    return np.log2(p, out=p)
-
-
-def trained(df: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Symbols by code point and the dense model, from the trusted rows outside the held-out fold."""
+    buckets = 1 << s.bits
+    w, v = F.col("g").bitwiseAND(F.lit(buckets - 1)), F.shiftright("g", s.bits)
+    single = written(counts.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n")), f"{base}/single")
+    d1 = _discounted(single)
+    total = single.agg(F.sum("n").alias("n"), F.sum(d1).alias("d")).first()
+    left = (total.d / total.n) if total.n else 1.0
+    word = np.full(buckets, left / buckets, np.float64)
+    if total.n:
+        t = single.select("w", ((F.col("n") - d1) / total.n).alias("p")).toArrow()  # at most a row a bucket
+        word[t.column("w").to_numpy()] += t.column("p").to_numpy()
+    d2 = _discounted(counts)
+    contexts = written(counts.groupBy(v.alias("v")).agg(F.sum("n").alias("total"), (F.sum(d2) / F.sum("n")).alias("rest")), f"{base}/contexts")
+    rest = np.ones(buckets, np.float64)
+    t = contexts.select("v", "rest").toArrow()  # at most a row a bucket
+    rest[t.column("v").to_numpy()] = t.column("rest").to_numpy()
+    one = single.select("w", (F.lit(left / buckets) + (F.col("n") - d1) / F.lit(float(total.n or 1))).alias("p"))
+    few = F.broadcast  # both tables have at most a row a bucket
+    own = counts.select("g", v.alias("v"), w.alias("w"), "n", d2.alias("d")).join(few(contexts), "v").join(few(one), "w")
+    lower = F.col("rest") * F.col("p")
+    gain = F.log2((F.col("n") - F.col("d")) / F.col("total") + lower) - F.log2(lower)
+    parts = max(16, -(-counts.count() // s.share))
+    gains = written(own.select("g", gain.cast("float").alias("gain"), _part(F.col("g"), s, parts).alias("part")), f"{base}/gains")
+    return Model(np.log2(word).astype(np.float32), np.log2(rest).astype(np.float32), gains, parts)
+
+
+def trained(df: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+    """The model from the trusted rows outside the held-out fold."""
     base = work_dir(df.sparkSession, "quality")
     ids = labels.where(F.col(label) == 1).where(~held_out(doc_id)).where(F.col(doc_id).isNotNull()).select(doc_id).distinct()
     ids = written(ids, f"{base}/trusted")
     small = ids.limit(s.broadcast_ids + 1).count() <= s.broadcast_ids
     own = df.select(doc_id, F.col(text).alias("text")).join(F.broadcast(ids) if small else ids, doc_id, "left_semi").select("text")
-    table = _alphabet(own, s)
-    counts = written(_counts(own, table, s), f"{base}/counts")
-    return table, dense_model(probabilities(counts, s, base), s)
-
-
-def perplexities(df: DataFrame, model: tuple[np.ndarray, np.ndarray], s: Settings = Settings(), text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns of ``carry`` with ``n_symbols`` and ``perplexity`` (null without text)."""
-    carry = [c for c in df.columns if c != text] if carry is None else carry
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*[df.schema[c] for c in carry], T.StructField("n_symbols", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, logs = shared.value
-        for batch in batches:
+    return modelled(written(_counts(own, s), f"{base}/counts"), s, base)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[tuple[int, int, list[int], list[str | None]]]:
+    """Rows (file, row, text) in blocks of the same ``row // block``: file, first row, places in the block, texts."""
+    held: tuple[int, int, list[int], list[str | None]] | None = None
+    for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        for file, row, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            first = row - row % s.block
+            if held is None or held[:2] != (file, first):
+                if held:
+                    yield held
+                held = (file, first, [], [])
+            held[2].append(row - first)
+            held[3].append(text)
+    if held:
+        yield held
+
+
+def perplexities(keyed: DataFrame, model: Model, s: Settings, base: str) -> DataFrame:
+    """``keyed`` (a row key, the text, others) without its text, with ``n_words`` and ``perplexity``."""
+    shared = keyed.sparkSession.sparkContext.broadcast((model.word, model.rest))
+    mask, parts = (1 << s.bits) - 1, model.parts
+    rows = keyed.select(F.col(f"{ROW_KEY}.file").alias("file"), F.col(f"{ROW_KEY}.row").alias("row"), "text")
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's number of words and the sum of its words' logarithms after unknown ones."""
+        hashes, (word, rest) = WordHashes(), shared.value
+        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             n, found = [], []
-            for text in batch.column(len(carry)).to_pylist():
-                x = symbols_of(text or "", table, s.order)
-                n.append(len(x) - s.order + 1)
-                found.append(float(2 ** -logs[grams(x, s.order, s.symbols)].mean(dtype=np.float64)) if text else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(found, pa.float64())], names=schema.names)
-
-    return df.select(*carry, F.col(text).alias("_scored_text")).mapInArrow(score, schema)
+            for text in part.column(2).to_pylist():
+                x = words_of(text, hashes, s.bits)
+                n.append(len(x))
+                found.append(float(word[x].sum(dtype=np.float64) + rest[x[:-1]].sum(dtype=np.float64) + rest[0]) if len(x) else 0.0)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(n, pa.int64()), pa.array(found, pa.float64())], names=["file", "row", "n_words", "base"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct pairs of a block by part, ascending; for each the number of rows that have it, those rows, and how often."""
+        hashes = WordHashes()
+        for file, first, places, texts in _blocks(batches, s):
+            own = [np.unique(pairs_of(words_of(t, hashes, s.bits), s.bits), return_counts=True) for t in texts]
+            g = np.concatenate([x for x, _ in own]).astype(np.int64)
+            n = np.minimum(np.concatenate([c for _, c in own]), 0xFFFFFFFF).astype(np.uint32)
+            at = np.repeat(np.array(places, np.uint16), [len(x) for x, _ in own])
+            part = ((g >> s.bits) + 7 * (g & mask)) % parts
+            order = np.lexsort((g, part))
+            g, n, at, part = g[order], n[order], at[order], part[order]
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(g) else np.zeros(0, int)
+            out = []
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(g)), strict=True):
+                keys, rows = np.unique(g[lo:hi], return_counts=True)
+                often = n[lo:hi]
+                more = np.flatnonzero(often > 1).astype(np.uint32)
+                out.append((int(part[lo]), file, first, keys.tobytes(), rows.astype(np.uint16).tobytes(), at[lo:hi].tobytes(), more.tobytes(), often[more].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5])], names=["part", "file", "first", "keys", "rows", "at", "more", "often"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by part, pairs of the model first: of each block the sums by row over the part's pairs."""
+        part, g, gain, known = None, [], [], None
+        for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
+            ids, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out = []
+            for k in np.unique(ids).tolist():
+                if k != part:
+                    part, g, gain, known = k, [], [], None
+                own = np.flatnonzero((ids == k) & (kinds == 0))
+                if len(own):
+                    g.append(batch.column(2).take(pa.array(own)).to_numpy())
+                    gain.append(batch.column(3).take(pa.array(own)).to_numpy())
+                asked = np.flatnonzero((ids == k) & (kinds == 1))
+                if len(asked) and known is None:
+                    known = (np.concatenate([*g, np.full(1, -1)]), np.concatenate([*gain, np.zeros(1, np.float32)]))
+                    order = np.argsort(known[0])
+                    known, g, gain = (known[0][order], known[1][order]), [], []
+                for r in asked.tolist():
+                    file, first, keys, rows, at, more, often = (batch.column(c)[r].as_py() for c in range(4, 11))
+                    keys = np.frombuffer(keys, np.int64)
+                    place = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
+                    value = np.where(known[0][place] == keys, known[1][place], 0)
+                    each = np.repeat(value, np.frombuffer(rows, np.uint16)).astype(np.float64)
+                    more = np.frombuffer(more, np.uint32)
+                    each[more] *= np.frombuffer(often, np.uint32)
+                    sums = np.bincount(np.frombuffer(at, np.uint16), each, s.block)
+                    hit = np.flatnonzero(sums)
+                    out.append((file, first, hit.astype(np.uint16).tobytes(), sums[hit].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.binary(), pa.binary()])], names=["file", "first", "at", "gain"])
+
+    def added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sums = np.zeros(s.block)
+        for at, gain in zip(table.column("at").to_pylist(), table.column("gain").to_pylist(), strict=True):
+            sums[np.frombuffer(at, np.uint16)] += np.frombuffer(gain, np.float64)
+        hit = np.flatnonzero(sums)
+        return pa.table({"file": pa.array(np.full(len(hit), key[0].as_py()), pa.int64()), "row": pa.array(key[1].as_py() + hit, pa.int64()), "gain": pa.array(sums[hit])})
+
+    asked = rows.mapInArrow(lambda b: trimmed(ask(b)), "part int, file long, first long, keys binary, rows binary, at binary, more binary, often binary")
+    none = F.lit(None)
+    known = model.gains.select("part", F.lit(0).alias("kind"), "g", "gain", *[none.cast(t).alias(c) for c, t in asked.dtypes[1:]])
+    both = known.unionByName(asked.select("part", F.lit(1).alias("kind"), none.cast("long").alias("g"), none.cast("float").alias("gain"), *asked.columns[1:]))
+    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    sums = dealt.mapInArrow(lambda b: trimmed(answer(b)), "file long, first long, at binary, gain binary")
+    gains = sums.groupBy("file", "first").applyInArrow(added, "file long, row long, gain double")
+    scored = written(rows.mapInArrow(lambda b: trimmed(lower(b)), "file long, row long, n_words long, base double"), f"{base}/lower")
+    total = scored.join(gains, ["file", "row"], "left")
+    logs = F.when(F.col("n_words") > 0, F.pow(F.lit(2.0), -(F.col("base") + F.coalesce("gain", F.lit(0.0))) / F.col("n_words")))
+    found = total.select(F.struct("file", "row").alias(ROW_KEY), "n_words", logs.alias("perplexity"))
+    return keyed.drop("text").join(found, ROW_KEY)
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, s: Settings, doc_id: str = "doc_id", lang: str = "lang", label: str = "quality") -> tuple[dict[str | None, float], float | None]:
@@ -209,14 +273,15 @@ def thresholds(scored: DataFrame, labels: DataFrame, s: Settings, doc_id: str =
 
 
 def judged(df: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, lang, n_symbols, perplexity, threshold, keep`` of every row."""
+    """``doc_id, lang, n_words, perplexity, threshold, keep`` of every row."""
     spark = df.sparkSession
     base = work_dir(spark, "quality-scores")
     model = trained(df, labels, s, doc_id, text)
-    scored = written(perplexities(df.select(doc_id, lang, text), model, s, text), f"{base}/scored")
+    keyed = with_row_key(df.select(F.col(doc_id).alias(doc_id), F.col(lang).alias(lang), F.col(text).alias("text")))
+    scored = written(perplexities(keyed, model, s, base).drop(ROW_KEY), f"{base}/scored")
     own, whole = thresholds(scored, labels, s, doc_id, lang)
     table = spark.createDataFrame([(k, float(v)) for k, v in own.items()], "own_lang string, own double")
     out = scored.join(table, F.col(lang).eqNullSafe(F.col("own_lang")), "left")
     threshold = F.coalesce("own", F.lit(whole).cast("double"))
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
-    return out.select(doc_id, lang, "n_symbols", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
+    return out.select(doc_id, lang, "n_words", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
