@@ -21,6 +21,7 @@ columns, whatever their names, are ignored; an empty table gives an empty result
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,13 +41,15 @@ class Settings:
     least_documents: int = 100
     #: Up to so many trusted ids are broadcast; beyond, both sides are shuffled.
     broadcast_ids: int = 1_000_000
-    #: Rows whose pairs travel together, and the pairs of the model in a share.
-    block: int = 4096
-    share: int = 1 << 21
+    #: Rows whose pairs travel together (at most 256), and the pairs of the model that a task holds.
+    block: int = 256
+    share: int = 1 << 22
 
 
 #: Perplexities are counted in bins of this many to a doubling.
 BINS = 200
+#: Pairs of a block that travel in one row, so that no batch of rows is large.
+SENT = 512
 
 
 def held_out(doc_id: str) -> Column:
@@ -65,72 +68,141 @@ def pairs_of(words: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], words[:-1]]).astype(np.int64) << bits | words if len(words) else words
 
 
-def _counts(trusted: DataFrame, s: Settings) -> DataFrame:
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte by byte: the high bytes are mostly zeros, which compress."""
+    return zlib.compress(np.ascontiguousarray(np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
+def _part(g: np.ndarray, s: Settings, parts: int) -> np.ndarray:
+    return ((g >> s.bits) + 7 * (g & ((1 << s.bits) - 1))) % parts
+
+
+def _runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Of ascending numbers: each with where it begins and ends."""
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], len(part)], strict=True):
+        yield int(part[lo]), lo, hi
+
+
+def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+_COUNTS = (["part", "keys", "n"], [pa.int32(), pa.binary(), pa.binary()])
+
+
+def _counts(trusted: DataFrame, s: Settings, parts: int) -> DataFrame:
+    """``part, keys, n``: all pairs of the trusted texts, one packed row a part (and more only for an empty one)."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             own = [pairs_of(words_of(t, hashes, s.bits), s.bits) for t in part.column(0).to_pylist()]
-            g, n = np.unique(np.concatenate(own), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n, pa.int64())], names=["g", "n"])
-
-    return trusted.select("text").mapInArrow(lambda b: trimmed(count(b)), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-def _discounted(seen: DataFrame) -> Column:
-    """The discount of a row by its count ``n``, from the counts of counts."""
-    r = seen.agg(*[F.count_if(F.col("n") == j).alias(f"n{j}") for j in range(1, 5)]).first()
-    n = [r.n1, r.n2, r.n3, r.n4]
+            g, n = np.unique(np.concatenate(own).astype(np.int64), return_counts=True)
+            of = _part(g, s, parts)
+            order = np.argsort(of, kind="stable")
+            g, n, of = g[order], n[order], of[order]
+            yield _columns([(k, packed(g[lo:hi]), n[lo:hi].astype("<u4").tobytes()) for k, lo, hi in _runs(of)], *_COUNTS)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, g, n = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merge() -> None:
+            nonlocal g, n
+            both = np.concatenate([g, *[x for x, _ in waiting]])
+            g, at = np.unique(both, return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, *[y for _, y in waiting]]), len(g)).astype(np.int64)
+            waiting.clear()
+
+        def row() -> pa.RecordBatch:
+            merge()
+            return _columns([(held, packed(g), n.astype("<u4").tobytes())], *_COUNTS)
+
+        for k, keys, often in (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)):
+            if k != held:
+                if held is not None:
+                    yield row()
+                held, g, n = k, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            waiting.append((unpacked(keys), np.frombuffer(often, "<u4").astype(np.int64)))
+            if sum(len(x) for x, _ in waiting) > s.share // 4:
+                merge()
+        if held is not None:
+            yield row()
+
+    each = trusted.select("text").mapInArrow(lambda b: trimmed(count(b)), "part int, keys binary, n binary")
+    return each.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda b: trimmed(merged(b)), each.schema)
+
+
+def _summed(counts: DataFrame, of, s: Settings) -> dict[str, np.ndarray]:
+    """Sums over all pairs: ``of(g, n)`` gives by name cells and what is added there; at most a row a cell comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for name, (cell, x) in of(unpacked(keys), np.frombuffer(n, "<u4").astype(np.int64)).items():
+                    total = np.bincount(cell, x, 1 << s.bits).astype(np.float64)
+                    met = np.flatnonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(met), pa.string()), pa.array(met, pa.int64()), pa.array(total[met])], names=["name", "cell", "x"])
+
+    found = counts.mapInArrow(lambda b: trimmed(run(b)), "name string, cell long, x double").groupBy("name", "cell").agg(F.sum("x").alias("x")).toArrow()
+    out: dict[str, np.ndarray] = {}
+    names, cells, x = found.column("name").to_numpy(), found.column("cell").to_numpy(), found.column("x").to_numpy()
+    for name in set(names.tolist()):
+        out[name] = np.zeros(1 << s.bits)
+        out[name][cells[names == name]] = x[names == name]
+    return out
+
+
+def _discounts(times: np.ndarray) -> np.ndarray:
+    """Discounts of rows by their count (3 for all larger ones), from the numbers of rows with counts 1 to 4."""
+    n = times.tolist()
     y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    d = [min(j, max(0.05, j - (j + 1) * y * n[j] / n[j - 1])) if n[j - 1] else 0.5 * j for j in (1, 2, 3)]
-    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    return np.array([0, *[min(j, max(0.05, j - (j + 1) * y * n[j] / n[j - 1])) if n[j - 1] else 0.5 * j for j in (1, 2, 3)]])
 
 
 @dataclass
 class Model:
-    """By bucket: log2 of a word's probability after an unknown one, and of the weight that a word leaves to it.
+    """By bucket: a word's probability after an unknown one; how often a word comes before another, and the weight it leaves to the lower order.
 
-    ``gains`` (``g, gain, part``) has what a seen pair's log2 probability is
-    above the sum of those two.
+    ``counts`` has the pairs, packed by part; ``discounts`` are theirs.
     """
 
     word: np.ndarray
+    total: np.ndarray
     rest: np.ndarray
-    gains: DataFrame
+    discounts: np.ndarray
+    counts: DataFrame
     parts: int
 
-
-def _part(g: Column, s: Settings, parts: int) -> Column:
-    return F.pmod(F.shiftright(g, s.bits) + 7 * g.bitwiseAND(F.lit((1 << s.bits) - 1)), F.lit(parts)).cast("int")
+    def gains(self, g: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+        """What seen pairs' log2 probabilities are above those of their words after unknown ones, with the weight left to them."""
+        v = g >> bits
+        lower = self.rest[v] * self.word[g & ((1 << bits) - 1)]
+        return np.log2((n - self.discounts[np.minimum(n, 3)]) / self.total[v] / lower + 1)
 
 
-def modelled(counts: DataFrame, s: Settings, base: str) -> Model:
-    """Interpolated probabilities from written counts ``g, n`` of pairs.
+def modelled(counts: DataFrame, s: Settings, parts: int) -> Model:
+    """Interpolated probabilities from the written counts of pairs.
 
     A single word counts as often as there are different words before it.
     """
-    buckets = 1 << s.bits
-    w, v = F.col("g").bitwiseAND(F.lit(buckets - 1)), F.shiftright("g", s.bits)
-    single = written(counts.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n")), f"{base}/single")
-    d1 = _discounted(single)
-    total = single.agg(F.sum("n").alias("n"), F.sum(d1).alias("d")).first()
-    left = (total.d / total.n) if total.n else 1.0
-    word = np.full(buckets, left / buckets, np.float64)
-    if total.n:
-        t = single.select("w", ((F.col("n") - d1) / total.n).alias("p")).toArrow()  # at most a row a bucket
-        word[t.column("w").to_numpy()] += t.column("p").to_numpy()
-    d2 = _discounted(counts)
-    contexts = written(counts.groupBy(v.alias("v")).agg(F.sum("n").alias("total"), (F.sum(d2) / F.sum("n")).alias("rest")), f"{base}/contexts")
-    rest = np.ones(buckets, np.float64)
-    t = contexts.select("v", "rest").toArrow()  # at most a row a bucket
-    rest[t.column("v").to_numpy()] = t.column("rest").to_numpy()
-    one = single.select("w", (F.lit(left / buckets) + (F.col("n") - d1) / F.lit(float(total.n or 1))).alias("p"))
-    few = F.broadcast  # both tables have at most a row a bucket
-    own = counts.select("g", v.alias("v"), w.alias("w"), "n", d2.alias("d")).join(few(contexts), "v").join(few(one), "w")
-    lower = F.col("rest") * F.col("p")
-    gain = F.log2((F.col("n") - F.col("d")) / F.col("total") + lower) - F.log2(lower)
-    parts = max(16, -(-counts.count() // s.share))
-    gains = written(own.select("g", gain.cast("float").alias("gain"), _part(F.col("g"), s, parts).alias("part")), f"{base}/gains")
-    return Model(np.log2(word).astype(np.float32), np.log2(rest).astype(np.float32), gains, parts)
+    mask = (1 << s.bits) - 1
+    first = _summed(counts, lambda g, n: {"single": (g & mask, None), "times": (np.minimum(n, 5), None)}, s)
+    single, times = (first.get(k, np.zeros(mask + 1)) for k in ("single", "times"))
+    d1 = _discounts(np.bincount(np.minimum(single, 5).astype(int), minlength=6)[1:5])
+    d2 = _discounts(times[1:5])
+    off = d1[np.minimum(single, 3).astype(int)]
+    seen = single.sum()
+    word = (single - off) / seen + off.sum() / seen / (mask + 1) if seen else np.full(mask + 1, 1 / (mask + 1))
+    second = _summed(counts, lambda g, n: {"total": (g >> s.bits, n), "left": (g >> s.bits, d2[np.minimum(n, 3)])}, s)
+    total, left = (second.get(k, np.zeros(mask + 1)) for k in ("total", "left"))
+    rest = np.where(total > 0, left / np.maximum(total, 1), 1.0)
+    return Model(word, total, rest, d2, counts, parts)
 
 
 def trained(df: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
@@ -140,7 +212,9 @@ def trained(df: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id:
     ids = written(ids, f"{base}/trusted")
     small = ids.limit(s.broadcast_ids + 1).count() <= s.broadcast_ids
     own = df.select(doc_id, F.col(text).alias("text")).join(F.broadcast(ids) if small else ids, doc_id, "left_semi").select("text")
-    return modelled(written(_counts(own, s), f"{base}/counts"), s, base)
+    words = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(16, -(-words // (6 * s.share)))  # a word has six bytes or more, with its space
+    return modelled(written(_counts(own, s, parts), f"{base}/counts"), s, parts)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[tuple[int, int, list[int], list[str | None]]]:
@@ -161,8 +235,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[tuple[in
 
 def perplexities(keyed: DataFrame, model: Model, s: Settings, base: str) -> DataFrame:
     """``keyed`` (a row key, the text, others) without its text, with ``n_words`` and ``perplexity``."""
-    shared = keyed.sparkSession.sparkContext.broadcast((model.word, model.rest))
-    mask, parts = (1 << s.bits) - 1, model.parts
+    spark, parts = keyed.sparkSession, model.parts
+    shared = spark.sparkContext.broadcast((np.log2(model.word), np.log2(model.rest)))
+    whole = spark.sparkContext.broadcast(Model(model.word, model.total, model.rest, model.discounts, None, parts))
     rows = keyed.select(F.col(f"{ROW_KEY}.file").alias("file"), F.col(f"{ROW_KEY}.row").alias("row"), "text")
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,72 +248,81 @@ def perplexities(keyed: DataFrame, model: Model, s: Settings, base: str) -> Data
             for text in part.column(2).to_pylist():
                 x = words_of(text, hashes, s.bits)
                 n.append(len(x))
-                found.append(float(word[x].sum(dtype=np.float64) + rest[x[:-1]].sum(dtype=np.float64) + rest[0]) if len(x) else 0.0)
+                found.append(float(word[x].sum() + rest[x[:-1]].sum() + rest[0]) if len(x) else 0.0)
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(n, pa.int64()), pa.array(found, pa.float64())], names=["file", "row", "n_words", "base"])
 
+    asking = ["part", "file", "first", "keys", "rows", "at", "more", "often"]
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct pairs of a block by part, ascending; for each the number of rows that have it, those rows, and how often."""
         hashes = WordHashes()
         for file, first, places, texts in _blocks(batches, s):
             own = [np.unique(pairs_of(words_of(t, hashes, s.bits), s.bits), return_counts=True) for t in texts]
             g = np.concatenate([x for x, _ in own]).astype(np.int64)
-            n = np.minimum(np.concatenate([c for _, c in own]), 0xFFFFFFFF).astype(np.uint32)
-            at = np.repeat(np.array(places, np.uint16), [len(x) for x, _ in own])
-            part = ((g >> s.bits) + 7 * (g & mask)) % parts
+            n = np.concatenate([c for _, c in own]).astype("<u4")
+            at = np.repeat(np.array(places, np.uint8), [len(x) for x, _ in own])
+            part = _part(g, s, parts)
             order = np.lexsort((g, part))
             g, n, at, part = g[order], n[order], at[order], part[order]
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(g) else np.zeros(0, int)
             out = []
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(g)), strict=True):
-                keys, rows = np.unique(g[lo:hi], return_counts=True)
-                often = n[lo:hi]
-                more = np.flatnonzero(often > 1).astype(np.uint32)
-                out.append((int(part[lo]), file, first, keys.tobytes(), rows.astype(np.uint16).tobytes(), at[lo:hi].tobytes(), more.tobytes(), often[more].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5])], names=["part", "file", "first", "keys", "rows", "at", "more", "often"])
+            for k, begin, end in _runs(part):
+                for lo in range(begin, end, SENT):  # a key may go on in the next row
+                    hi = min(lo + SENT, end)
+                    keys, times = np.unique(g[lo:hi], return_counts=True)
+                    more = np.flatnonzero(n[lo:hi] > 1).astype("<u4")
+                    out.append((k, file, first, packed(keys), zlib.compress(times.astype("<u2").tobytes(), 1), at[lo:hi].tobytes(), more.tobytes(), n[lo:hi][more].tobytes()))
+            yield _columns(out, asking, [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by part, pairs of the model first: of each block the sums by row over the part's pairs."""
-        part, g, gain, known = None, [], [], None
-        for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
-            ids, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out = []
-            for k in np.unique(ids).tolist():
+        nothing = np.zeros(1, np.int64) - 1, np.zeros(1)
+        part, (known, gain) = None, nothing
+        block, sums, out = None, np.zeros(s.block), []
+
+        def done() -> None:
+            nonlocal sums
+            if block is not None and len(hit := np.flatnonzero(sums)):
+                out.append((*block, hit.astype(np.uint8).tobytes(), sums[hit].astype("<f4").tobytes()))
+                sums = np.zeros(s.block)
+
+        def found() -> pa.RecordBatch:
+            return _columns(out, ["file", "first", "at", "gain"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            for k, kind, file, first, keys, rows, at, more, often in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (file, first) != block or k != part:
+                    done()
+                    block = None if kind == 0 else (file, first)
+                keys = unpacked(keys)
                 if k != part:
-                    part, g, gain, known = k, [], [], None
-                own = np.flatnonzero((ids == k) & (kinds == 0))
-                if len(own):
-                    g.append(batch.column(2).take(pa.array(own)).to_numpy())
-                    gain.append(batch.column(3).take(pa.array(own)).to_numpy())
-                asked = np.flatnonzero((ids == k) & (kinds == 1))
-                if len(asked) and known is None:
-                    known = (np.concatenate([*g, np.full(1, -1)]), np.concatenate([*gain, np.zeros(1, np.float32)]))
-                    order = np.argsort(known[0])
-                    known, g, gain = (known[0][order], known[1][order]), [], []
-                for r in asked.tolist():
-                    file, first, keys, rows, at, more, often = (batch.column(c)[r].as_py() for c in range(4, 11))
-                    keys = np.frombuffer(keys, np.int64)
-                    place = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
-                    value = np.where(known[0][place] == keys, known[1][place], 0)
-                    each = np.repeat(value, np.frombuffer(rows, np.uint16)).astype(np.float64)
-                    more = np.frombuffer(more, np.uint32)
-                    each[more] *= np.frombuffer(often, np.uint32)
-                    sums = np.bincount(np.frombuffer(at, np.uint16), each, s.block)
-                    hit = np.flatnonzero(sums)
-                    out.append((file, first, hit.astype(np.uint16).tobytes(), sums[hit].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.binary(), pa.binary()])], names=["file", "first", "at", "gain"])
+                    part, (known, gain) = k, nothing
+                if kind == 0:
+                    if len(keys):
+                        known, gain = keys, whole.value.gains(keys, np.frombuffer(often, "<u4").astype(np.int64), s.bits)
+                    continue
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                each = np.repeat(np.where(known[place] == keys, gain[place], 0), np.frombuffer(zlib.decompress(rows), "<u2"))
+                more = np.frombuffer(more, "<u4")
+                each[more] *= np.frombuffer(often, "<u4")
+                sums += np.bincount(np.frombuffer(at, np.uint8), each, s.block)
+            yield found()
+            out = []
+        done()
+        yield found()
 
     def added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sums = np.zeros(s.block)
         for at, gain in zip(table.column("at").to_pylist(), table.column("gain").to_pylist(), strict=True):
-            sums[np.frombuffer(at, np.uint16)] += np.frombuffer(gain, np.float64)
+            sums[np.frombuffer(at, np.uint8)] += np.frombuffer(gain, "<f4")
         hit = np.flatnonzero(sums)
         return pa.table({"file": pa.array(np.full(len(hit), key[0].as_py()), pa.int64()), "row": pa.array(key[1].as_py() + hit, pa.int64()), "gain": pa.array(sums[hit])})
 
     asked = rows.mapInArrow(lambda b: trimmed(ask(b)), "part int, file long, first long, keys binary, rows binary, at binary, more binary, often binary")
     none = F.lit(None)
-    known = model.gains.select("part", F.lit(0).alias("kind"), "g", "gain", *[none.cast(t).alias(c) for c, t in asked.dtypes[1:]])
-    both = known.unionByName(asked.select("part", F.lit(1).alias("kind"), none.cast("long").alias("g"), none.cast("float").alias("gain"), *asked.columns[1:]))
-    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    empty = [none.cast("binary").alias(c) for c in ("rows", "at", "more")]
+    known = model.counts.select("part", F.lit(0).alias("kind"), none.cast("long").alias("file"), none.cast("long").alias("first"), "keys", *empty, F.col("n").alias("often"))
+    both = known.unionByName(asked.select("part", F.lit(1).alias("kind"), *asking[1:]))
+    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "kind", "file", "first")
     sums = dealt.mapInArrow(lambda b: trimmed(answer(b)), "file long, first long, at binary, gain binary")
     gains = sums.groupBy("file", "first").applyInArrow(added, "file long, row long, gain double")
     scored = written(rows.mapInArrow(lambda b: trimmed(lower(b)), "file long, row long, n_words long, base double"), f"{base}/lower")
