@@ -36,7 +36,7 @@ from .rows import ROW_KEY, trimmed, with_row_key, work_dir, written
 
 @dataclass(frozen=True)
 class Settings:
-    bits: int = 20  #: words have 2 ** bits buckets; the first stands before each text
+    bits: int = 18  #: words have 2 ** bits buckets; the first stands before each text
     quantile: float = 0.98
     least_documents: int = 100
     #: Up to so many trusted ids are broadcast; beyond, both sides are shuffled.
@@ -49,7 +49,7 @@ class Settings:
 #: Perplexities are counted in bins of this many to a doubling.
 BINS = 200
 #: Pairs of a block that travel in one row, so that no batch of rows is large.
-SENT = 512
+SENT = 1024
 
 
 def held_out(doc_id: str) -> Column:
