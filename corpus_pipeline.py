@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioscope.llm import decontamination, exact_dedup, ngram_join, packing, toxicity
 from folioscope.llm.rows import work_dir, written
@@ -21,8 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.scored(docs, model, score="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.CUT).select(*docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
