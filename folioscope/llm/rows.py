@@ -5,9 +5,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
+import pickle
 import tempfile
+import traceback
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +64,32 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def apart(work: Callable[[], object]) -> object:
+    """What ``work`` gives, from a child process, whose memory is gone afterwards."""
+    here, there = os.pipe()
+    if not (child := os.fork()):
+        code = 1
+        try:
+            with os.fdopen(there, "wb") as out:
+                pickle.dump(work(), out)
+            code = 0
+        except BaseException:
+            traceback.print_exc()
+        finally:
+            os._exit(code)
+    os.close(there)
+    with os.fdopen(here, "rb") as found:
+        raw = found.read()
+    if os.waitpid(child, 0)[1]:
+        raise RuntimeError("a child process failed; its message is in the log of the task")
+    return pickle.loads(raw)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of texts go to Python workers a thousand at a time, so that batches stay small there and in the executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """Add ``_row_key``, which tells rows apart even if their ids repeat.
 
