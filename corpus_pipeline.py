@@ -13,29 +13,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import decontamination, exact_dedup, ngram_join, packing, toxicity
-from folioscope.llm.rows import work_dir, written
+from folioscope.llm.rows import small_batches, work_dir, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.packed(docs)
 
 
