@@ -6,7 +6,9 @@ link density of the blocks before and after). A decision tree grown on a small
 labelled table says which blocks are main text.
 
 Defined results: null and empty pages have an empty text; markup that is cut
-off or never closed ends with the page; repeated rows are extracted once each.
+off or never closed ends with the page; a page of any length is worked through
+whole; repeated rows are extracted once each; carried columns with the name of a
+result column are replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,8 +44,10 @@ _HINT = re.compile(
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|$|=|/)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+#: What follows a tag's name; a quoted value may hold ">".
+REST = r"""(?:[^<>=]++|=\s*+"[^"<]*"|=\s*+'[^'<]*'|=)*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>[^<>]*)>|<[!?][^<>]*>|<[a-zA-Z/!?][^<>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){REST}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>{REST})>|<[!?][^<>]*>|<[a-zA-Z/!?][^<>]*\Z",
     re.S | re.I,
 )
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "boilerplate", "in_article", "heading", "list_item")
@@ -251,9 +255,7 @@ def main_text(source: str | None, tree: Node) -> str:
 
 def extracted(df: DataFrame, html_column: str = "html", carry: list[str] | None = None, tree: Node | None = None) -> DataFrame:
     """The columns of ``carry`` (all but the html by default), ``text`` and ``n_chars``."""
-    carry = [c for c in df.columns if c != html_column] if carry is None else carry
-    if {"text", "n_chars"} & set(carry):
-        raise ValueError("columns text and n_chars are taken")
+    carry = [c for c in (df.columns if carry is None else carry) if c not in (html_column, "text", "n_chars")]
     tree = tree or default_tree()
     schema = T.StructType([*[df.schema[c] for c in carry], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 

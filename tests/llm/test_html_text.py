@@ -62,3 +62,17 @@ def test_frame(spark):
     got = html_text.extracted(df).collect()
     assert [r.n_chars for r in got] == [len(text(PAGE))] * 2 + [0] and got[2].text == ""
     assert html_text.extracted(df.where("page_id > 5")).count() == 0
+
+
+def test_quoted_values_may_hold_the_end_of_a_tag():
+    page = """<article><p title="a > b">Hello there, this is a paragraph of words.</p><p data-x='1 > 0' class=it's>Second one, don't cut it here please.</p><a href="open>not closed</a></article>"""
+    blocks = html_text.blocks_of(page)
+    assert [b.text for b in blocks][:2] == ["Hello there, this is a paragraph of words.", "Second one, don't cut it here please."]
+    assert blocks[2].text == "not closed"
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "<article><p>One two three four five six.</p></article>", "x", 7)], "page_id long, html string, text string, n_chars int")
+    out = html_text.extracted(df)
+    assert out.columns == ["page_id", "text", "n_chars"] and out.first().text == "One two three four five six."
+    assert html_text.extracted(df.where("page_id > 1")).count() == 0
