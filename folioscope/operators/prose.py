@@ -1,6 +1,7 @@
 """Readability and load metrics of prose, one row per document.
 
-All metrics come from arrays within the row: nothing is exploded or shuffled.
+All metrics come from arrays within the row: nothing is exploded, and rows are
+shuffled only where a small source has fewer splits than there are cores.
 Texts of under 50 words or three sentences aren't scored (null metrics).
 """
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .spread import spread
 
 #: metric -> (finding code, limit, above or below which it warns)
 LIMITS = {
@@ -26,7 +28,7 @@ def _share(array: str, test) -> Column:
 
 def metrics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``n_words, n_sentences, n_syllables`` and the eight metrics."""
-    out = df.withColumn("_prose", t.prose(F.col(text)))
+    out = spread(df).withColumn("_prose", t.prose(F.col(text)))
     out = out.withColumns({"_sentences": t.sentences(F.col("_prose")), "_words": t.words(F.col("_prose"))})
     total = F.aggregate("_words", F.lit(0).cast("long"), lambda acc, w: acc + t.syllables(w))
     out = out.withColumns({"n_words": F.size("_words").cast("long"), "n_sentences": F.size("_sentences").cast("long"), "n_syllables": total})

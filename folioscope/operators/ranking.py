@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .spread import spread
 
 
 def term_frequency(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -24,22 +25,36 @@ def smoothed_idf(terms: DataFrame, documents: int) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(documents)) / (1 + F.col("df"))) + 1)
 
 
+def _token_arrays(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, tokens``, cached: tokens are costly, and the plans here read them several times."""
+    return spread(df.select(key, text)).select(key, t.tokens(F.col(text)).alias("tokens")).persist()
+
+
+def _terms(arrays: DataFrame, key: str) -> DataFrame:
+    return arrays.select(key, F.explode("tokens").alias("term"))
+
+
 def cosine_topk(queries: DataFrame, documents: DataFrame, query_key: str, doc_key: str, text: str = "text", k: int = 3) -> DataFrame:
     """The ``k`` most similar documents of each query; ties go to the smaller key.
 
-    Norms are summed by document before the join; only documents that share a
-    term with a query meet it. The join is by term, so no pairs are formed that
-    have nothing in common.
+    A query's weights come from it and the documents alone, so its scores don't
+    depend on other queries: ``N`` is one more than the documents, and a term of
+    the query counts as one document more. That changes the norm of a document
+    only by the terms it shares with the query, so norms are summed once and
+    corrected after the join, which is by term.
     """
-    q, d = token_sets(queries, query_key, text), token_sets(documents, doc_key, text)
-    idf = smoothed_idf(q.select("term").unionByName(d.select("term")), queries.count() + documents.count()).select("term", "idf")
-    weigh = lambda x: x.join(idf, "term").withColumn("w", F.col("idf") / F.col("size"))
-    q, d = weigh(q), weigh(d)
-    norms = lambda x, key: x.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{key}_norm"))
-    dots = q.select(query_key, "term", F.col("w").alias("qw")).join(d.select(doc_key, "term", F.col("w").alias("dw")), "term")
-    dots = dots.groupBy(query_key, doc_key).agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
-    scored = dots.join(norms(q, query_key), query_key).join(norms(d, doc_key), doc_key)
-    score = F.round(F.col("dot") / (F.col(f"{query_key}_norm") * F.col(f"{doc_key}_norm")), 6)
+    d_sets = _token_arrays(documents, doc_key, text)
+    q, d = _terms(_token_arrays(queries, query_key, text), query_key), _terms(d_sets, doc_key)
+    total = F.broadcast(d_sets.agg((F.count(F.lit(1)) + 1).cast("double").alias("total")))  # one row
+    df = d.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weigh = lambda more: F.pow(F.log(F.col("total") / (F.lit(more) + F.coalesce("df", F.lit(0)))) + 1, F.lit(2.0))
+    q = q.join(df, "term", "left").crossJoin(total).select(query_key, "term", weigh(2).alias("own"), weigh(1).alias("plain"))
+    plain = df.crossJoin(total).select("term", weigh(1).alias("plain"))
+    d_norm = d.join(plain, "term").groupBy(doc_key).agg(F.sum("plain").alias("d_norm"))
+    q_norm = q.groupBy(query_key).agg(F.sum("own").alias("q_norm"))
+    shared = q.join(d, "term").groupBy(query_key, doc_key).agg(F.sum("own").alias("dot"), F.sum(F.col("own") - F.col("plain")).alias("change"))
+    scored = shared.join(q_norm, query_key).join(d_norm, doc_key)
+    score = F.round(F.col("dot") / (F.sqrt("q_norm") * F.sqrt(F.col("d_norm") + F.col("change"))), 6)
     ranked = scored.select(query_key, doc_key, score.alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key))
     return ranked.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
@@ -47,6 +62,5 @@ def cosine_topk(queries: DataFrame, documents: DataFrame, query_key: str, doc_ke
 
 def overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: int, text: str = "text") -> DataFrame:
     """Pairs that share ``least`` tokens or more, met by token."""
-    a = token_sets(left, left_key, text).select(left_key, "term")
-    b = token_sets(right, right_key, text).select(right_key, "term")
+    a, b = _terms(_token_arrays(left, left_key, text), left_key), _terms(_token_arrays(right, right_key, text), right_key)
     return a.join(b, "term").groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)

@@ -47,11 +47,12 @@ def smoothed_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH q AS ({_TOKENS.format(key='item_id', table='benchmark')}), d AS ({_TOKENS.format(key='doc_id', table='documents')}),
-    i AS (SELECT term, ln(((SELECT count(*) FROM benchmark) + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(*))) + 1 AS idf FROM (SELECT term FROM q UNION ALL SELECT term FROM d) GROUP BY term),
-    qw AS (SELECT item_id, term, idf / count(*) OVER (PARTITION BY item_id) AS w FROM q JOIN i USING (term)), dw AS (SELECT doc_id, term, idf / count(*) OVER (PARTITION BY doc_id) AS w FROM d JOIN i USING (term)),
-    qn AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY 1),
-    s AS (SELECT item_id, doc_id, sum(qw.w * dw.w) AS dot FROM qw JOIN dw USING (term) GROUP BY 1, 2),
-    r AS (SELECT item_id, doc_id, round(dot / (qn.n * dn.n), 6) AS score FROM s JOIN qn USING (item_id) JOIN dn USING (doc_id)),
+    t AS (SELECT count(*)::DOUBLE + 1 AS total FROM documents), f AS (SELECT term, count(*) AS df FROM d GROUP BY 1),
+    x AS (SELECT b.item_id, d.doc_id, q.term IS NOT NULL AS own, ln(total / (1 + df + CASE WHEN q.term IS NULL THEN 0 ELSE 1 END)) + 1 AS w
+        FROM (SELECT DISTINCT item_id FROM benchmark) b CROSS JOIN d JOIN f USING (term) CROSS JOIN t LEFT JOIN q ON q.item_id = b.item_id AND q.term = d.term),
+    s AS (SELECT item_id, doc_id, sum(w * w) FILTER (own) AS dot, sum(w * w) AS dn FROM x GROUP BY 1, 2),
+    qn AS (SELECT item_id, sum((ln(total / (2 + coalesce(df, 0))) + 1) ** 2) AS qn FROM q LEFT JOIN f USING (term) CROSS JOIN t GROUP BY 1),
+    r AS (SELECT item_id, doc_id, round(dot / (sqrt(qn) * sqrt(dn)), 6) AS score FROM s JOIN qn USING (item_id) WHERE dot IS NOT NULL),
     n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) SELECT * FROM n WHERE rank <= 3""")
 def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.cosine_topk(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", "doc_id")
