@@ -17,6 +17,10 @@ SECRETS = {
     "SEC006": r"(?:sk-|sk_live_|sk_test_)[a-zA-Z0-9]{20,}",
 }
 ANNOTATION = r"(TODO|FIXME|HACK|XXX|TEMP|WORKAROUND)[ \t]*[(:][ \t]*(.*)"
+#: What skips a test, and the comments that give a reason.
+SKIP = r"\b(?:test|it|describe)\.skip[ \t]*\(|\b(?:xit|xdescribe|xtest)[ \t]*\(|\.todo[ \t]*\("
+REASON_LINE = r"(?i)//[ \t]*(?:REASON|SKIP|TODO|FIXME|NOTE|WHY)[ \t]*:"
+REASON_BLOCK = r"(?is)/\*.*?(?:REASON|SKIP|TODO|FIXME|NOTE|WHY)[ \t\r\n]*:"
 COMMENT = r"^(?:.*?)(?://|#|/\*|<!--|^[ \t]*\*[ \t])(.*)$"
 
 
@@ -40,11 +44,10 @@ def annotations(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def skipped_tests(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, line, has_reason``: skipped tests, a reason being a comment from three lines before to one after."""
+    """``key, line, has_reason``: skipped tests of scripts; a reason is a marked comment from three lines before to one after."""
     w = Window.partitionBy(key).orderBy("line").rowsBetween(-3, 1)
-    near = numbered_lines(df, key, text).withColumn("near", F.max(F.col("content").rlike(r"(?i)(//|#|/\*).*(reason|because|skip|todo|flaky|pending|see)")).over(w))
-    skip = r"(?:^|[^A-Za-z0-9_.])(?:x?(?:it|test|describe)\.skip|xit|xtest|xdescribe)[ \t]*\(|@pytest\.mark\.skip|@unittest\.skip|@Disabled|@Ignore|t\.Skip\("
-    return near.where(F.col("content").rlike(skip)).select(key, "line", F.col("near").alias("has_reason"))
+    near = numbered_lines(df.where(F.col(text).rlike(SKIP)), key, text).withColumn("near", F.array_join(F.collect_list("content").over(w), "\n"))
+    return near.where(F.col("content").rlike(SKIP)).select(key, "line", (F.col("near").rlike(REASON_LINE) | F.col("near").rlike(REASON_BLOCK)).alias("has_reason"))
 
 
 def html_headings(df: DataFrame, key: str, html: str) -> DataFrame:

@@ -288,9 +288,23 @@ def todo_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.annotations(SOURCES.df(spark), "path", "content")
 
 
-@query(None)
+SKIPPED = Inline(
+    "skipped", "path string, content string",
+    (
+        ("a.test.js", "import x\nit.skip('one', f)\nit('two', f)"),
+        ("b.test.js", "// REASON: slow\n\n\ntest.skip('three', f)\nit('x')\nit('y')\nit('z')\nxit('four', f)"),
+        ("c.test.js", "/*\n * why : flaky\n */\ndescribe.skip('five', f)\ntest.todo('six')\n// see the tracker\n\nxtest ('seven')"),
+        ("d.js", "const exit = 1; exit(0)\nwaxit(1)\n// skip because\nxdescribe('eight')"),
+        ("e.js", ""),
+    ),
+)
+
+
+@query(f"""WITH {SKIPPED.cte()}, l AS (SELECT path, unnest(c) AS content, generate_subscripts(c, 1) AS line FROM (SELECT path, string_split(content, chr(10)) AS c FROM skipped)),
+    n AS (SELECT path, line, content, string_agg(content, chr(10)) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS near FROM l)
+    SELECT path, line, regexp_matches(near, '{extract.REASON_LINE}') OR regexp_matches(near, '{extract.REASON_BLOCK}') AS has_reason FROM n WHERE regexp_matches(content, '{extract.SKIP}')""")
 def skipped_tests_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.skipped_tests(SOURCES.df(spark), "path", "content")
+    return extract.skipped_tests(SKIPPED.df(spark), "path", "content")
 
 
 _HEADINGS = r"""SELECT page_id, place - 1 AS place, CAST(regexp_extract(raw, '<h([1-6])', 1) AS INTEGER) AS level, regexp_extract(raw, '(?s)>([^<]*)<', 1) AS heading FROM (
