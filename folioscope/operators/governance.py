@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as t
-
 #: The weight of each score category.
 WEIGHTS = {"structure": 25, "docQuality": 20, "testing": 15, "security": 10, "environment": 10, "drift": 10, "changelog": 5, "architecture": 5}
-NEGATION = r"(?:^|[^a-z])(never|not|no|dont|do not|cannot|avoid|forbid)(?:[^a-z]|$)"
 ENV_LEXER = r"""//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|'(?:[^'\\\n]|\\.)*+'|"(?:[^"\\\n]|\\.)*+"|`(?:[^`\\]|\\.)*+`|(?:process\.env\.|import\.meta\.env\.)([A-Z][A-Z0-9_]*)"""
 
 
@@ -59,16 +56,6 @@ def traced(docs: DataFrame, sources: DataFrame, tests: DataFrame, key: str = "do
     return out.select(key, state.alias("state"))
 
 
-def contradictions(rules: DataFrame, key: str, text: str) -> DataFrame:
-    """``a, b``: rules that are the same but for a negation, paired with the first of the other sign."""
-    norm = t.rule_norm(F.col(text))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(norm, r"\b(never|always|not|no|dont|do not|cannot|must|should)\b", " "), " +", " "))
-    x = rules.select(key, bare.alias("bare"), norm.rlike(NEGATION).alias("negated")).where("bare <> ''")
-    first = x.groupBy("bare", "negated").agg(F.min(key).alias("first"))
-    a, b = first.where("NOT negated").select("bare", F.col("first").alias("a")), first.where("negated").select("bare", F.col("first").alias("b"))
-    return a.join(b, "bare").select("a", "b")
-
-
 def env_reads(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, name``: environment variables read in code, not in its comments and strings."""
     names = F.array_distinct(F.filter(F.regexp_extract_all(F.col(text), F.lit(ENV_LEXER), F.lit(1)), lambda x: x != ""))
@@ -110,14 +97,6 @@ def count_claims(df: DataFrame, key: str, text: str, actual: dict[str, int]) ->
     return x.withColumn("actual", known[F.col("noun")].cast("long")).where("claimed <> actual")
 
 
-def smells(units: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, code``: units of documentation with hardly any prose, or with too much."""
-    total = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\r\n\f]+"), lambda w: w != ""))
-    prose = F.aggregate(F.transform(t.outside_fences(F.col(text)), lambda x: F.when(x.rlike(r"^(#|\||$)"), 0).otherwise(F.size(F.split(x, r"[ \t]+")))), F.lit(0), lambda a, n: a + n)
-    code = F.when(prose <= 6, "APS002").when(total >= 300, "APS001")
-    return units.select(key, code.alias("code")).where("code IS NOT NULL")
-
-
 def repeated_fixes(applied: DataFrame, candidates: DataFrame, most: int = 2) -> DataFrame:
     """Candidate fixes without those that were applied ``most`` times already (by type, file and summary)."""
     mark = F.substring(F.sha2(F.concat_ws("|", "type", "file", "summary"), 256), 1, 12).alias("mark")

@@ -29,9 +29,11 @@ def reverse_reach(edges: DataFrame, changed: DataFrame, hops: int = 2, hub_degre
 
 
 def cycles(edges: DataFrame, most: int = 5) -> DataFrame:
-    """All simple cycles of two to ``most`` nodes, each once: ``length, path`` from its smallest node.
+    """Simple cycles of two to ``most`` nodes: ``length, path`` from its smallest node, one for each set of nodes.
 
-    Paths only go on through larger nodes than their first, so that a cycle is met once.
+    Paths only go on through larger nodes than their first, so that a cycle is met once;
+    of cycles through the same nodes the first path stays. No cycle is missed, as a
+    search that visits a node once would.
     """
     e = edges.select("src", "dst").where("src <> dst").distinct()
     paths, found = e.where("src < dst").select(F.array("src", "dst").alias("path")), []
@@ -42,4 +44,5 @@ def cycles(edges: DataFrame, most: int = 5) -> DataFrame:
         if n < most:
             on = at.join(e, "src").where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst")))
             paths = on.select(F.concat("path", F.array("dst")).alias("path"))
-    return reduce(DataFrame.unionByName, found)
+    nodes = F.array_sort(F.split("path", ">")).alias("_nodes")
+    return reduce(DataFrame.unionByName, found).groupBy("length", nodes).agg(F.min("path").alias("path")).drop("_nodes")

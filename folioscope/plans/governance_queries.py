@@ -86,16 +86,6 @@ def trace_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.traced(docs, li.where("l_quantity > 48").select("doc"), li.where("l_quantity < 2").select("doc"))
 
 
-RULES = Inline("rules", "id long, rule string", ((1, "Always commit the lock file."), (2, "Never commit the lock file!"), (3, "Don't push to main"), (4, "push to main"), (5, "Tests must pass"), (6, "")))
-
-
-@query(f"""WITH {RULES.cte()}, n AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(rule), '[''’]', '', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM rules),
-    b AS (SELECT id, trim(regexp_replace(regexp_replace(norm, '\\b(never|always|not|no|dont|do not|cannot|must|should)\\b', ' ', 'g'), ' +', ' ', 'g')) AS bare, regexp_matches(norm, '{governance.NEGATION}') AS negated FROM n),
-    f AS (SELECT bare, negated, CAST(min(id) AS BIGINT) AS first FROM b WHERE bare <> '' GROUP BY 1, 2) SELECT x.first AS a, y.first AS b FROM f x JOIN f y USING (bare) WHERE NOT x.negated AND y.negated""")
-def instruction_negations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.contradictions(RULES.df(spark), "id", "rule")
-
-
 SCRIPTS = Inline(
     "scripts", "path string, content string",
     (("ui/a.js", "import x from './b';\nconst y = require('../db/c');\nawait import('./late');\nprocess.env.API_KEY; // process.env.NOT_THIS\nlet s = 'process.env.NOR_THIS'; /* process.env.NO */ process.env.LAST_ONE"),
@@ -108,7 +98,11 @@ def env_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.env_reads(SCRIPTS.df(spark), "path", "content")
 
 
-@query(None)
+_IMPORT = "(SELECT src, unnest(regexp_extract_all(content, '{0}', 1)) AS target, {1} AS dynamic FROM (SELECT path AS src, content FROM scripts))"
+_FORMS = (("import\\s+(?:[^''\"\\n;]+?\\s+from\\s+)?[''\"]([^''\"]+)[''\"]", "false"), ("require\\(\\s*[''\"]([^''\"]+)[''\"]\\s*\\)", "false"), ("import\\(\\s*[''\"]([^''\"]+)[''\"]\\s*\\)", "true"))
+
+
+@query(f"WITH {SCRIPTS.cte()} SELECT * FROM " + " UNION ALL SELECT * FROM ".join(_IMPORT.format(p, d) for p, d in _FORMS))
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.imports(SCRIPTS.df(spark), "path", "content")
 
@@ -138,13 +132,6 @@ def count_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.count_claims(CLAIMS.df(spark), "doc", "content", {"validators": 27, "commands": 3})
 
 
-@query(r"""WITH u AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\r\n\f]+'), lambda w: w <> '')) AS total,
-    list_sum(list_transform(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$', '', 'g')), lambda x: CASE WHEN regexp_matches(x, '^(#|\||$)') THEN 0 ELSE len(regexp_split_to_array(x, '[ \t]+')) END)) AS prose FROM documents)
-    SELECT doc_id, CASE WHEN prose <= 6 THEN 'APS002' ELSE 'APS001' END AS code FROM u WHERE prose <= 6 OR total >= 300""")
-def api_doc_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.smells(_t(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 APPLIED = Inline("applied", "type string, file string, summary string", (("replace-count", "a.md", "x"), ("replace-count", "a.md", "x"), ("replace-version", "b.md", "y")))
 CANDIDATES = Inline("candidates", "type string, file string, summary string", (("replace-count", "a.md", "x"), ("replace-version", "b.md", "y"), ("remove-endpoint", "c.md", "z")))
 

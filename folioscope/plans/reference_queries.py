@@ -186,9 +186,9 @@ def entity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.compared(part.where("p_size > 25"), part.where("p_size <= 40 AND p_brand <> 'Brand#11'"), "entity")
 
 
-@query("""WITH t AS (SELECT count(DISTINCT l_linenumber) AS n FROM lineitem) SELECT l_suppkey, count(DISTINCT l_linenumber) AS n_specs FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) < (SELECT n FROM t)""")
+@query("""WITH t AS (SELECT count(DISTINCT l_linenumber) AS n FROM lineitem) SELECT l_partkey, count(DISTINCT l_linenumber) AS n_specs FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) < (SELECT n FROM t)""")
 def spec_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.divergent(_t(spark, sf_dir, "lineitem"), "l_linenumber", "l_suppkey")
+    return drift.divergent(_t(spark, sf_dir, "lineitem"), "l_linenumber", "l_partkey")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)
@@ -210,12 +210,11 @@ def pr_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # graphs: parts import parts
 
-_EDGES = "SELECT DISTINCT l_partkey % 60 AS src, l_suppkey % 60 AS dst FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1 AND l_partkey % 7 = 0"
+_EDGES = "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _t(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_linenumber = 1 AND l_partkey % 7 = 0")
-    return li.select((F.col("l_partkey") % 60).alias("src"), (F.col("l_suppkey") % 60).alias("dst")).distinct()
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
 
 
 @query(f"WITH e AS ({_EDGES}) SELECT src, count(DISTINCT dst) AS out_degree FROM e GROUP BY src HAVING count(DISTINCT dst) > 2")
@@ -231,34 +230,12 @@ def indirect_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reverse_reach(_edges(spark, sf_dir), changed)
 
 
-# the same over all of lineitem; the SQL of the two above reads a part of it
-
-_ALL_EDGES = "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem"
-
-
-def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-
-
-@query(f"WITH e AS ({_ALL_EDGES}) SELECT src, count(DISTINCT dst) AS out_degree FROM e GROUP BY src HAVING count(DISTINCT dst) > 2")
-def hub_modules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.hubs(_all_edges(spark, sf_dir), 2)
-
-
-@query(f"""WITH e0 AS ({_ALL_EDGES}), h AS (SELECT src FROM e0 GROUP BY src HAVING count(DISTINCT dst) > 15), e AS (SELECT * FROM e0 WHERE src NOT IN (SELECT src FROM h)), c AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 1),
-    h1 AS (SELECT DISTINCT src AS node FROM e WHERE dst IN (SELECT node FROM c)), h2 AS (SELECT DISTINCT src AS node FROM e WHERE dst IN (SELECT node FROM h1))
-    SELECT node, CAST(min(hops) AS BIGINT) AS hops FROM (SELECT node, 1 AS hops FROM h1 UNION ALL SELECT node, 2 FROM h2) WHERE node NOT IN (SELECT node FROM c) GROUP BY node""")
-def indirect_impact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = _t(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("node"))
-    return graph.reverse_reach(_all_edges(spark, sf_dir), changed)
-
-
-IMPORTS = Inline("imports", "src string, dst string", (("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "e"), ("e", "f"), ("f", "b"), ("a", "b")))
+IMPORTS = Inline("imports", "src string, dst string", (("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "e"), ("e", "f"), ("f", "b"), ("a", "b"), ("b", "d"), ("d", "c"), ("c", "b")))
 
 
 @query(f"""WITH RECURSIVE {IMPORTS.cte()}, e AS (SELECT DISTINCT src, dst FROM imports WHERE src <> dst), p(path, tip) AS (
     SELECT [src, dst], dst FROM e WHERE src < dst UNION ALL SELECT list_append(path, dst), dst FROM p JOIN e ON e.src = p.tip WHERE dst > path[1] AND NOT list_contains(path, dst) AND len(path) < 5)
-    SELECT CAST(len(path) AS BIGINT) AS length, array_to_string(path, '>') AS path FROM p JOIN e ON e.src = p.tip AND e.dst = path[1]""")
+    SELECT CAST(len(path) AS BIGINT) AS length, min(array_to_string(path, '>')) AS path FROM p JOIN e ON e.src = p.tip AND e.dst = path[1] GROUP BY len(path), list_sort(path)""")
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(IMPORTS.df(spark))
 
@@ -283,7 +260,10 @@ def secret_scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.secrets(SOURCES.df(spark), "path", "content")
 
 
-@query(None)
+@query(f"""WITH {SOURCES.cte()}, l AS (SELECT path, unnest(c) AS content, generate_subscripts(c, 1) AS line FROM (SELECT path, string_split(content, chr(10)) AS c FROM sources)),
+    n AS (SELECT path, line, regexp_extract(content, '^(?:.*?)(?://|#|/\\*|<!--|^[ \\t]*\\*[ \\t])(.*)$', 1) AS c FROM l),
+    m AS (SELECT path, line, regexp_extract(c, '(?:^|[^A-Za-z0-9_])(TODO|FIXME|HACK|XXX|TEMP|WORKAROUND)[ \\t]*[(:][ \\t]*(.*)', ['kind', 'note']) AS x FROM n)
+    SELECT path, line, x.kind AS kind, trim(x.note) AS note FROM m WHERE x.kind <> ''""")
 def todo_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.annotations(SOURCES.df(spark), "path", "content")
 
@@ -350,15 +330,9 @@ def diff_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.activities(extract.diff_lines(DIFFS.df(spark), "id", "diff"), "id")
 
 
-@query("""SELECT o_orderkey AS doc, count(ts) AS later FROM (SELECT * FROM orders WHERE o_orderkey % 500 = 0) LEFT JOIN (SELECT ts FROM events WHERE event_id % 20 = 0) ON ts > o_orderdate GROUP BY 1""")
+@query("""WITH u AS (SELECT o_orderkey AS doc, o_orderdate AS tm, 0 AS made FROM orders UNION ALL SELECT NULL, ts, 1 FROM events)
+    SELECT doc, CAST(later AS BIGINT) AS later FROM (SELECT doc, made, sum(made) OVER (ORDER BY tm DESC, made ROWS UNBOUNDED PRECEDING) AS later FROM u) WHERE made = 0""")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("doc"), F.col("o_orderdate").alias("reviewed"))
-    return extract.later_than(_t(spark, sf_dir, "events").where("event_id % 20 = 0").select(F.col("ts").alias("committed")), docs)
-
-
-@query(None)
-def freshness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``freshness`` over all orders and events; the SQL of that one reads a part."""
     docs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderdate").alias("reviewed"))
     return extract.later_than(_t(spark, sf_dir, "events").select(F.col("ts").alias("committed")), docs)
 

@@ -25,7 +25,7 @@ def test_later_commits_against_every_pair(spark):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_all_documents_and_commits_count(spark):
-    got = {r.doc: r.later for r in catalog.QUERIES["freshness_all"](spark, DATA).collect()}
+    got = {r.doc: r.later for r in catalog.QUERIES["freshness"](spark, DATA).collect()}
     ts = sorted(r.ts for r in spark.read.parquet(f"{DATA}/events.parquet").select("ts").where("ts IS NOT NULL").collect())
     want = {r.o_orderkey: len(ts) - bisect.bisect_right(ts, r.o_orderdate) for r in spark.read.parquet(f"{DATA}/orders.parquet").collect()}
     assert got == want

@@ -51,3 +51,8 @@ def test_skipped_tests(spark):
 def test_activities(spark):
     got = [(r.path, r.first_seq, r.activity) for r in catalog.QUERIES["diff_activities"](spark, DATA).collect()]
     assert sorted(got) == [("x.py", 6, "replace"), ("x.py", 9, "delete"), ("x.py", 12, "add"), ("x.py", 13, "delete"), ("y.py", 17, "add")]
+
+
+def test_suspect_documents(spark):
+    got = [(r.doc, r.place, r.path, r.kind, r.shared) for r in catalog.QUERIES["diff_suspicion"](spark, DATA).collect()]
+    assert sorted(got) == [("LEDGER.md", 1, "lib/b.js", "module", 2), ("PAY.md", 1, "src/pay.ts", "path", 4)]
