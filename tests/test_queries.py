@@ -55,4 +55,4 @@ def test_activities(spark):
 
 def test_suspect_documents(spark):
     got = [(r.doc, r.place, r.path, r.kind, r.shared) for r in catalog.QUERIES["diff_suspicion"](spark, DATA).collect()]
-    assert sorted(got) == [("LEDGER.md", 1, "lib/b.js", "module", 2), ("PAY.md", 1, "src/pay.ts", "path", 4)]
+    assert sorted(got) == [("FEW.md", 1, "src/pay.ts", "path", 2), ("LEDGER.md", 1, "lib/b.js", "module", 2), ("PAY.md", 1, "src/pay.ts", "path", 5)]
