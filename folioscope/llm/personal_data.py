@@ -2,15 +2,20 @@
 
 Generators propose spans, overlapping as they may: the base patterns, and wider
 ones for written-out addresses and for digits in any grouping. Each proposal has
-format and context features in a few bins. Their counts by feature values (a
-table bounded by the bins) train gradient-boosted trees on the driver, against
-proposals that a base pattern confirms; thresholds are calibrated on a third of
-the documents. The trees become one column expression that scores the rest.
-Base spans always stay; the method adds to them.
+format and context features in a few bins, and their counts by feature values (a
+table bounded by the bins) train gradient-boosted trees on the driver.
+
+A proposal of the documents is labelled where a base pattern decides on its form:
+right if that has the same span, else wrong. Forms that no base pattern can have
+(``(at)``, numbers without a plus, cards in other groups) are labelled by the small
+table ``LABELLED``; in the documents they count neither way. Thresholds are calibrated
+on what would be added, over a third of the documents and of that table. The trees
+become one column expression that scores all. Base spans always stay; the method adds.
 
 Defined results: a null text is empty; rows are taken one by one, so repeated
-rows and ids give repeated results; an empty table gives an empty result;
-without proposals of a kind nothing of it is added.
+rows and ids give repeated results, and of equal scores all are added or none; a text
+of any length is searched whole; other columns don't matter, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rows import work_dir, written
@@ -43,7 +48,22 @@ WIDE_HINTS = {"email": r"@|[(\[{]at[)\]}]", "number": r"[0-9][\x20().\-/]{0,3}[0
 CONTEXT = r"(?i)(?:tel|phone|call|fax|mobil|handy|card|visa|karte|carte|tarjeta|konto|account|iban|mail|contact|kontakt|ip|host|server)\W{0,4}\w{0,8}\W{0,3}$"
 CONTEXT_CHARS = 24
 #: Feature -> number of bins; their product bounds the table of counts.
-BINS = {"digits": 7, "plus": 2, "brackets": 2, "dots": 3, "dashes": 2, "spaces": 3, "context": 2, "left": 2, "right": 2, "letters": 2}
+BINS = {"digits": 7, "plus": 2, "brackets": 2, "dots": 3, "dashes": 2, "spaces": 3, "context": 2, "left": 2, "right": 2, "letters": 2, "luhn": 2, "ending": 2}
+#: Texts with forms beyond the base patterns; what is personal stands in double angle brackets.
+LABELLED = (
+    "write to <<joe(at)mail.org>> for details", "my mail is <<anna.berg [at] firma.de>> today", "<<info{at}shop.example>> answers", "contact: <<kim (at) example (dot) org>>",
+    "reach <<j.doe(at)uni(dot)edu>> or visit", "e-mail <<lee_w[at]post[dot]net>>.", "ask <<office (at) stadt.de>>, please", "mail <<max%x(at)host.co>> soon", "send it to <<pat[at]lists.site.fr>>",
+    "sure, <<ana(at)correo.es>> works", "kontakt <<uwe (at) verein (dot) de>> heute", "the address <<sam [at] mail.com>> is old", "meet me (at) home. Then we go", "we stay [at] work. Next week",
+    "look (at) this. And that", "he was (at) school. She left", "f(at) x. Y", "sold {at} cost. Prices rose", "met (at) noon. Later", "three (at) most. Four",
+    "Tel. <<030 123 45 67>> after six", "phone <<(555) 010-9999>> now", "call <<555-010-9999>> today", "Handy: <<0171/123 45 67>>", "fax <<0049 30 1234567>> or post", "mobil <<0151 2345678>>",
+    "call me: <<(030) 123-4567>>", "phone: <<555.010.1234>>", "Tel: <<01 44 55 66 77>>", "tel <<91 123 45 67 89>>", "ring <<(212) 555-0187>> at night", "our office, <<(415) 555-0132>>, is open",
+    "phone <<0800 123 4567>>", "Telefon: <<089/1234-5678>>", "at <<(808) 555-0100>> since May", "tel. <<02 33 44 55 66>>",
+    "born 2023-04-05 12 days late", "from 2019-01-01 2020-01-01 on", "ISBN 978-3-16-148410-0 sold", "ISBN 978 0 306 40615 7", "order 1234567890 shipped", "id=1234567890123;", "a total of 1 000 000 000 users",
+    "1.234.567.890 people", "since 1700000000 seconds", "pages 100-200-300", "ticket 123456789", "part no 555-123-456-78", "x1234567890y", "ref 20-30-40-50-60", "value 3141592653", "2024/01/31 23/59",
+    "build 2024.01.31.1159", "serial 99 88 77 66 55 44", "sum 12.345.678,90 and 123.456.789", "lot 0123456789 of",
+    "card <<4111.1111.1111.1111>> ok", "Karte <<5500/0000/0000/0004>>", "visa <<4012.8888.8888.1881>>", "carte <<4222 - 2222 - 2222 - 2220>>", "card: <<3782.822463.10005>>", "<<6011.1111.1111.1117>> was charged", "tarjeta <<5105/1051/0510/5100>>",
+    "card 4111.1111.1111.1112 is wrong", "stamp 20240131235959", "run 2024-01-31 23.59.59", "number 1234.5678.9012.3456", "trace 8007782375593431", "code 5500/0000/0000/0005", "batch 1111.2222.3333.4445", "key 99999999999999",
+)
 
 
 @dataclass(frozen=True)
@@ -52,7 +72,7 @@ class Settings:
     depth: int = 3
     rate: float = 0.3
     precision: float = 0.95
-    least: int = 20  # confirmed proposals of a kind without which nothing is added
+    weight: int = 5  # a proposal of LABELLED counts as so many of a document
 
 
 def _placed(text: Column, pattern: str, hint: str, valid: Callable[[Column], Column]) -> Column:
@@ -113,7 +133,7 @@ def _proposals(text: Column, name: str) -> Column:
         bins = {
             "digits": F.when(n < 9, 0).when(n == 9, 1).when(n < 12, 2).when(n < 14, 3).when(n == 16, 5).when(n < 16, 4).otherwise(6),
             "plus": plus.cast("int"),
-            "brackets": x["match"].contains("(").cast("int"),
+            "brackets": x["match"].rlike(r"[(\[{]").cast("int"),
             "dots": F.when(dots == 0, 0).when(dots == 3, 2).otherwise(1),
             "dashes": x["match"].contains("-").cast("int"),
             "spaces": F.least(F.lit(2), spaces),
@@ -121,6 +141,8 @@ def _proposals(text: Column, name: str) -> Column:
             "left": F.substring(text, x["start"], F.when(x["start"] > 0, 1).otherwise(0)).rlike(r"[A-Za-z0-9_.=\"-]").cast("int"),
             "right": F.substring(text, x["end"] + 1, F.lit(1)).rlike(r"[A-Za-z0-9_=\"-]").cast("int"),
             "letters": x["match"].rlike("[A-Za-z]").cast("int"),
+            "luhn": VALID["card"](x["match"]).cast("int"),
+            "ending": x["match"].rlike(r"(?:[^ ]\.|[)\]] ?)[a-z]{2,7}$").cast("int"),
         }
         return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), *[bins[b].alias(b) for b in BINS])
 
@@ -193,20 +215,49 @@ def _scored(x: Column, start: float, trees: list[Tree], rate: float) -> Column:
     return total
 
 
+#: Of a proposal ``x``, by its kind: whether a base pattern decides on its form.
+JUDGED = {"email": "x.brackets = 0 AND x.spaces = 0", "ip": "true", "card": "x.dots = 0 AND x.brackets = 0", "phone": "x.plus = 1 OR x.left = 1 OR x.right = 1"}
+
+
+def _counted(each: DataFrame, held: Column, right: Column) -> list[dict]:
+    """Proposals ``x`` by feature values: how many, and how many are right."""
+    columns = [held.alias("held"), F.col("x.kind").alias("kind"), *[F.col(f"x.{b}").alias(b) for b in BINS], right.cast("int").alias("y")]
+    return [r.asDict() for r in each.select(*columns).groupBy("held", "kind", *BINS).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()]
+
+
+def labelled(spark: SparkSession) -> list[dict]:
+    """Counted proposals of LABELLED, every third text being held out."""
+    rows = []
+    for k, marked in enumerate(LABELLED):
+        start, end = marked.find("<<"), marked.find(">>") - 2
+        rows.append(F.struct(F.lit(k).alias("k"), F.lit(marked.replace("<<", "").replace(">>", "")).alias("text"), F.lit(start).alias("start"), F.lit(end).alias("end")))
+    texts = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    each = texts.select("k", "start", "end", F.explode(F.concat(_proposals(F.col("text"), "email"), _proposals(F.col("text"), "number"))).alias("x"))
+    return _counted(each, F.col("k") % 3 == 1, (F.col("x.start") == F.col("start")) & (F.col("x.end") == F.col("end")))
+
+
 def selectors(found: DataFrame, s: Settings) -> dict[str, tuple[float, list[Tree], float]]:
-    """By kind: the trees and the lowest score from which proposals of the calibration fold are precise."""
+    """By kind: the trees, and the lowest score from which what would be added is precise in the calibration fold.
+
+    Confirmed proposals train but don't calibrate: they are base spans already.
+    """
     each = found.select("fold", "base", F.explode("wide").alias("x"))
     confirmed = F.exists("base", lambda b: (b["kind"] == F.col("x.kind")) & (b["start"] == F.col("x.start")) & (b["end"] == F.col("x.end")))
-    counted = each.select((F.col("fold") == 1).alias("held"), F.col("x.kind").alias("kind"), *[F.col(f"x.{b}").alias(b) for b in BINS], confirmed.cast("int").alias("y"))
-    rows = [r.asDict() for r in counted.groupBy("held", "kind", *BINS).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()]
+    judged = F.lit(False)
+    for kind, condition in JUDGED.items():
+        judged = judged | ((F.col("x.kind") == kind) & F.expr(condition))
+    known = each.withColumn("right", confirmed).where(F.col("right") | judged)
+    rows = _counted(known, F.col("fold") == 1, F.col("right"))
+    extra = labelled(found.sparkSession)
     out = {}
     for kind in KINDS:
-        train = sorted((r for r in rows if r["kind"] == kind and not r["held"]), key=lambda r: [r[b] for b in BINS])
-        held = [r for r in rows if r["kind"] == kind and r["held"]]
-        if sum(r["y"] for r in train) < s.least or not held:
+        of_kind = lambda rows, held: sorted((r for r in rows if r["kind"] == kind and r["held"] == held), key=lambda r: [r[b] for b in BINS])  # noqa: E731, B023
+        train = of_kind(rows, False) + [{**r, "n": s.weight * r["n"], "y": s.weight * r["y"]} for r in of_kind(extra, False)]
+        if not train:
             continue
         start, trees = boosted(train, s)
-        scored = sorted(((start + s.rate * sum(_value(t, r) for t in trees), r["n"], r["y"]) for r in held), reverse=True)
+        wrong = [{**r, "n": r["n"] - r["y"], "y": 0} for r in of_kind(rows, True)]
+        scored = sorted(((start + s.rate * sum(_value(t, r) for t in trees), r["n"], r["y"]) for r in wrong + of_kind(extra, True) if r["n"]), reverse=True)
         n = y = 0
         cut = math.inf
         for k, (z, more, right) in enumerate(scored):

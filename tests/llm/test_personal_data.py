@@ -55,6 +55,16 @@ def test_trees_add_what_looks_like_confirmed_spans(spark):
     rows.append((1000, "call me joe(at)mail.org"))
     found = {x.doc_id: x.spans for x in p.summarised(p.personal_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert all(found[i].count(",") == 1 for i in range(0, 600, 2)), "bare numbers aren't added"
+    assert found[1000] == "email:8:23"
+
+
+def test_forms_beyond_the_base_patterns(spark):
+    right = ["ask rob(at)club.org", "mail eva [at] haus.de", "Tel. 040 765 43 21", "call 555-010-4444", "at (617) 555-0111 now", "card 4000.0566.5566.5556"]
+    wrong = ["sat (at) table. Then", "order 9876543210 came", "ISBN 978-1-86197-876-9", "in 2021-05-06 11", "trace 8007782375593431", "card 4000.0566.5566.5557", "1 234 567 890 of them", "token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\""]
+    df = spark.createDataFrame(list(enumerate(right + wrong)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in p.summarised(p.personal_spans(df)).collect()}
+    assert [t for i, t in enumerate(right) if not got[i]] == []
+    assert [t for i, t in enumerate(wrong) if got[i + len(right)]] == []
 
 
 def test_boosting_separates():
