@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, guard, markdown, rules, scan, suspicion
+from ..operators import extract, governance, guard, markdown, markers, rules, scan, suspicion
 from ..sources.inline import Inline
 
 QUERIES: dict = {}
@@ -280,3 +280,68 @@ def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def diff_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suspicion.suspects(GUIDES.df(spark), extract.diff_lines(PATCH.df(spark), "id", "diff"), "doc", "content")
+
+
+# marks
+
+MARKED = Inline(
+    "marked", "path string, content string",
+    (
+        ("src/a.py", "x = 1  # DRIFT: no cache yet\n-- drift:  lower case \nDRIFT: no comment"), ("tests/b.py", "# DRIFT: in a test"), ("src/c.test.js", "// DRIFT: too"), ("src/d.js", "// drift: the file never says it so"),
+        ("API.md", "#### GET `/users/:id`\n## post /users/\n| `GET` | `/users/{uid}` | same |\n| DELETE | note | /users/[id]?x=1 | /other |\n| PATCH | none |\n# GET /top\n### GET /\n| method | path |\n|---|---|"),
+        ("ENV.md", "Set `API_KEY`, `PATH`, `OK` and `A_B`.\n| VITE_X | why |\n  | HOME | no |\n| lower | NOT_FIRST |"),
+        (".env.example", "LAST_ONE=1\nexport NOT=2\n# NO=3\nDB_URL =x"),
+        ("S.md", "<!-- folioscope:section id=one source='doc' -->\na\nb\n<!-- /folioscope:section -->\n<!-- /folioscope:section -->\n<!-- folioscope:section id=lost -->\nprose\n  <!-- folioscope:section id=\"two x\" -->\n<!-- /folioscope:section -->\n<!-- folioscope:section id=end -->\nopen"),
+        ("R1.md", "<!-- folioscope:last-reviewed 2024-05-06 -->\n<!-- folioscope:status Approved -->\n<!-- folioscope:last-reviewed 2023-01-01 -->"), ("R2.md", "<!-- folioscope:last-reviewed 2030-01-01 -->"),
+        ("R3.md", "<!--folioscope:last-reviewed 2024-13-01--> <!-- folioscope:status  draft-->"), ("N.md", None),
+    ),
+)
+
+
+@query(f"""WITH {MARKED.cte()} SELECT path, line, trim(regexp_extract(content, '(?i)(?://|#|/\\*|--)\\s*DRIFT:\\s*(.+)', 1)) AS comment
+    FROM {_lines("(SELECT * FROM marked WHERE contains(content, 'DRIFT:') AND NOT regexp_matches(path, '(^|/)(__tests__|tests?|spec)/|\\.(test|spec)\\.[^.]+$'))")} WHERE regexp_matches(content, '(?i)(?://|#|/\\*|--)\\s*DRIFT:\\s*(.+)')""")
+def drift_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markers.drift_comments(MARKED.df(spark), "path", "content")
+
+
+_METHODS = "(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)"
+
+
+@query(rf"""WITH {MARKED.cte()}, l AS (SELECT path AS doc, content, regexp_extract(content, '(?i)^#{{2,6}}\s+`?{_METHODS}`?\s+`?(/[^\s`|]+)`?', ['m', 'p']) AS h, list_filter(list_transform(string_split(content, '|'), lambda x: trim(replace(x, '`', ''))), lambda x: x <> '') AS c FROM {_lines("marked")}),
+    r AS (SELECT doc, CASE WHEN h.m <> '' THEN upper(h.m) WHEN contains(content, '|') AND regexp_matches(upper(c[1]), '^{_METHODS}$') THEN upper(c[1]) END AS method, CASE WHEN h.m <> '' THEN h.p ELSE list_filter(c[2:], lambda x: starts_with(x, '/'))[1] END AS raw FROM l),
+    n AS (SELECT doc, method, regexp_replace(regexp_replace(split_part(split_part(raw, '?', 1), '#', 1), '\[[^\]/]+\]|\{{[^}}/]+\}}|:[A-Za-z_][A-Za-z0-9_]*', '{{}}', 'g'), '(.)/+$', '\1') AS path FROM r)
+    SELECT DISTINCT doc AS source, method, path FROM n WHERE method IS NOT NULL AND starts_with(path, '/') AND length(path) >= 2""")
+def documented_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markers.documented_endpoints(MARKED.df(spark).withColumnRenamed("path", "source"), "source", "content")
+
+
+READS = Inline("reads", "path string, content string", (("a.js", "process.env.API_KEY + process.env.LAST_ONE + process.env.SECRET_SALT"), ("b.js", "import.meta.env.VITE_X; process.env.HOME; process.env.OK")))
+
+
+@query(rf"""WITH {MARKED.cte()}, {READS.cte()}, d AS (SELECT unnest(regexp_extract_all(content, '`([A-Z][A-Z0-9_]*[A-Z0-9])`', 1)) AS name FROM marked WHERE path = 'ENV.md' UNION ALL SELECT unnest(regexp_extract_all(content, '(?m)^\s*\|\s*([A-Z][A-Z0-9_]*[A-Z0-9])\s*\|', 1)) FROM marked WHERE path = 'ENV.md'),
+    k AS (SELECT name FROM d WHERE length(name) >= 3 AND name NOT IN ('PATH', 'HOME') UNION SELECT unnest(regexp_extract_all(content, '(?m)^([A-Z][A-Z0-9_]*[A-Z0-9])\s*=', 1)) FROM marked WHERE path = '.env.example')
+    SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(content, '(?:process|import\.meta)\.env\.([A-Z][A-Z0-9_]*)', 1)) AS name FROM reads) WHERE name NOT IN (SELECT name FROM k)""")
+def env_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = MARKED.df(spark)
+    documented = markers.documented_variables(marked.where("path = 'ENV.md'"), "content").unionByName(markers.example_variables(marked.where("path = '.env.example'"), "content"))
+    return markers.undocumented_variables(governance.env_reads(READS.df(spark), "path", "content"), documented)
+
+
+@query(rf"""WITH {MARKED.cte()}, l AS (SELECT path, content, line, CASE WHEN regexp_matches(content, '^\s*<!--\s*/folioscope:section\s*-->\s*$') THEN 'close' WHEN regexp_matches(content, '^\s*<!--\s*folioscope:section\b.*-->\s*$') THEN 'open' END AS kind FROM {_lines("marked")}),
+    p AS (SELECT c.path, c.line AS close_line, (SELECT max(o.line) FROM l o WHERE o.path = c.path AND o.line < c.line AND o.kind IS NOT NULL) AS open_line FROM l c WHERE kind = 'close'),
+    o AS (SELECT p.path, open_line, close_line, l.content AS opened FROM p JOIN l ON l.path = p.path AND l.line = p.open_line AND l.kind = 'open')
+    SELECT path, open_line, close_line, coalesce(nullif(regexp_extract(opened, 'id="([^"]*)"', 1), ''), regexp_extract(opened, 'id=([^\s"'']+)', 1)) AS id, coalesce(nullif(regexp_extract(opened, 'source=''([^'']*)''', 1), ''), 'code') AS source,
+    coalesce((SELECT string_agg(content, chr(10) ORDER BY line) FROM l WHERE l.path = o.path AND line > open_line AND line < close_line), '') AS body FROM o""")
+def marked_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markers.sections(MARKED.df(spark), "path", "content")
+
+
+@query(rf"""WITH {MARKED.cte()}, m AS (SELECT path, try_cast(regexp_extract(content, '<!--\s*folioscope:last-reviewed\s+(\d{{4}}-\d{{2}}-\d{{2}})\s*-->', 1) AS DATE) AS d, lower(nullif(regexp_extract(content, '(?i)<!--\s*folioscope:status\s+([a-z]+)\s*-->', 1), '')) AS status FROM marked)
+    SELECT path, CASE WHEN d <= DATE '2026-01-02' THEN d END AS reviewed, status FROM m""")
+def review_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markers.review_marks(MARKED.df(spark), "path", "content", "2026-01-01")
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM pages""")
+def xml_escaping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", markers.xml_escaped(F.col("html")).alias("escaped"))
