@@ -18,11 +18,31 @@ def path_key(path: Column) -> Column:
     """An endpoint path without query, decoration and parameter names; null if it isn't a path."""
     x = F.regexp_replace(F.trim(path), "^[|'\"`]+|[|'\"`]+$", "")
     x = F.regexp_replace(F.trim(x), "[?#].*$", "")
-    x = F.regexp_replace(x, r"\[[^\]/]+\]|\{[^}/]+\}|:[A-Za-z_][A-Za-z0-9_]*", "{}")
+    x = F.regexp_replace(x, r"\[{1,2}[^\]]*\]{1,2}|\{[^}/]+\}|:[^/]+", "{}")
     x = F.when(F.length(x) > 1, F.regexp_replace(x, "/+$", "")).otherwise(x)
     return F.when(x.startswith("/"), x)
 
 
+def api_drift(documented: DataFrame, actual: DataFrame, from_spec: bool, cap: int = 15) -> DataFrame:
+    """``code, place, severity, confidence, shown``: documented endpoints that aren't there (API004), and those there that no document has (API005).
+
+    Rows are ``method, path``. A specification is proof, so what it lacks is an error
+    that can be fixed; code that a scan found is not, so there it is a weak warning.
+    Nothing documented or nothing found is no comparison and gives no rows. ``cap``
+    rows of each code are shown, then one with the number of the rest.
+    """
+    keyed = lambda df: df.select(F.upper("method").alias("method"), path_key(F.col("path")).alias("path")).where("path IS NOT NULL").select(F.concat_ws(" ", "method", "path").alias("endpoint"))
+    state = compared(keyed(documented), keyed(actual), "endpoint")
+    sides = state.agg(F.bool_or(F.col("state") != "actual_only").alias("d"), F.bool_or(F.col("state") != "documented_only").alias("a"))  # one row
+    wrong = state.where("state <> 'matched'").crossJoin(F.broadcast(sides)).where("d AND a")
+    code = F.when(F.col("state") == "documented_only", "API004").otherwise("API005")
+    shown = capped(wrong.select(code.alias("code"), "endpoint", F.col("endpoint").alias("shown")), "code", ["endpoint"], cap, "shown")
+    absent = F.col("code") == "API004"
+    severity = F.when(absent & F.lit(from_spec), "error").otherwise("warn")
+    confidence = F.when(absent & ~F.lit(from_spec), "low").otherwise("high")
+    return shown.select("code", "place", severity.alias("severity"), confidence.alias("confidence"), "shown")
+
+
 def entity_key(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[_-]", ""), "s$", "")
 

@@ -93,3 +93,36 @@ def xml_escaped(x: Column) -> Column:
     for raw, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         x = F.replace(x, F.lit(raw), F.lit(code))
     return x
+
+
+def junit(rows: DataFrame, findings: DataFrame, project: str, timestamp: str) -> DataFrame:
+    """One row ``junit``: a run (``guard.run`` with ``threw``) and its findings as a JUnit document.
+
+    Errors are a failure, one that threw an error, warnings text of a test that passes,
+    and what was skipped or didn't apply a skipped test. For reports, which are short.
+    """
+    code, place = F.when(F.col("code").isNotNull(), F.concat(F.lit("["), F.col("code"), F.lit("] "))).otherwise(""), F.when(F.col("location").isNotNull(), F.concat(F.lit(" ("), F.col("location"), F.lit(")"))).otherwise("")
+    line = F.struct("seq", F.concat(code, F.col("message"), place).alias("line"), F.col("message"), F.coalesce("code", F.lit("folioscope")).alias("code"))
+    is_error = F.coalesce(F.col("severity") == "error", F.lit(False))
+    texts = findings.groupBy("validator").agg(F.array_sort(F.collect_list(F.when(is_error, line))).alias("e"), F.array_sort(F.collect_list(F.when(~is_error, line))).alias("w"))
+    x = rows.join(texts, "validator", "left")
+    body = lambda c: xml_escaped(F.array_join(F.transform(c, lambda f: f["line"]), "\n"))
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    off, failed = F.col("status").isin("skipped", "na"), some(F.col("e"))
+    crashed = ~off & ~failed & (F.col("status") == "fail")
+    attrs = F.concat(F.lit('name="'), xml_escaped(F.col("validator")), F.lit('" classname="folioscope.guard"'))
+    case = lambda *inner: F.concat(F.lit("    <testcase "), attrs, F.lit(">\n      "), *inner, F.lit("\n    </testcase>"))
+    crash = F.coalesce("threw", F.lit("validator failed without structured findings"))
+    xml = (
+        F.when(off, F.concat(F.lit("    <testcase "), attrs, F.lit("><skipped/></testcase>")))
+        .when(failed, case(F.lit('<failure message="'), xml_escaped(F.col("e")[0]["message"]), F.lit('" type="'), xml_escaped(F.col("e")[0]["code"]), F.lit('">'), body("e"), F.lit("</failure>")))
+        .when(crashed, case(F.lit('<error message="'), xml_escaped(F.coalesce("threw", F.lit("validator failed"))), F.lit('" type="folioscope.crash">'), xml_escaped(crash), F.lit("</error>")))
+        .when(some(F.col("w")), case(F.lit("<system-out>"), body("w"), F.lit("</system-out>")))
+        .otherwise(F.concat(F.lit("    <testcase "), attrs, F.lit("/>")))
+    )
+    cases = x.select("place", xml.alias("xml"), (~off & failed).alias("failed"), crashed.alias("crashed"), off.alias("off"))
+    one = cases.agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("f"), F.count_if("crashed").alias("c"), F.count_if("off").alias("s"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "xml"))), lambda r: r["xml"]), "\n").alias("xml"))
+    counts = F.format_string('tests="%d" failures="%d" errors="%d"', "n", "f", "c")
+    suite = F.concat(F.lit('  <testsuite name="folioscope guard — '), xml_escaped(F.lit(project)), F.lit('" '), counts, F.format_string(' skipped="%d"', "s"), F.lit(' timestamp="'), xml_escaped(F.lit(timestamp)), F.lit('">\n'))
+    inner = F.when(F.col("n") > 0, F.concat("xml", F.lit("\n"))).otherwise("")
+    return one.select(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<testsuites '), counts, F.lit(">\n"), suite, inner, F.lit("  </testsuite>\n</testsuites>")).alias("junit"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, governance, guard, markdown, markers, rules, scan, suspicion
+from ..operators import drift, extract, governance, guard, markdown, markers, rules, scan, suspicion
 from ..sources.inline import Inline
 
 QUERIES: dict = {}
@@ -309,7 +309,7 @@ _METHODS = "(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)"
 
 @query(rf"""WITH {MARKED.cte()}, l AS (SELECT path AS doc, content, regexp_extract(content, '(?i)^#{{2,6}}\s+`?{_METHODS}`?\s+`?(/[^\s`|]+)`?', ['m', 'p']) AS h, list_filter(list_transform(string_split(content, '|'), lambda x: trim(replace(x, '`', ''))), lambda x: x <> '') AS c FROM {_lines("marked")}),
     r AS (SELECT doc, CASE WHEN h.m <> '' THEN upper(h.m) WHEN contains(content, '|') AND regexp_matches(upper(c[1]), '^{_METHODS}$') THEN upper(c[1]) END AS method, CASE WHEN h.m <> '' THEN h.p ELSE list_filter(c[2:], lambda x: starts_with(x, '/'))[1] END AS raw FROM l),
-    n AS (SELECT doc, method, regexp_replace(regexp_replace(split_part(split_part(raw, '?', 1), '#', 1), '\[[^\]/]+\]|\{{[^}}/]+\}}|:[A-Za-z_][A-Za-z0-9_]*', '{{}}', 'g'), '(.)/+$', '\1') AS path FROM r)
+    n AS (SELECT doc, method, regexp_replace(regexp_replace(split_part(split_part(raw, '?', 1), '#', 1), '\[{{1,2}}[^\]]*\]{{1,2}}|\{{[^}}/]+\}}|:[^/]+', '{{}}', 'g'), '(.)/+$', '\1') AS path FROM r)
     SELECT DISTINCT doc AS source, method, path FROM n WHERE method IS NOT NULL AND starts_with(path, '/') AND length(path) >= 2""")
 def documented_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markers.documented_endpoints(MARKED.df(spark).withColumnRenamed("path", "source"), "source", "content")
@@ -345,3 +345,29 @@ def review_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM pages""")
 def xml_escaping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", markers.xml_escaped(F.col("html")).alias("escaped"))
+
+
+ROUTES = Inline("routes", "method string, path string", tuple(("get", f"/r{k:02d}/[[...slug]]") for k in range(20)) + (("POST", "/users/"), ("DELETE", "/users/:uid*")))
+_DRIFT = rf"""WITH {ROUTES.cte()}, d(k) AS (VALUES ('GET /users/{{}}'), ('POST /users'), ('DELETE /users/{{}}'), ('GET /gone')),
+    a AS (SELECT DISTINCT upper(method) || ' ' || regexp_replace(regexp_replace(path, '\[{{1,2}}[^\]]*\]{{1,2}}|:[^/]+', '{{}}', 'g'), '/+$', '') AS k FROM routes),
+    w AS (SELECT 'API004' AS code, k FROM d WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT 'API005', k FROM a WHERE k NOT IN (SELECT k FROM d)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY k) AS place, count(*) OVER (PARTITION BY code) AS n FROM w)
+    SELECT code, place, CASE WHEN code = 'API004' THEN '{{0}}' ELSE 'warn' END AS severity, CASE WHEN code = 'API004' THEN '{{1}}' ELSE 'high' END AS confidence, k AS shown FROM r WHERE place <= 15
+    UNION ALL SELECT code, 16, CASE WHEN code = 'API004' THEN '{{0}}' ELSE 'warn' END, CASE WHEN code = 'API004' THEN '{{1}}' ELSE 'high' END, '... and ' || (n - 15) || ' more' FROM r WHERE place = 16"""
+DOCUMENTED = Inline("documented", "method string, path string", (("GET", "/users/{id}"), ("POST", "/users?x=1"), ("DELETE", "`/users/[id]`"), ("get", "/gone/"), ("GET", "no path")))
+
+
+@query(_DRIFT.replace("{0}", "error").replace("{1}", "high"))
+def api_drift_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.api_drift(DOCUMENTED.df(spark), ROUTES.df(spark), True)
+
+
+@query(_DRIFT.replace("{0}", "warn").replace("{1}", "low"))
+def api_drift_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.api_drift(DOCUMENTED.df(spark), ROUTES.df(spark), False)
+
+
+@query(None)
+def junit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _run(spark).join(RESULTS.df(spark).select("validator", "threw"), "validator")
+    return markers.junit(rows, FOUND.df(spark), "a <project>", "2026-01-01T00:00:00Z")

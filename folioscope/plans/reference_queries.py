@@ -162,7 +162,7 @@ def history_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCUMENTED = Inline("documented", "method string, path string", (("GET", "/api/users"), ("POST", "/api/users/{id}/"), ("GET", "/api/[slug]?q=1"), ("PUT", "| `/x/:y` |"), ("GET", "nope"), ("GET", "/")))
 ROUTES = Inline("routes", "method string, path string", (("GET", "/api/users"), ("POST", "/api/users/:userId"), ("GET", "/api/{name}"), ("DELETE", "/gone"), ("GET", "/")))
 _PATH = r"""(SELECT method, CASE WHEN length(y) > 1 THEN regexp_replace(y, '/+$', '') ELSE y END AS k FROM (SELECT method, regexp_replace(regexp_replace(trim(regexp_replace(trim(path), '^[|''"`]+|[|''"`]+$', '', 'g')), '[?#].*$', ''),
-    '\[[^\]/]+\]|\{{[^}}/]+\}}|:[A-Za-z_][A-Za-z0-9_]*', '{{}}', 'g') AS y FROM {t}) WHERE y LIKE '/%')"""
+    '\[{{1,2}}[^\]]*\]{{1,2}}|\{{[^}}/]+\}}|:[^/]+', '{{}}', 'g') AS y FROM {t}) WHERE y LIKE '/%')"""
 
 
 @query(f"""WITH {DOCUMENTED.cte()}, {ROUTES.cte()}, a AS (SELECT DISTINCT method || ' ' || k AS endpoint FROM {_PATH.format(t='documented')}), b AS (SELECT DISTINCT method || ' ' || k AS endpoint FROM {_PATH.format(t='routes')})

@@ -54,3 +54,20 @@ def test_tree_is_read_without_what_is_ignored(spark, tmp_path):
     got = rows(scan.read_tree(spark, str(tmp_path)), "path", "n_bytes")
     assert got == [("a.py", 1), ("src/b.js", 1), ("src/b.min.js", 1)]
     assert {r.path: r.content for r in scan.read_tree(spark, f"file://{tmp_path}").collect()} == {"a.py": "x", "src/b.js": "y", "src/b.min.js": None}
+
+
+def test_junit_is_xml_with_every_validator(spark):
+    import xml.etree.ElementTree as ET
+
+    suite = ET.fromstring(catalog.QUERIES["junit_report"](spark, "").first().junit.encode()).find("testsuite")
+    assert {k: suite.get(k) for k in ("tests", "failures", "errors", "skipped")} == {"tests": "10", "failures": "2", "errors": "1", "skipped": "3"}
+    kind = {c.get("name"): [x.tag for x in c] for c in suite}
+    assert kind["security"] == ["failure"] and kind["broken"] == ["error"] and kind["todo"] == ["system-out"] and kind["off"] == ["skipped"] and kind["clean"] == []
+    assert suite.get("name").endswith("a <project>")
+
+
+def test_nothing_found_is_no_drift(spark):
+    from folioscope.operators import drift
+
+    some, none = spark.createDataFrame([("GET", "/a")], "method string, path string"), spark.createDataFrame([], "method string, path string")
+    assert drift.api_drift(some, none, True).count() == drift.api_drift(none, some, True).count() == 0
