@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .extract import numbered_lines
+from .markdown import joined_path
 
 #: Words that make a rule of a sentence, negations, and words that only give polarity.
 SIGNAL = r"(?i)\b(must|never|always|do not|don't|should|require[sd]?|forbid|only)\b"
@@ -46,3 +47,16 @@ def contradictions(rules: DataFrame, keys: list[str], text: str) -> DataFrame:
     x = rules.select(*keys, common.alias("common"), (F.regexp_count(norm, F.lit(NEGATIONS)) % 2 == 1).alias("odd")).where("instr(common, ' ') > 0")
     both = x.groupBy("common").agg(F.bool_or("odd").alias("a"), F.bool_or(~F.col("odd")).alias("b")).where("a AND b").select("common")
     return x.join(both, "common", "left_semi").select(*keys, "common", "odd")
+
+
+#: Endings of files that a rule may point to.
+POINTED = "md|mjs|cjs|js|ts|tsx|jsx|json|ya?ml|py|sh|toml|txt|rs|go|css|html"
+
+
+def stale_pointers(rules: DataFrame, files: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, pointed``: paths that a rule names, in backticks or with a slash, and that no file of ``files`` (``path``) has; each once a line."""
+    cut = lambda x: t.trimmed(F.regexp_replace(x, "[#:].*$", ""))
+    ticked = F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit("`([^`]+)`"), F.lit(1)), cut), lambda x: x.rlike(rf"(?i)^[A-Za-z0-9_.-][A-Za-z0-9_./-]*\.(?:{POINTED})$"))
+    bare = F.transform(F.regexp_extract_all(F.col(text), F.lit(rf"""(?i)(?:^|[ \t("'])([A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+\.(?:{POINTED}))\b"""), F.lit(1)), cut)
+    named = rules.select(*keys, F.explode(F.concat(ticked, bare)).alias("pointed")).distinct().withColumn("path", joined_path(F.lit(""), F.col("pointed")))
+    return named.join(files.select("path").distinct(), "path", "left_anti").select(*keys, "pointed")

@@ -371,3 +371,19 @@ def api_drift_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def junit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _run(spark).join(RESULTS.df(spark).select("validator", "threw"), "validator")
     return markers.junit(rows, FOUND.df(spark), "a <project>", "2026-01-01T00:00:00Z")
+
+
+POINTERS = Inline(
+    "pointers", "path string, line long, rule string",
+    (("A.md", 1, "Always read `docs/guide.md#install` and `gone.md` first"), ("A.md", 1, "must see `gone.md:12` again"), ("A.md", 2, "Never edit src/a.py or (lib/none.ts) or docs/api.md"), ("B.md", 1, "only `npm run x.js` and ./src/a.py, `./README.md`"), ("B.md", 2, None)),
+)
+_ENDS = "md|mjs|cjs|js|ts|tsx|jsx|json|ya?ml|py|sh|toml|txt|rs|go|css|html"
+
+
+@query(rf"""WITH {POINTERS.cte()}, {DOCS.cte()}, {FILES.cte()}, p AS (SELECT path, line, trim(regexp_replace(x, '[#:].*$', '')) AS pointed FROM (SELECT path, line, unnest(regexp_extract_all(rule, '`([^`]+)`', 1)) AS x FROM pointers)),
+    n AS (SELECT * FROM p WHERE regexp_matches(pointed, '(?i)^[\w.-][\w./-]*\.(?:{_ENDS})$') UNION SELECT path, line, unnest(regexp_extract_all(rule, '(?i)(?:^|[\s("''])([\w.-]+/[\w./-]+\.(?:{_ENDS}))\b', 1)) FROM pointers)
+    SELECT path, line, pointed FROM n WHERE regexp_replace(pointed, '^\./', '') NOT IN (SELECT path FROM docs UNION SELECT path FROM files)""")
+def stale_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = POINTERS.df(spark).withColumnRenamed("path", "source")
+    files = DOCS.df(spark).select("path").unionByName(FILES.df(spark))
+    return rules.stale_pointers(found, files, ["source", "line"], "rule").withColumnRenamed("source", "path")

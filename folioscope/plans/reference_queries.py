@@ -325,7 +325,13 @@ def anchor_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIFFS = Inline("diffs", "id string, diff string", (("d1", "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,4 +1,4 @@\n a\n-old\n+new\n b\n-gone\n@@ -9,1 +9,2 @@\n c\n+more\n-less\n--- a/y.py\n+++ b/y.py\n@@ -1 +1 @@\n+one\n+two"),))
 
 
-@query(None)
+@query(rf"""WITH {DIFFS.cte()}, l AS (SELECT id, unnest(c) AS content, generate_subscripts(c, 1) AS line FROM (SELECT id, string_split(diff, chr(10)) AS c FROM diffs)),
+    m AS (SELECT id, line, content, last_value(CASE WHEN starts_with(content, '+++ ') THEN regexp_replace(content[5:], '^b/', '') END IGNORE NULLS) OVER (PARTITION BY id ORDER BY line) AS path,
+        sum(CAST(starts_with(content, '@@') AS INT)) OVER (PARTITION BY id ORDER BY line) AS hunk, content[1] AS op FROM l),
+    c AS (SELECT * FROM m WHERE hunk > 0 AND op IN ('+', '-') AND NOT regexp_matches(content, '^(\+\+\+|---) ')),
+    s AS (SELECT *, CASE WHEN lag(line) OVER w = line - 1 AND NOT (op = '-' AND lag(op) OVER w = '+') THEN 0 ELSE 1 END AS starts FROM c WINDOW w AS (PARTITION BY id, path ORDER BY line)),
+    r AS (SELECT *, sum(starts) OVER (PARTITION BY id, path ORDER BY line) AS run FROM s)
+    SELECT id, path, min(line) AS first_seq, CASE WHEN count(*) FILTER (WHERE op = '+') = 0 THEN 'delete' WHEN count(*) FILTER (WHERE op = '-') = 0 THEN 'add' ELSE 'replace' END AS activity FROM r GROUP BY id, path, run""")
 def diff_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.activities(extract.diff_lines(DIFFS.df(spark), "id", "diff"), "id")
 
