@@ -10,7 +10,7 @@ import pickle
 import tempfile
 import traceback
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +119,12 @@ def named(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
 
 
+def carried(df: DataFrame, carry: list[str] | None, taken: Iterable[str]) -> list[str]:
+    """The columns to carry (all by default) but those named like one of ``taken``, in whatever case."""
+    names = {t.lower() for t in taken}
+    return [c for c in (df.columns if carry is None else carry) if c.lower() not in names]
+
+
 def without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows whose key is not among ``dropped``, a written table.
 
