@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontamination, exact_dedup, html_text, ngram_join, packing, personal_data, quality, repetition, toxicity, warc
+from . import centroids, chat, decontamination, exact_dedup, html_text, ngram_join, packing, personal_data, quality, repeated_bytes, repetition, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.summarised(repetition.repetitions(docs))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.summarised(repeated_bytes.without_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(_table(spark, sf_dir, "embeddings"))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
