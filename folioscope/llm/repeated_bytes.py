@@ -276,15 +276,16 @@ def without_repeats(df: DataFrame, text: str = "text", carry: list[str] | None =
     keyed = rows.select("file", "row", "text")
 
     found = written(_occurrences(keyed, length, gram), f"{base}/anchors")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    again = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), f"{base}/again")
     live = written(found.join(again, "h"), f"{base}/live")
     classes = live.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "row", "place")).alias("first"))
     classes = written(classes.select("h", "d", "n", "first.*"), f"{base}/classes")
-    whole = live.join(classes.where("n > 1").select("h", "d"), ["h", "d"])
+    whole = live.join(classes.where("n > 1").select("h", "d"), ["h", "d"])  # both sides are tables, so that a skewed join can be split
     begin, n = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(0xFFFF)
     whole = whole.select("file", "row", begin.alias("begin"), (begin + n - 1 + length).alias("end"))
-    buckets = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("ones")).where("m > 1 AND ones > 0")
-    members = classes.join(buckets.select("h", "m"), "h").select("h", "m", "file", "row", "place", (F.col("n") == 1).alias("one"))
+    buckets = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("ones")).where("m > 1 AND ones > 0").select("h", "m")
+    buckets = written(buckets, f"{base}/buckets")
+    members = classes.join(buckets, "h").select("h", "m", "file", "row", "place", (F.col("n") == 1).alias("one"))
     spans = _spans(keyed, members, length, base)
     stretches = whole.unionByName(_sorted(spans.where(F.col("m") <= hot), length)).unionByName(_counted(spans.where(F.col("m") > hot), length))
     removed = _by_document(stretches, base)
