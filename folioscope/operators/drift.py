@@ -62,15 +62,6 @@ def capped(findings: DataFrame, group: str, order: list[str], cap: int, shown: s
     return first.unionByName(more.select(group, F.lit(cap + 1).cast("long").alias("place"), F.concat(F.lit("... and "), F.col("left").cast("string"), F.lit(" more")).alias("shown")))
 
 
-def unreferenced(required: DataFrame, texts: DataFrame, key: str, text: str, most: int = 10_000) -> DataFrame:
-    """Required names that stand in no text. ``required`` is checked to be at most ``most`` rows before it is broadcast."""
-    names = required.select(key).distinct()
-    if names.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} names: match them by token instead")
-    hit = texts.select(text).join(F.broadcast(names), F.col(text).contains(F.col(key))).select(key).distinct()
-    return names.join(hit, key, "left_anti")
-
-
 def sharing_pairs(rows: DataFrame, owner: str, item: str) -> DataFrame:
     """Pairs of owners that share items: ``a, b, shared``."""
     x = rows.select(owner, item).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import drift, extract, findings, graph, ranking
+from ..operators import drift, extract, findings, graph, ranking, text_index
 from ..sources.inline import Inline
 
 QUERIES: dict = {}
@@ -200,7 +200,7 @@ def cap_with_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE contains(s_name || n_nationkey, n_name))")
 def unreferenced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.unreferenced(_t(spark, sf_dir, "nation"), _t(spark, sf_dir, "supplier"), "n_name", "s_name")
+    return text_index.unnamed(_t(spark, sf_dir, "nation"), _t(spark, sf_dir, "supplier"), "n_name", "s_name")
 
 
 @query("""WITH x AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS o FROM lineitem) SELECT a.s AS a, b.s AS b, count(*) AS shared FROM x a JOIN x b ON a.o = b.o AND a.s < b.s GROUP BY 1, 2""")
