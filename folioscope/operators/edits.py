@@ -22,7 +22,7 @@ def places(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def sound(edits: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, begin, end, by, applied``: each different edit once; one that begins before an earlier one ends is refused.
+    """``keys, begin, end, by, applied``: each different edit once; one that begins before an earlier one ends, itself refused or not, is refused.
 
     Edits go in order of their places; two at one place without length are both kept,
     in order of what they put in. Edits that end before they begin are refused.
