@@ -1,3 +1,4 @@
+import os
 import time
 
 import pytest
@@ -52,11 +53,57 @@ def test_long_pages_take_linear_time(source):
     assert time.time() - began < 5
 
 
-def test_tree_fits_its_table():
-    x, y = html_text.LABELLED[:, :-1], html_text.LABELLED[:, -1]
+def test_tree_fits_its_pages():
+    x, y = html_text.labelled_blocks()
     assert ((html_text.predict(TREE, x) >= 0.5) == y).mean() > 0.95
 
 
+def test_no_feature_decides_alone():
+    """Neither names nor elements, at their best cut, come near to what the grown tree does."""
+    x, y = html_text.labelled_blocks()
+    right = ((html_text.predict(TREE, x) >= 0.5) == y).mean()
+    for f in range(x.shape[1]):
+        alone = html_text.grow(x[:, [f]], y, depth=1)
+        assert ((html_text.predict(alone, x[:, [f]]) >= 0.5) == y).mean() < right - 0.05
+
+    def used(node):
+        return set() if node.left is None else {html_text.FEATURES[node.feature]} | used(node.left) | used(node.right)
+
+    assert {"link_density", "in_article", "element", "share"} <= used(TREE) and used(TREE) & {"links_before", "links_after"}
+
+
+LONG = "word " * 40
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p title="a < b">Hello there</p><p data-x=\'<i>\'>and more</p></article>', ["Hello there", "and more"]),
+        (f'<article><h2 class="section-header">Facts</h2><p>{LONG}</p><div class="legal"><p>The court held that this is so.</div></article>', ["Facts", LONG.strip(), "The court held that this is so."]),
+        (f'<div class="content with-sidebar"><h1>Head line</h1><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar">Some other pages here</div>', ["Head line", LONG.strip(), LONG.strip()]),
+        (f'<div id="side-effects"><p>{LONG}</p><p>{LONG}</p></div>', [LONG.strip()] * 2),
+        (f'<div class="search-engines"><p>{LONG}</p><p>{LONG}</p></div>', [LONG.strip()] * 2),
+        (f'<div class="main"><p>{LONG}</p><blockquote>Five words of a man.</blockquote><p>{LONG}</p></div>', [LONG.strip(), "Five words of a man.", LONG.strip()]),
+        ("<body><p>A short paragraph.</p></body>", ["A short paragraph."]),
+        ("<nav><a>One</a></nav><footer>All of it is ours and yours and theirs.</footer>", []),
+        (f'<article><p>{LONG}</p><div class="comments"><p>{LONG}</p></div></article>', [LONG.strip()]),
+    ],
+)
+def test_shapes_of_pages(page, want):
+    assert [x for x in text(page).split("\n\n") if x] == want
+
+
+def test_given_pages():
+    """Every block of the given pages that stands in their article, and no other."""
+    duckdb = pytest.importorskip("duckdb")
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    for (page,) in duckdb.sql(f"SELECT html FROM '{path}'").fetchall():
+        inside = [b.text for b in html_text.blocks_of(page) if b.in_article]
+        assert text(page) == "\n\n".join(inside)
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string")
     got = html_text.extracted(df).collect()
@@ -72,7 +119,7 @@ def test_quoted_values_may_hold_the_end_of_a_tag():
 
 
 def test_clashing_columns_and_empty_tables(spark):
-    df = spark.createDataFrame([(1, "<article><p>One two three four five six.</p></article>", "x", 7)], "page_id long, html string, text string, n_chars int")
+    df = spark.createDataFrame([(1, "<article><p>One two three four five six.</p></article>", "x", 7)], "page_id long, html string, Text string, N_chars int")
     out = html_text.extracted(df)
     assert out.columns == ["page_id", "text", "n_chars"] and out.first().text == "One two three four five six."
     assert html_text.extracted(df.where("page_id > 1")).count() == 0
