@@ -82,19 +82,19 @@ def layer_violations(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
 def stale_versions(df: DataFrame, key: str, text: str, current: tuple[int, int, int]) -> DataFrame:
     """``key, version``: older versions of the current major one."""
     found = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?:version:[ \t]*|@v?|/tags/v|/releases/v)([0-9]+\.[0-9]+\.[0-9]+)"), F.lit(1)))).alias("version"))
-    parts = F.split("version", r"\.")
-    triple = F.struct(*[parts[k].cast("int").alias(f"p{k}") for k in range(3)])
-    now = F.struct(*[F.lit(x).alias(f"p{k}") for k, x in enumerate(current)])
-    return found.where((parts[0].cast("int") == current[0]) & (triple < now))
+    parts = [F.try_to_number(x, F.lit("9" * 38)) for x in (F.split("version", r"\.")[k] for k in range(3))]  # of any length; beyond 38 digits null
+    triple = F.struct(*[x.alias(f"p{k}") for k, x in enumerate(parts)])
+    now = F.struct(*[F.lit(x).cast("decimal(38,0)").alias(f"p{k}") for k, x in enumerate(current)])
+    return found.where((parts[0] == current[0]) & (triple < now))
 
 
 def count_claims(df: DataFrame, key: str, text: str, actual: dict[str, int]) -> DataFrame:
-    """``key, noun, claimed, actual``: numbers claimed of a noun that aren't its count; each once."""
+    """``key, noun, claimed, actual``: numbers claimed of a noun, as they are written, that aren't its count; each once."""
     nouns = "|".join(sorted(actual))
     raw = F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rf"(?:^|[^0-9/.])([0-9]+ (?:{nouns}))(?:[^A-Za-z]|$)"), F.lit(1)))).alias("raw")
     known = F.create_map(*[x for k, v in actual.items() for x in (F.lit(k), F.lit(v))])
-    x = df.select(key, raw).select(key, F.substring_index("raw", " ", -1).alias("noun"), F.substring_index("raw", " ", 1).cast("long").alias("claimed"))
-    return x.withColumn("actual", known[F.col("noun")].cast("long")).where("claimed <> actual")
+    x = df.select(key, raw).select(key, F.substring_index("raw", " ", -1).alias("noun"), F.substring_index("raw", " ", 1).alias("claimed"))
+    return x.withColumn("actual", known[F.col("noun")].cast("long")).where("NOT try_cast(claimed AS BIGINT) <=> actual")
 
 
 def repeated_fixes(applied: DataFrame, candidates: DataFrame, most: int = 2) -> DataFrame:
@@ -104,16 +104,21 @@ def repeated_fixes(applied: DataFrame, candidates: DataFrame, most: int = 2) ->
     return candidates.select("*", mark).join(done, "mark", "left_anti")
 
 
-def sarif(findings: DataFrame) -> DataFrame:
-    """One row: the findings (``code, severity, message, path, line``) as a SARIF 2.1.0 log.
-
-    For reports of findings, which are few; the log is one string.
-    """
+def _sarif_result() -> Column:
     level = F.when(F.col("severity") == "error", "error").otherwise("warning").alias("level")
     place = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations")
-    result = F.struct(F.col("code").alias("ruleId"), level, F.struct(F.col("message").alias("text")).alias("message"), place)
+    return F.struct(F.col("code").alias("ruleId"), level, F.struct(F.col("message").alias("text")).alias("message"), place)
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """``findings`` (``code, severity, message, path, line``) with ``result``: each as a result of a SARIF 2.1.0 log, whatever their number."""
+    return findings.withColumn("result", F.to_json(_sarif_result()))
+
+
+def sarif(findings: DataFrame) -> DataFrame:
+    """One row: the findings as a SARIF 2.1.0 log, for reports of findings, which are few; ``sarif_results`` has a row for each."""
     rules = F.array_sort(F.collect_set(F.struct(F.col("code").alias("id"))))
-    run = F.struct(F.struct(F.struct(F.lit("folioscope").alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), F.array_sort(F.collect_list(result)).alias("results"))
+    run = F.struct(F.struct(F.struct(F.lit("folioscope").alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), F.array_sort(F.collect_list(_sarif_result())).alias("results"))
     return findings.agg(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 

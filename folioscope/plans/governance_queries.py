@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, governance
-from ..sources.inline import Inline
+from ..sources.derived import Derived
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,30 +52,30 @@ def memory_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.accuracy(drift.compared(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), orders, "id"))
 
 
-PATHS = Inline("paths", "path string", (("docs-canonical/A.md",), ("node_modules/x/README.md",), ("docs/guide.md",), ("src/a.py",), ("app/build/x.mdx",), ("b.rst",)))
+PATHS = Derived("paths", """SELECT CASE event_id % 6 WHEN 0 THEN 'docs-canonical/U' || user_id || '.md' WHEN 1 THEN 'node_modules/x' || user_id || '/README.md' WHEN 2 THEN 'docs/g' || user_id || '.md' WHEN 3 THEN 'src/a.py' WHEN 4 THEN 'app/build/x.mdx' ELSE 'b' || user_id || '.rst' END AS path FROM {events}""")
 
 
 @query(f"""WITH {PATHS.cte()} SELECT CASE WHEN path LIKE 'docs-canonical/%' THEN 'canonical' WHEN regexp_matches(path, '(^|/)(node_modules|dist|build)/') THEN 'ignored'
     WHEN regexp_matches(path, '\\.(md|mdx|rst)$') THEN 'tracked' ELSE 'unclassified' END AS tier, count(*) AS n FROM paths GROUP BY 1""")
 def coverage_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PATHS.df(spark).groupBy(governance.coverage_tier(F.col("path")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    return PATHS.df(spark, sf_dir).groupBy(governance.coverage_tier(F.col("path")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SPECS = Inline("specs", "path string, content string", (("a.md", "REQ-001 log in. See FR-12 and REQ-002."), ("b.md", "REQ-001 again, NFR-7; XREQ-9 is none"), ("t1", "covers REQ-001 and US-5"), ("t2", "NFR-7")))
+SPECS = Derived("specs", """SELECT CASE o_orderkey % 2 WHEN 0 THEN 't' ELSE 'a' END || o_orderkey AS path, 'REQ-' || (o_custkey % 700) || ' log in. See FR-' || (o_orderkey % 900) || ' and XREQ-9; ' || CASE o_orderstatus WHEN 'F' THEN 'US-' || (o_custkey % 99) ELSE 'NFR-7' END AS content FROM {orders}""")
 _REQ = r"(SELECT path, unnest(regexp_extract_all(content, '(?:^|[^A-Za-z0-9-])((?:REQ|FR|NFR|US|UC|AC|SC|SYS|ARCH|MOD|STORY)-[0-9]{1,5})', 1)) AS req_id FROM specs)"
 
 
 @query(f"""WITH {SPECS.cte()}, i AS (SELECT DISTINCT path LIKE 't%' AS test, req_id FROM {_REQ}), r AS (SELECT req_id FROM i WHERE NOT test), x AS (SELECT req_id FROM i WHERE test)
     SELECT req_id, 'TRC004' AS code FROM r WHERE req_id NOT IN (SELECT req_id FROM x) UNION ALL SELECT req_id, 'TRC005' FROM x WHERE req_id NOT IN (SELECT req_id FROM r)""")
 def requirement_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = SPECS.df(spark)
+    specs = SPECS.df(spark, sf_dir)
     is_test = F.col("path").startswith("t")
     return governance.requirement_coverage(governance.requirement_ids(specs.where(~is_test), "path", "content"), governance.requirement_ids(specs.where(is_test), "path", "content"))
 
 
 @query(f"WITH {SPECS.cte()} SELECT req_id, min(path) AS path FROM {_REQ} GROUP BY req_id")
 def requirement_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.requirement_ids(SPECS.df(spark), "path", "content")
+    return governance.requirement_ids(SPECS.df(spark, sf_dir), "path", "content")
 
 
 @query("""SELECT p_partkey AS doc, CASE WHEN p_size <= 2 THEN 'MISSING' WHEN p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48) THEN 'UNLINKED'
@@ -86,16 +86,12 @@ def trace_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.traced(docs, li.where("l_quantity > 48").select("doc"), li.where("l_quantity < 2").select("doc"))
 
 
-SCRIPTS = Inline(
-    "scripts", "path string, content string",
-    (("ui/a.js", "import x from './b';\nconst y = require('../db/c');\nawait import('./late');\nprocess.env.API_KEY; // process.env.NOT_THIS\nlet s = 'process.env.NOR_THIS'; /* process.env.NO */ process.env.LAST_ONE"),
-     ("db/c.js", "import 'side';\nimport.meta.env.VITE_X + process.env.API_KEY"), ("z", None)),
-)
+SCRIPTS = Derived("scripts", """SELECT 'ui/a' || event_id || '.js' AS path, CASE WHEN event_type <> 'purchase' THEN 'import x from ' || chr(39) || './b' || user_id || chr(39) || ';' || chr(10) || 'const y = require(' || chr(39) || '../db/c' || chr(39) || ');' || chr(10) || 'await import(' || chr(39) || './late' || user_id || chr(39) || ');' || chr(10) || 'process.env.KEY_' || upper(event_type) || '; // process.env.NOT_THIS' || chr(10) || 'let s = ' || chr(39) || 'process.env.NOR_THIS' || chr(39) || '; /* process.env.NO */ process.env.LAST_' || user_id END AS content FROM {events}""")
 
 
 @query(f"WITH {SCRIPTS.cte()} " + """SELECT DISTINCT path, name FROM (SELECT path, unnest(regexp_extract_all(content, '//[^\\n]*|/\\*(?:[^*]|\\*[^/])*\\*/|''(?:[^''\\\\\\n]|\\\\.)*''|"(?:[^"\\\\\\n]|\\\\.)*"|`(?:[^`\\\\]|\\\\.)*`|(?:process\\.env\\.|import\\.meta\\.env\\.)([A-Z][A-Z0-9_]*)', 1)) AS name FROM scripts) WHERE name <> ''""")
 def env_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.env_reads(SCRIPTS.df(spark), "path", "content")
+    return governance.env_reads(SCRIPTS.df(spark, sf_dir), "path", "content")
 
 
 _IMPORT = "(SELECT src, unnest(regexp_extract_all(content, '{0}', 1)) AS target, {1} AS dynamic FROM (SELECT path AS src, content FROM scripts))"
@@ -104,48 +100,56 @@ _FORMS = (("import\\s+(?:[^''\"\\n;]+?\\s+from\\s+)?[''\"]([^''\"]+)[''\"]", "fa
 
 @query(f"WITH {SCRIPTS.cte()} SELECT * FROM " + " UNION ALL SELECT * FROM ".join(_IMPORT.format(p, d) for p, d in _FORMS))
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.imports(SCRIPTS.df(spark), "path", "content")
+    return governance.imports(SCRIPTS.df(spark, sf_dir), "path", "content")
 
 
-LAYERED = Inline("layered", "src string, dst string", (("ui/a", "db/x"), ("ui/a", "core/y"), ("core/y", "ui/a"), ("db/x", "core/y")))
-FORBIDDEN = Inline("forbidden", "layer string, other string", (("ui", "db"), ("core", "ui")))
+LAYERED = Derived("layered", """SELECT event_type || '/u' || user_id AS src, CASE user_id % 4 WHEN 0 THEN 'view' WHEN 1 THEN 'error' WHEN 2 THEN 'core' ELSE 'click' END || '/k' || (event_id % 10) AS dst FROM {events}""")
+FORBIDDEN = Derived("forbidden", """SELECT DISTINCT event_type AS layer, CASE event_type WHEN 'view' THEN 'error' WHEN 'click' THEN 'view' ELSE 'click' END AS other FROM {events}""")
 
 
 @query(f"WITH {LAYERED.cte()}, {FORBIDDEN.cte()} SELECT src, dst FROM layered JOIN forbidden ON layer = split_part(src, '/', 1) AND other = split_part(dst, '/', 1)")
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.layer_violations(LAYERED.df(spark), FORBIDDEN.df(spark))
+    return governance.layer_violations(LAYERED.df(spark, sf_dir), FORBIDDEN.df(spark, sf_dir))
 
 
-CLAIMS = Inline("claims", "doc string, content string", (("a", "It has 24 validators and 3 commands. version: 2.1.0"), ("b", "1/24 validators; 25 validators pkg@v2.3.1 and @1.9.9"), ("c", "27 validators, see /tags/v2.4.0")))
+CLAIMS = Derived("claims", """SELECT 'p' || p_partkey AS doc, 'It has ' || p_size || ' validators and 3 commands. version: 2.' || (p_size % 7) || '.' || (p_partkey % 3) || CASE WHEN p_size = 50 THEN ', 99999999999999999999 commands, version: 2.99999999999.0 or @2.1.99999999999' ELSE '' END AS content FROM {part}""")
 
 
 @query(f"""WITH {CLAIMS.cte()}, v AS (SELECT DISTINCT doc, unnest(regexp_extract_all(content, '(?:version:[ \\t]*|@v?|/tags/v|/releases/v)([0-9]+\\.[0-9]+\\.[0-9]+)', 1)) AS version FROM claims)
-    SELECT doc, version FROM v WHERE split_part(version, '.', 1) = '2' AND (split_part(version, '.', 2)::INT, split_part(version, '.', 3)::INT) < (4, 0)""")
+    SELECT doc, version FROM v WHERE split_part(version, '.', 1) = '2' AND (split_part(version, '.', 2)::HUGEINT, split_part(version, '.', 3)::HUGEINT) < (4, 0)""")
 def stale_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.stale_versions(CLAIMS.df(spark), "doc", "content", (2, 4, 0))
+    return governance.stale_versions(CLAIMS.df(spark, sf_dir), "doc", "content", (2, 4, 0))
 
 
 @query(f"""WITH {CLAIMS.cte()}, r AS (SELECT DISTINCT doc, unnest(regexp_extract_all(content, '(?:^|[^0-9/.])([0-9]+ (?:commands|validators))(?:[^A-Za-z]|$)', 1)) AS raw FROM claims),
-    x AS (SELECT doc, split_part(raw, ' ', 2) AS noun, split_part(raw, ' ', 1)::BIGINT AS claimed FROM r), y AS (SELECT *, CAST(CASE noun WHEN 'validators' THEN 27 ELSE 3 END AS BIGINT) AS actual FROM x)
-    SELECT * FROM y WHERE claimed <> actual""")
+    x AS (SELECT doc, split_part(raw, ' ', 2) AS noun, split_part(raw, ' ', 1) AS claimed FROM r), y AS (SELECT *, CAST(CASE noun WHEN 'validators' THEN 27 ELSE 3 END AS BIGINT) AS actual FROM x)
+    SELECT * FROM y WHERE TRY_CAST(claimed AS BIGINT) IS DISTINCT FROM actual""")
 def count_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.count_claims(CLAIMS.df(spark), "doc", "content", {"validators": 27, "commands": 3})
+    return governance.count_claims(CLAIMS.df(spark, sf_dir), "doc", "content", {"validators": 27, "commands": 3})
 
 
-APPLIED = Inline("applied", "type string, file string, summary string", (("replace-count", "a.md", "x"), ("replace-count", "a.md", "x"), ("replace-version", "b.md", "y")))
-CANDIDATES = Inline("candidates", "type string, file string, summary string", (("replace-count", "a.md", "x"), ("replace-version", "b.md", "y"), ("remove-endpoint", "c.md", "z")))
+APPLIED = Derived("applied", """SELECT 'replace-' || event_type AS type, 'u' || (user_id % 20) || '.md' AS file, props AS summary FROM {events} WHERE value > 15""")
+CANDIDATES = Derived("candidates", """SELECT DISTINCT 'replace-' || event_type AS type, 'u' || (user_id % 20) || '.md' AS file, props AS summary FROM {events}""")
 
 
 @query(f"""WITH {APPLIED.cte()}, {CANDIDATES.cte()} SELECT type, file, summary, sha256(type || '|' || file || '|' || summary)[1:12] AS mark FROM candidates c
     WHERE (SELECT count(*) FROM applied a WHERE a.type = c.type AND a.file = c.file AND a.summary = c.summary) < 2""")
 def fix_pingpong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.repeated_fixes(APPLIED.df(spark), CANDIDATES.df(spark))
+    return governance.repeated_fixes(APPLIED.df(spark, sf_dir), CANDIDATES.df(spark, sf_dir))
+
+
+_ALARMS = Derived("alarms", "SELECT event_type AS code, CASE WHEN value > 90 THEN 'error' ELSE 'warn' END AS severity, 'value \"' || user_id || '\"' AS message, 'src/u' || (user_id % 7) || '.py' AS path, CAST(event_id AS INT) AS line FROM {events} WHERE value > 60")
+
+
+@query(f"""WITH {_ALARMS.cte()} SELECT code, '{{"ruleId":"' || code || '","level":"' || CASE severity WHEN 'error' THEN 'error' ELSE 'warning' END || '","message":{{"text":"' || replace(message, '"', '\\"') || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || path || '"}},"region":{{"startLine":' || line || '}}}}}}]}}' AS result FROM alarms""")
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.sarif_results(_ALARMS.df(spark, sf_dir)).select("code", "result")
 
 
 @query(None)
 def sarif_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("SEC001", "error", "a secret", "a.py", 3), ("TDO002", "warn", "a note", "b.py", 1), ("SEC001", "error", "a secret", "a.py", 9)]
-    return governance.sarif(spark.createDataFrame(rows, "code string, severity string, message string, path string, line int"))
+    first = governance.first_by(_ALARMS.df(spark, sf_dir), ["code", "severity"], ["line"])
+    return governance.sarif(first)
 
 
 @query("SELECT * EXCLUDE (n) FROM (SELECT event_type, event_id, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")

@@ -114,22 +114,22 @@ _MARKDOWN = (
 )
 
 
-def _markdown(html: Column) -> Column:
+def markdown(html: Column) -> Column:
     x = F.coalesce(html, F.lit(""))
     for pattern, by in _MARKDOWN:
         x = F.regexp_replace(x, pattern, by.replace("@", "$"))
     return x
 
 
-_MD = "coalesce(html, '')"
+MARKDOWN_SQL = "coalesce(html, '')"
 for _pattern, _by in _MARKDOWN:
-    _MD = f"regexp_replace({_MD}, '{_pattern}', E'{_by.replace('@', chr(92) * 2).replace(chr(10), chr(92) + 'n')}', 'g')"
-_MD = f"md AS (SELECT page_id, url, {_MD} AS md FROM pages)"
+    MARKDOWN_SQL = f"regexp_replace({MARKDOWN_SQL}, '{_pattern}', E'{_by.replace('@', chr(92) * 2).replace(chr(10), chr(92) + 'n')}', 'g')"
+_MD = f"md AS (SELECT page_id, url, {MARKDOWN_SQL} AS md FROM pages)"
 _MD_LINES = rf"{_MD}, l AS (SELECT page_id, unnest(c) AS content, generate_subscripts(c, 1) AS line FROM (SELECT page_id, string_split(md, chr(10)) AS c FROM md)), h AS (SELECT page_id, line, length(regexp_extract(content, '^(#{{1,6}})[ \t]+(.+?)[ \t]*$', 1)) AS level, regexp_extract(content, '^(#{{1,6}})[ \t]+(.+?)[ \t]*$', 2) AS heading FROM l WHERE regexp_matches(content, '^(#{{1,6}})[ \t]+(.+?)[ \t]*$'))"
 
 
 def _pages_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").select("page_id", "url", _markdown(F.col("html")).alias("md"))
+    return _t(spark, sf_dir, "pages").select("page_id", "url", markdown(F.col("html")).alias("md"))
 
 
 @query(f'WITH {_MD_LINES} SELECT page_id, line AS place, level, heading, (SELECT min(line) FROM h b WHERE b.page_id = a.page_id AND b.line > a.line AND b.level <= a.level) AS "end" FROM h a')
@@ -213,7 +213,11 @@ def full_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.full_pack(_t(spark, sf_dir, "documents"), "doc_id", "text", 12)
 
 
-@query("""WITH v AS (SELECT sha256('=' || event_type || chr(31) || '=' || user_id) AS v, count(*) AS n FROM events GROUP BY event_type, user_id), h AS (SELECT sha256(v || ':' || n) AS h FROM v),
-    a AS (SELECT h[1:1] AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(k || h, '' ORDER BY k)) AS digest, (SELECT count(*) FROM events) AS n_rows FROM a""")
+_NODE = "SELECT CASE WHEN d >= {0} THEN k[1:d - {0}] ELSE k END AS k, d, CASE WHEN d >= {0} THEN sha256(string_agg(k[d - {0} + 1:d - {0} + 1] || h, '' ORDER BY k)) ELSE max(h) END AS h FROM {1} GROUP BY 1, 2"
+
+
+@query(f"""WITH v AS (SELECT sha256('=' || event_type || chr(31) || '=' || user_id || chr(31) || '=' || props) AS v, count(*) AS n FROM events GROUP BY event_type, user_id, props), h AS (SELECT sha256(v || ':' || n) AS h FROM v),
+    n AS (SELECT CASE WHEN count(*) <= 256 THEN 0 WHEN count(*) <= 4096 THEN 1 WHEN count(*) <= 65536 THEN 2 ELSE 3 END AS d FROM h), l AS (SELECT h[1:d] AS k, d, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h, n GROUP BY 1, 2),
+    a AS ({_NODE.format(1, "l")}), b AS ({_NODE.format(2, "a")}), c AS ({_NODE.format(3, "b")}) SELECT h AS digest, (SELECT count(*) FROM events) AS n_rows FROM c""")
 def findings_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.table_digest(_t(spark, sf_dir, "events"), ["event_type", "user_id"])
+    return ordered.table_digest(_t(spark, sf_dir, "events"), ["event_type", "user_id", "props"])

@@ -8,7 +8,7 @@ def rows(df, *names):
     return sorted(tuple(r[n] for n in names) for r in df.collect())
 
 
-def test_broken_links_and_suggested_anchors(spark):
+def test_broken_links_and_suggested_anchors(spark, on_literals):
     got = rows(catalog.QUERIES["link_findings"](spark, ""), "path", "line", "code", "wanted", "suggestion", "fixable")
     assert ("README.md", 3, "XRF002", "quik-start", "quick-start", True) in got
     assert ("README.md", 8, "XRF001", "docs/gone.md", None, False) in got
@@ -42,7 +42,7 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
-def test_an_empty_run_passes_nothing(spark):
+def test_an_empty_run_passes_nothing(spark, on_literals):
     q = catalog.QUERIES["guard_run"](spark, "").where("place < 0")
     assert [r.asDict() for r in guard.outcome(q).select("total", "status").collect()] == [{"total": 0, "status": "PASS"}]
 
@@ -56,7 +56,7 @@ def test_tree_is_read_without_what_is_ignored(spark, tmp_path):
     assert {r.path: r.content for r in scan.read_tree(spark, f"file://{tmp_path}").collect()} == {"a.py": "x", "src/b.js": "y", "src/b.min.js": None}
 
 
-def test_junit_is_xml_with_every_validator(spark):
+def test_junit_is_xml_with_every_validator(spark, on_literals):
     import xml.etree.ElementTree as ET
 
     suite = ET.fromstring(catalog.QUERIES["junit_report"](spark, "").first().junit.encode()).find("testsuite")

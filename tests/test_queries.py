@@ -36,23 +36,3 @@ def test_matches_sql(spark, duck, name):
     if want:
         assert names == sorted(want[0])
     assert rows([r.asDict() for r in got.collect()], names) == rows(want, names)
-
-
-def test_annotations(spark):
-    got = [(r.path, r.line, r.kind) for r in catalog.QUERIES["todo_extract"](spark, DATA).collect()]
-    assert sorted(got) == [("a.js", 2, "TODO"), ("a.js", 3, "FIXME"), ("b.py", 3, "HACK")]
-
-
-def test_skipped_tests(spark):
-    got = sorted((r.path[0], r.line, r.has_reason) for r in catalog.QUERIES["skipped_tests_window"](spark, DATA).collect())
-    assert got == [("a", 2, False), ("b", 4, True), ("b", 8, False), ("c", 4, True), ("c", 5, False), ("c", 8, False), ("d", 4, False)]
-
-
-def test_activities(spark):
-    got = [(r.path, r.first_seq, r.activity) for r in catalog.QUERIES["diff_activities"](spark, DATA).collect()]
-    assert sorted(got) == [("x.py", 6, "replace"), ("x.py", 9, "delete"), ("x.py", 12, "add"), ("x.py", 13, "delete"), ("y.py", 17, "add")]
-
-
-def test_suspect_documents(spark):
-    got = [(r.doc, r.place, r.path, r.kind, r.shared) for r in catalog.QUERIES["diff_suspicion"](spark, DATA).collect()]
-    assert sorted(got) == [("FEW.md", 1, "src/pay.ts", "path", 2), ("LEDGER.md", 1, "lib/b.js", "module", 2), ("PAY.md", 1, "src/pay.ts", "path", 5)]
