@@ -5,9 +5,11 @@ so the plan is made over the histogram of piece lengths: bins with equal
 contents are one entry with a count. Best fit in decreasing order gives the
 first plan. Local search then takes the emptiest bins and moves their pieces into
 other underfull bins, or exchanges one for one or two for one, whenever that
-increases the sum of squared fills, until bins are empty or nothing helps; equal
-bins change together. The plan is made on the driver: it holds a row for each
-different content of a bin, not for each document. It is written as a table, and
+increases the sum of squared fills, in sweeps over the kinds of bins until one
+empties no bin; equal bins change together. The plan is made on the driver: it holds
+a row for each different content of a bin, not for each document, and its work is
+bounded by those kinds (10 million pieces of 500 to 1023 tokens take no longer than
+100,000). It is written as a table, and
 pieces find their place there by their length and their rank within it.
 
 Defined results: null and empty texts are the end id alone; a text longer than a
@@ -37,6 +39,8 @@ Contents = tuple[int, ...]
 Bins = dict[Contents, int]
 #: Pieces that a row of the written plan places at most.
 PLACED = 1 << 16
+#: Steps of a sweep that follow one kind of bin.
+STEPS = 256
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
@@ -74,7 +78,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
 
 
 class _Underfull:
-    """Bins with room, which of them gives next, and what they could take in.
+    """Bins with room, and what they could take in.
 
     A bin with room ``r`` that gives up ``y`` (no piece, one or two of them) can
     take a longer piece of at most ``y + r``. By that ``reach`` the bins are kept,
@@ -87,7 +91,6 @@ class _Underfull:
         self.reach: list[list[tuple[int, int, Contents, Contents]]] = [[] for _ in range(capacity + 1)]
         self.least = np.full(2 * capacity + 1, capacity + 1)
         self.listed: set[Contents] = set()
-        self.donors: list[tuple[int, int, Contents]] = []
         self.number = 0
         for c, n in bins.items():
             self.add(c, n)
@@ -107,29 +110,16 @@ class _Underfull:
         if not room:
             self.full[c] += n
             return
-        if c not in self.bins:
-            self.gives(c)
-            if c not in self.listed:
-                self.listed.add(c)
-                sizes = sorted(set(c))
-                outs = [()] + [(y,) for y in sizes] + [(y, z) for k, y in enumerate(sizes) for z in sizes[k:] if y != z or c.count(y) > 1]
-                for y, out in {sum(out): out for out in reversed(outs)}.items():
-                    self.number += 1
-                    heapq.heappush(self.reach[room + y], (y, self.number, c, out))
-                    self.least[room + y] = self.reach[room + y][0][0]
+        if c not in self.bins and c not in self.listed:
+            self.listed.add(c)
+            sizes = sorted(set(c))
+            outs = [()] + [(y,) for y in sizes] + [(y, z) for k, y in enumerate(sizes) for z in sizes[k:] if y != z or c.count(y) > 1]
+            for y, out in {sum(out): out for out in reversed(outs)}.items():
+                self.number += 1
+                heapq.heappush(self.reach[room + y], (y, self.number, c, out))
+                self.least[room + y] = self.reach[room + y][0][0]
         self.bins[c] += n
 
-    def gives(self, c: Contents) -> None:
-        self.number += 1
-        heapq.heappush(self.donors, (sum(c), self.number, c))
-
-    def emptiest(self) -> Contents | None:
-        while self.donors:
-            c = heapq.heappop(self.donors)[2]
-            if c in self.bins:
-                return c
-        return None
-
     def taker(self, x: int, donor: Contents) -> tuple[Contents, Contents] | None:
         """The bin that ``x`` of the donor's fills up best, and what it gives up; it gets fuller than the donor is now."""
         aside, found, room = [], None, self.capacity - sum(donor)
@@ -157,8 +147,8 @@ def _without(c: Contents, *sizes: int) -> Contents:
     return tuple(left)
 
 
-def _step(u: _Underfull, donor: Contents) -> bool:
-    """One move or exchange from the donor that raises the squared fill, for all equal bins at once; False if there is none."""
+def _step(u: _Underfull, donor: Contents) -> Contents | None:
+    """One move or exchange from the donor that raises the squared fill, for all equal bins at once: what it leaves of the donor, None if there is none."""
     for x in dict.fromkeys(donor):
         if found := u.taker(x, donor):
             other, out = found
@@ -166,38 +156,41 @@ def _step(u: _Underfull, donor: Contents) -> bool:
             u.take(donor, n)
             u.take(other, n)
             u.add((*_without(other, *out), x), n)
-            u.add((*_without(donor, x), *out), n)
-            if donor in u.bins:
-                u.gives(donor)
-            return True
-    return False
+            left = tuple(sorted((*_without(donor, x), *out), reverse=True))
+            u.add(left, n)
+            return left
+    return None
 
 
 def local_search(bins: Bins, capacity: int) -> Bins:
     """Move and exchange pieces between underfull bins until bins empty or nothing helps.
 
     Each step changes all equal pairs of bins and raises the sum of squared
-    fills, so the search ends; it ends at once at the least number of bins that
-    the lengths allow. The emptiest bins give first; those that can't improve
-    anything try again after others did, until none can.
+    fills. A sweep takes each kind of underfull bin once, the emptiest first, and
+    goes on with what each step leaves of it, then with the bins of its kind that a
+    step didn't reach, STEPS in all; it ends at once at the least number of bins that
+    the lengths allow. Sweeps end with one that empties no bin. So the work is bounded
+    by the kinds of bins, whatever the number of pieces.
     """
-    total = sum(sum(c) * n for c, n in bins.items())
-    least = -(-total // capacity)
+    least = -(-sum(sum(c) * n for c, n in bins.items()) // capacity)
     u = _Underfull(bins, capacity)
-    stuck: list[Contents] = []
-    better = False
-    while u.n > least:
-        donor = u.emptiest()
-        if donor is None:
-            if not better:
+    full = u.full
+    n_bins = lambda: u.n + sum(full.values())
+    before = None
+    while (now := n_bins()) > least and now != before:
+        before = now
+        for kind in sorted(u.bins, key=lambda c: (sum(c), c)):
+            if n_bins() <= least:
                 break
-            for c in stuck:
-                u.gives(c)
-            stuck, better = [], False
-        elif _step(u, donor):
-            better = True
-        else:
-            stuck.append(donor)
+            stack = [kind]
+            for _ in range(STEPS):
+                if not stack:
+                    break
+                left = _step(u, stack[-1]) if stack[-1] in u.bins else None
+                if left is None:
+                    stack.pop()
+                elif left:
+                    stack.append(left)
     return dict(u.full + u.bins)
 
 

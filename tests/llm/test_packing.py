@@ -124,3 +124,21 @@ def test_query_against_the_tokenizer(spark):
 
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_search_is_bounded_by_kinds_of_bins():
+    """A hundred times the pieces take no longer, and no more bins in proportion."""
+    import time
+    from collections import Counter
+
+    import numpy as np
+
+    took, shares = [], []
+    for n in (20_000, 2_000_000):
+        sizes = Counter(np.random.default_rng(1).integers(500, 1024, n).tolist())
+        began = time.time()
+        bins = packing.local_search(packing.best_fit(sizes, 2048), 2048)
+        took.append(time.time() - began)
+        assert sum((Counter({s: k * c for s, k in Counter(x).items()}) for x, c in bins.items()), Counter()) == sizes
+        shares.append(sum(bins.values()) / sum(s * k for s, k in sizes.items()) * 2048)
+    assert took[1] < 3 * took[0] + 5 and max(shares) < 1.07 < 1.10
