@@ -7,8 +7,9 @@ import ctypes
 import gc
 import os
 import pickle
+import subprocess
+import sys
 import tempfile
-import traceback
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -64,30 +65,28 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def apart(work: Callable[[], object]) -> object:
-    """What ``work`` gives, from a child process, whose memory is gone afterwards."""
-    here, there = os.pipe()
-    if not (child := os.fork()):
-        code = 1
-        try:
-            with os.fdopen(there, "wb") as out:
-                pickle.dump(work(), out)
-            code = 0
-        except BaseException:
-            traceback.print_exc()
-        finally:
-            os._exit(code)
-    os.close(there)
-    with os.fdopen(here, "rb") as found:
-        raw = found.read()
-    if os.waitpid(child, 0)[1]:
-        raise RuntimeError("a child process failed; its message is in the log of the task")
-    return pickle.loads(raw)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Rows of texts go to Python workers a thousand at a time, so that batches stay small there and in the executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+_APART = "import pickle, sys; work, a = pickle.load(sys.stdin.buffer); pickle.dump(work(*a), sys.stdout.buffer)"
+
+
+def apart(work: Callable, *arguments: object) -> object:
+    """What ``work``, a function of a module, gives in a fresh process, whose memory is gone afterwards."""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+    done = subprocess.run([sys.executable, "-c", _APART], input=pickle.dumps((work, arguments)), stdout=subprocess.PIPE, env=env, check=True)
+    return pickle.loads(done.stdout)
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> str | None:
+    """From now on rows go to Python workers a thousand at a time, so that batches of texts stay small there and in the executor; the setting as it was."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, "1024")
+    return before
+
+
+def batches_as_before(spark: SparkSession, before: str | None) -> None:
+    spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
 
 
 def with_row_key(df: DataFrame) -> DataFrame:

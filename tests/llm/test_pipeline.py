@@ -37,3 +37,32 @@ def test_each_stage_takes_effect(spark, tmp_path):
 
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choice("bcdfgh") + r.choice("aeiou") for _ in range(3)) for _ in range(n))
+    long = text(30_000)
+    docs = [(1, text(30), None), (2, text(25), "x"), (2, text(25), "y"), (3, None, None), (4, "", "z"), (5, long, None), (6, long + " end", None), (None, text(20), None), (7, text(9), None), (7, None, None)]
+    docs.append(docs[0])
+    kind = "doc_id long, text string, Contaminated string"
+    items, labels = [("q-1", text(30)), ("q-2", docs[1][1]), (None, None)], [(1, None, None), (2, 1, 0), (2, 1, 0), (99, 1, 1), (None, 0, 1)]
+
+    def ran(name, rows):
+        base = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, kind).repartition(2).write.parquet(f"{base}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+        spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{base}/benchmark.parquet")
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        got = corpus_pipeline.run(spark, base).collect()
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+        return got
+
+    got = ran("odd", docs)
+    whole = {x.doc_id: 0 for x in got}
+    for x in got:
+        whole[x.doc_id] += x.length
+    # an exact copy, a near copy and one of the rows with a benchmark item go; of three empty texts one stays
+    assert sorted(whole, key=repr) == sorted([1, 2, 3, 5, 7, None], key=repr)
+    assert whole[5] > 20_000 and sum(1 for x in got if x.doc_id == 2 and x.piece == 0) == 1
+    assert ran("none", []) == []
