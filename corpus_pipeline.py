@@ -4,6 +4,17 @@ Each stage takes what its predecessor kept, written as Parquet and read again:
 toxic documents go, then exact copies, then all but one document of each group
 of near copies, then documents with a benchmark item, and the rest is packed.
 All stages but the last return the columns of ``documents``.
+
+Defined results: a null text is empty, which no stage drops but as a copy of another
+empty one (empty texts are linked with nothing, and hold no item); without labels of
+both classes no document is toxic; documents without a label, and labels that are null
+or no class, count for nothing in the fit; of rows with one id that are equal one
+stays, others are judged each by its text; ties go to the smallest id; columns beside
+``doc_id`` and ``text`` are carried whatever they are called; very long texts are
+judged whole; an empty table passes every stage and packs nothing.
+
+A stage sets that rows go to Python workers a thousand at a time, which must hold
+while its result is written; ``run`` puts the setting back.
 """
 
 from __future__ import annotations
@@ -13,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import decontamination, exact_dedup, ngram_join, packing, toxicity
-from folioscope.llm.rows import small_batches, work_dir, written
+from folioscope.llm.rows import batches_as_before, small_batches, work_dir, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,6 +70,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_dir(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"{base}/{name}")
+    before = small_batches(spark)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"{base}/{name}")
+    finally:
+        batches_as_before(spark, before)
     return docs
