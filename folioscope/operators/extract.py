@@ -109,28 +109,33 @@ def activities(lines: DataFrame, key: str) -> DataFrame:
 def later_than(commits: DataFrame, docs: DataFrame) -> DataFrame:
     """``doc, later``: how many commits come after each document's date.
 
-    Commits of the same day are counted in order, those of later days by cumulative
-    sums over days; no pair of a document and a commit is made.
+    Commits of the same hour are counted in order, those of later hours by cumulative
+    sums over hours, a row an hour; no pair of a document and a commit is made.
     """
     kind = docs.schema["doc"].dataType
     dated = docs.select("doc", F.col("reviewed").cast("timestamp").alias("at"), F.lit(0).alias("commit"))
     made = commits.select(F.lit(None).cast(kind).alias("doc"), F.col("committed").cast("timestamp").alias("at"), F.lit(1).alias("commit"))
-    both = dated.unionByName(made).where("at IS NOT NULL").withColumn("day", F.to_date("at"))
+    both = dated.unionByName(made).where("at IS NOT NULL").withColumn("hour", F.date_trunc("hour", "at"))
     # of rows at the same instant documents come first, so those commits don't count
-    in_order = Window.partitionBy("day").orderBy(F.desc("at"), "commit").rowsBetween(Window.unboundedPreceding, 0)
-    same_day = both.withColumn("same", F.sum("commit").over(in_order)).where("commit = 0")
-    days = both.groupBy("day").agg(F.sum("commit").alias("n"))  # a row a day
-    after = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("day", F.coalesce(F.sum("n").over(after), F.lit(0)).alias("rest"))
-    found = same_day.join(days, "day").select("doc", (F.col("same") + F.col("rest")).alias("later"))
+    in_order = Window.partitionBy("hour").orderBy(F.desc("at"), "commit").rowsBetween(Window.unboundedPreceding, 0)
+    same_hour = both.withColumn("same", F.sum("commit").over(in_order)).where("commit = 0")
+    hours = both.groupBy("hour").agg(F.sum("commit").alias("n"))  # a row an hour
+    after = Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("hour", F.coalesce(F.sum("n").over(after), F.lit(0)).alias("rest"))
+    found = same_hour.join(hours, "hour").select("doc", (F.col("same") + F.col("rest")).alias("later"))
     undated = docs.where("reviewed IS NULL").select("doc", F.lit(0).cast("long").alias("later"))
     return found.unionByName(undated).groupBy("doc").agg(F.sum("later").alias("later"))
 
 
 def redundant_rules(rules: DataFrame, key: str, text: str) -> DataFrame:
-    """``norm, n, first``: rules that are the same once case and punctuation go."""
-    x = rules.select(key, t.rule_norm(F.col(text)).alias("norm")).where("norm <> ''")
-    return x.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where("n > 1")
+    """``norm, n, first``: rules that are the same once case and punctuation go.
+
+    They are grouped by their digests; texts are fetched for groups alone, by the first of each.
+    """
+    x = rules.select(key, t.rule_norm(F.col(text)).alias("norm")).where("norm <> ''").withColumn("digest", F.sha2("norm", 256))
+    groups = x.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where("n > 1")
+    texts = x.select("digest", F.col(key).alias("first"), "norm").join(groups.select("digest", "first"), ["digest", "first"], "left_semi").dropDuplicates(["digest"])
+    return groups.join(texts.select("digest", "norm"), "digest").select("norm", "n", "first")
 
 
 def matched_glob(path: Column, glob: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.shared import stored, work_folder
 from .spread import spread
 
 
@@ -26,8 +27,8 @@ def smoothed_idf(terms: DataFrame, documents: int) -> DataFrame:
 
 
 def _token_arrays(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, tokens``, cached: tokens are costly, and the plans here read them several times."""
-    return spread(df.select(key, text)).select(key, t.tokens(F.col(text)).alias("tokens")).persist()
+    """``key, tokens``, written to the shared folder: tokens are costly, and the plans here read them several times."""
+    return stored(spread(df.select(key, text)).select(key, t.tokens(F.col(text)).alias("tokens")), f"{work_folder(df.sparkSession, 'tokens')}/sets")
 
 
 def _terms(arrays: DataFrame, key: str) -> DataFrame:

@@ -52,11 +52,11 @@ FILES = Derived("files", """SELECT 'p' || page_id || '.png' AS path FROM {pages}
 _OPEN = f"""(SELECT path, line, content FROM (SELECT path, line, content, starts_with(content, '```') AS f, sum(CAST(starts_with(content, '```') AS INT)) OVER (PARTITION BY path ORDER BY line) AS n
     FROM {_lines("docs")}) WHERE NOT f AND n % 2 = 0)"""
 _SLUG = r"""regexp_replace(regexp_replace(regexp_replace(lower({0}), '[.,;:!?''"`()\[\]{{}}<>|\\/]', '', 'g'), '\s+', '-', 'g'), '[^a-z0-9-]', '', 'g')"""
-_HEADINGS = r"""(SELECT path, line, length(h.marks) AS level, h.heading AS heading, """ + _SLUG.format("h.heading") + r""" AS slug FROM (
+HEADINGS_SQL = r"""(SELECT path, line, length(h.marks) AS level, h.heading AS heading, """ + _SLUG.format("h.heading") + r""" AS slug FROM (
     SELECT path, line, regexp_extract(content, '^(#{1,6})\s+(.+?)\s*$', ['marks', 'heading']) AS h FROM """ + _OPEN + """) WHERE h.heading <> '')"""
 
 
-@query(f"WITH {DOCS.cte()} SELECT path, line, CAST(level AS INTEGER) AS level, heading, slug FROM {_HEADINGS}")
+@query(f"WITH {DOCS.cte()} SELECT path, line, CAST(level AS INTEGER) AS level, heading, slug FROM {HEADINGS_SQL}")
 def md_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.headings(DOCS.df(spark, sf_dir), "path", "content")
 
@@ -88,7 +88,7 @@ def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.resolved_links(markdown.links(docs, "path", "content"), docs, FILES.df(spark, sf_dir))
 
 
-@query(f"""WITH {DOCS.cte()}, {FILES.cte()}, {_RESOLVED}, known_slug AS (SELECT DISTINCT path, slug FROM {_HEADINGS}),
+@query(f"""WITH {DOCS.cte()}, {FILES.cte()}, {_RESOLVED}, known_slug AS (SELECT DISTINCT path, slug FROM {HEADINGS_SQL}),
     a AS (SELECT path, line, place, wiki, anchor, hit, {_SLUG.format("replace(anchor, '%20', ' ')")} AS s FROM resolved WHERE checked AND hit IS NOT NULL AND anchor IS NOT NULL),
     m AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM known_slug k WHERE k.path = a.hit AND k.slug IN (a.s, a.anchor))),
     c AS (SELECT m.*, k.slug AS other, levenshtein(m.s, k.slug) AS d, least(length(s), length(slug)) AS lo, greatest(length(s), length(slug)) AS hi, contains(s, slug) OR contains(slug, s) AS inner_part FROM m JOIN known_slug k ON k.path = m.hit),
