@@ -12,23 +12,29 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t\r\n\f\x0B]"
 #: Words that carry no topic, among prose and code words.
 STOP_WORDS = (
-    "the a an and or but if then else for of to in on at by as is are was were be been this that these those it its with from not no we you "
-    "return returns const let var function class import export default new true false null void public private"
-).split()
+    "the", "a", "an", "and", "or", "but", "if", "then", "else", "for", "of", "to", "in", "on", "at", "by", "as", "is", "are", "was", "were", "be",
+    "been", "this", "that", "these", "those", "it", "its", "with", "from", "not", "no", "we", "you", "return", "returns", "const", "let", "var",
+    "function", "class", "import", "export", "default", "new", "true", "false", "null", "void", "public", "private",
+)
 #: Terms the audience knows, two syllables each.
 TECH_VOCABULARY = (
-    "dynamodb redis postgres postgresql mongodb mysql sqlite kubernetes docker dockerfile nginx apache cloudfront cloudwatch elasticsearch "
-    "opensearch terraform ansible memcached cassandra rabbitmq kafka typescript javascript python fastify express nextjs webpack vite vitest "
-    "playwright cypress mocha nestjs angular svelte nuxtjs gatsby remix websocket websockets middleware microservice microservices graphql "
-    "restful oauth openapi webhook webhooks grpc protobuf pubsub lambda cognito amplify apprunner cloudformation apigateway secretsmanager "
-    "parameterstore eventbridge fargate elasticache sagemaker namespace endpoint endpoints timestamp timestamps boolean callback callbacks "
-    "codebase monorepo frontend backend fullstack changelog localhost hostname username eslint prettier rollup authentication authorization "
-    "infrastructure serialization deserialization polymorphism abstraction"
-).split()
+    "dynamodb", "redis", "postgres", "postgresql", "mongodb", "mysql", "sqlite", "kubernetes", "docker", "dockerfile", "nginx", "apache",
+    "cloudfront", "cloudwatch", "elasticsearch", "opensearch", "terraform", "ansible", "memcached", "cassandra", "rabbitmq", "kafka", "typescript",
+    "javascript", "python", "fastify", "express", "nextjs", "webpack", "vite", "vitest", "playwright", "cypress", "mocha", "nestjs", "angular",
+    "svelte", "nuxtjs", "gatsby", "remix", "websocket", "websockets", "middleware", "microservice", "microservices", "graphql", "restful", "oauth",
+    "openapi", "webhook", "webhooks", "grpc", "protobuf", "pubsub", "lambda", "cognito", "amplify", "apprunner", "cloudformation", "apigateway",
+    "secretsmanager", "parameterstore", "eventbridge", "fargate", "elasticache", "sagemaker", "namespace", "endpoint", "endpoints", "timestamp",
+    "timestamps", "boolean", "callback", "callbacks", "codebase", "monorepo", "frontend", "backend", "fullstack", "changelog", "localhost",
+    "hostname", "username", "eslint", "prettier", "rollup", "authentication", "authorization", "infrastructure", "serialization", "deserialization",
+    "polymorphism", "abstraction",
+)
 #: Syllables of words that the rules get wrong.
 SYLLABLES = {"the": 1, "are": 1, "were": 1, "have": 1, "there": 1, "where": 1, "here": 1, "every": 3, "everything": 4, "create": 2, "file": 1, "style": 1, "quite": 1}
+#: Abbreviations whose point ends no sentence, pronouns without a name, and the patterns of passive, compound, negated and conditional clauses.
 ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|approx|incl"
-PRONOUNS = "it this that they them these those its their theirs".split()
+PRONOUNS = (
+    "it", "this", "that", "they", "them", "these", "those", "its", "their", "theirs",
+)
 PASSIVE = r"(is|was|were|been|being|are|be|am)\s+([\w]+\s+)?([\w]*(?:ed|en|wn|lt|nt|pt|ft|zed))"
 COMPOUND = r"(and also|and then|as well as|in addition to|additionally|furthermore|moreover)"
 NEGATION = r"(not|no|never|none|neither|nor|cannot|can't|don't|doesn't|didn't|won't|wouldn't|shouldn't|isn't|aren't|wasn't|weren't|hasn't|haven't|hadn't)"
@@ -119,7 +125,7 @@ def syllables(word: Column) -> Column:
     groups = F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+")))
     silent = w.endswith("e") & ~(w.endswith("le") | w.endswith("ce") | w.endswith("ge"))
     past = w.endswith("ed") & ~(w.endswith("ted") | w.endswith("ded"))
-    out = F.when(F.length(w) <= 2, 1).when(w.isin(TECH_VOCABULARY), 2)
+    out = F.when(F.length(w) <= 2, 1).when(w.isin(*TECH_VOCABULARY), 2)
     for n in sorted(set(SYLLABLES.values())):
         out = out.when(w.isin([k for k, v in SYLLABLES.items() if v == n]), n)
     return out.otherwise(F.greatest(F.lit(1), groups - silent.cast("int") - past.cast("int")))
@@ -137,7 +143,7 @@ def tokens(text: Column, least: int = 3) -> Column:
     """Identifiers and their words, lower case, without short and stop words, each once in order of first sight."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_.-]*"), F.lit(0))
     each = F.flatten(F.transform(found, lambda w: F.concat(F.array(F.lower(w)), identifier_words(w))))
-    return F.array_distinct(F.filter(each, lambda t: (F.length(t) >= least) & ~t.isin(STOP_WORDS)))
+    return F.array_distinct(F.filter(each, lambda t: (F.length(t) >= least) & ~t.isin(*STOP_WORDS)))
 
 
 def slug(heading: Column) -> Column:

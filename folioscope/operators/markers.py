@@ -11,12 +11,14 @@ from .extract import numbered_lines
 
 METHODS = "GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS"
 TEST_FILE = r"(^|/)(__tests__|tests?|spec)/|\.(test|spec)\.[^.]+$"
+#: The form of a note on a deviation.
 DRIFT = r"(?i)(?://|#|/\*|--)[ \t]*DRIFT:[ \t]*(.+)"
 #: Variables of the system, which no document needs to name.
 SYSTEM_VARIABLES = (
-    "PATH HOME USER USERNAME SHELL PWD OLDPWD TMPDIR TEMP TMP LANG LC_ALL LC_CTYPE LC_MESSAGES TZ EDITOR VISUAL PAGER TERM COLORTERM "
-    "DISPLAY SSH_AUTH_SOCK SSH_CONNECTION SSH_TTY XDG_CONFIG_HOME XDG_DATA_HOME XDG_CACHE_HOME XDG_RUNTIME_DIR"
-).split()
+    "PATH", "HOME", "USER", "USERNAME", "SHELL", "PWD", "OLDPWD", "TMPDIR", "TEMP", "TMP", "LANG", "LC_ALL", "LC_CTYPE", "LC_MESSAGES", "TZ",
+    "EDITOR", "VISUAL", "PAGER", "TERM", "COLORTERM", "DISPLAY", "SSH_AUTH_SOCK", "SSH_CONNECTION", "SSH_TTY", "XDG_CONFIG_HOME", "XDG_DATA_HOME",
+    "XDG_CACHE_HOME", "XDG_RUNTIME_DIR",
+)
 
 
 def drift_comments(df: DataFrame, path: str, text: str, tests: bool = False) -> DataFrame:
@@ -45,7 +47,7 @@ def documented_variables(docs: DataFrame, text: str) -> DataFrame:
     ticks = F.regexp_extract_all(F.col(text), F.lit("`([A-Z][A-Z0-9_]*[A-Z0-9])`"), F.lit(1))
     table = F.regexp_extract_all(F.col(text), F.lit(r"(?m)^[ \t\r\n\f]*\|[ \t]*([A-Z][A-Z0-9_]*[A-Z0-9])[ \t]*\|"), F.lit(1))
     names = docs.select(F.explode(F.concat(ticks, table)).alias("name"))
-    return names.where((F.length("name") >= 3) & ~F.col("name").isin(SYSTEM_VARIABLES)).distinct()
+    return names.where((F.length("name") >= 3) & ~F.col("name").isin(*SYSTEM_VARIABLES)).distinct()
 
 
 def example_variables(files: DataFrame, text: str) -> DataFrame:

@@ -39,7 +39,7 @@ def metrics(df: DataFrame, text: str = "text") -> DataFrame:
 
     found = {
         "passive_ratio": _share("_sentences", lambda s: s.rlike(t.bounded(t.PASSIVE))),
-        "pronoun_ratio": _share("_words", lambda w: w.isin(t.PRONOUNS)),
+        "pronoun_ratio": _share("_words", lambda w: w.isin(*t.PRONOUNS)),
         "compound_ratio": _share("_sentences", compound),
         "flesch_ease": F.greatest(F.lit(0.0), F.least(F.lit(100.0), t.rounded(206.835 - 1.015 * per_sentence - 84.6 * per_word))),
         "fk_grade": F.greatest(F.lit(0.0), t.rounded(0.39 * per_sentence + 11.8 * per_word - 15.59)),

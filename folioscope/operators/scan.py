@@ -11,18 +11,21 @@ from .extract import matched_glob
 
 #: Folders that are never walked, trees that no glob matches, and folders that aren't the product.
 IGNORED_DIRS = (
-    "node_modules vendor .venv __pycache__ .git .jj .hg .svn dist build out coverage target .gradle "
-    ".next .nuxt .turbo .vercel .cache .svelte-kit cdk.out .DS_Store"
-).split()
+    "node_modules", "vendor", ".venv", "__pycache__", ".git", ".jj", ".hg", ".svn", "dist", "build", "out", "coverage", "target", ".gradle", ".next",
+    ".nuxt", ".turbo", ".vercel", ".cache", ".svelte-kit", "cdk.out", ".DS_Store",
+)
 REJECTED = r"(?:^|[/\\])(?:node_modules|\.claude[/\\]worktrees|\.git[/\\]worktrees|\.jj)(?:[/\\]|$)"
-NON_PRODUCT_DIRS = "fixtures __fixtures__ test-fixtures testfixtures testdata test tests __tests__ spec specs __mocks__ mocks examples example sample samples".split()
+NON_PRODUCT_DIRS = (
+    "fixtures", "__fixtures__", "test-fixtures", "testfixtures", "testdata", "test", "tests", "__tests__", "spec", "specs", "__mocks__", "mocks",
+    "examples", "example", "sample", "samples",
+)
 GENERATED = r"(?i)(\.min\.[cm]?js|\.(bundle|chunk)\.[cm]?jsx?|[.-]generated\.[a-z0-9]+|\.d\.ts)$"
 MAX_SCAN_BYTES = 1_500_000
 
 
 def walked(path: Column, keep_dot: tuple[str, ...] = ()) -> Column:
     """Whether a walk reaches a relative path: no part of it is an ignored folder or, unless kept, starts with a dot."""
-    return ~F.exists(F.split(path, "/"), lambda x: x.isin(IGNORED_DIRS) | (x.startswith(".") & (~x.isin(list(keep_dot)) if keep_dot else F.lit(True))))
+    return ~F.exists(F.split(path, "/"), lambda x: x.isin(*IGNORED_DIRS) | (x.startswith(".") & (~x.isin(list(keep_dot)) if keep_dot else F.lit(True))))
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:

@@ -11,14 +11,16 @@ from .extract import numbered_lines
 CODE_FILE = r"\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|rb|php|cs|swift|scala|dart)$"
 #: Tokens that any document and any diff may share.
 GENERIC = (
-    "page components component shared nav state use set active tab react props prop string type types value values data status config client "
-    "none all com https http url text download request response error index item items list name key map log update updated version content "
-    "document description service services object array number boolean async await promise void render component element style styles class "
-    "div span button input form label title header footer main font color colors tracking surface auto full next body sans blue accent size "
-    "spacing margin padding width height flex grid bold bg rounded code json err error message auth get put post patch delete req res route "
-    "routes handler endpoint method headers query params param cron process api path lib util utils helper helpers admin roles role user users "
-    "email price json fetch axios send call"
-).split()
+    "page", "components", "component", "shared", "nav", "state", "use", "set", "active", "tab", "react", "props", "prop", "string", "type", "types",
+    "value", "values", "data", "status", "config", "client", "none", "all", "com", "https", "http", "url", "text", "download", "request", "response",
+    "error", "index", "item", "items", "list", "name", "key", "map", "log", "update", "updated", "version", "content", "document", "description",
+    "service", "services", "object", "array", "number", "boolean", "async", "await", "promise", "void", "render", "component", "element", "style",
+    "styles", "class", "div", "span", "button", "input", "form", "label", "title", "header", "footer", "main", "font", "color", "colors", "tracking",
+    "surface", "auto", "full", "next", "body", "sans", "blue", "accent", "size", "spacing", "margin", "padding", "width", "height", "flex", "grid",
+    "bold", "bg", "rounded", "code", "json", "err", "error", "message", "auth", "get", "put", "post", "patch", "delete", "req", "res", "route",
+    "routes", "handler", "endpoint", "method", "headers", "query", "params", "param", "cron", "process", "api", "path", "lib", "util", "utils",
+    "helper", "helpers", "admin", "roles", "role", "user", "users", "email", "price", "json", "fetch", "axios", "send", "call",
+)
 
 
 def diff_files(df: DataFrame, key: str, diff: str) -> DataFrame:
@@ -48,7 +50,7 @@ def suspects(docs: DataFrame, lines: DataFrame, key: str, text: str, least: int
     Most shared first, ``cap`` a document, then a row with null path and how many more.
     Documents and files meet by token; only pairs that share enough are looked at further.
     """
-    gone = changed_tokens(lines.where(F.col("path").rlike(CODE_FILE))).where(~F.col("token").isin(GENERIC))
+    gone = changed_tokens(lines.where(F.col("path").rlike(CODE_FILE))).where(~F.col("token").isin(*GENERIC))
     has = docs.select(key, F.explode(t.tokens(F.col(text))).alias("token"))
     pairs = has.join(gone, "token").groupBy(key, "path").agg(F.count(F.lit(1)).alias("shared"), F.min("first_seq").alias("seq")).where(F.col("shared") >= least)
     file = F.regexp_replace("path", r"^\./", "")

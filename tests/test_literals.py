@@ -10,7 +10,7 @@ from folioscope.plans import catalog
 duckdb = pytest.importorskip("duckdb")
 MODULES = {name: importlib.import_module(f"folioscope.plans.{name}") for name, _ in LITERALS}
 TABLES = {getattr(MODULES[module], name): rows for (module, name), rows in LITERALS.items() if hasattr(MODULES[module], name)}
-NAMES = sorted(n for n, sql in catalog.ORACLE_SQL.items() if any(t.cte() in sql for t in TABLES))
+NAMES = sorted(n for m in MODULES.values() for n, sql in m.ORACLE_SQL.items() if any(t.cte() in sql for t in TABLES))
 
 
 def literal(sql):
