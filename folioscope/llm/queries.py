@@ -96,7 +96,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
+_NEAREST = """, a{0} AS (
+            SELECT vec_id, v, k, d FROM (
+                SELECT vec_id, v, k, d, row_number() OVER (PARTITION BY vec_id, v ORDER BY d, k) AS n
+                FROM (SELECT vec_id, v, k, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS d FROM kept, c{0})
+            ) WHERE n = 1
+        )"""
+_MOVED = """, m{0} AS (
+            SELECT k, list(floor(s / n) ORDER BY i) AS c
+            FROM (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{0}) GROUP BY k, i)
+            GROUP BY k
+        ), c{1} AS (SELECT c{0}.k, coalesce(m{0}.c, c{0}.c) AS c FROM c{0} LEFT JOIN m{0} ON c{0}.k = m{0}.k)"""
+#: Five rounds written out; components are small enough for sums in floating point to be exact.
+_CLUSTERED = "".join(_NEAREST.format(r) + _MOVED.format(r, r + 1) for r in range(5)) + _NEAREST.format(5)
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), l AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+            HAVING 100 * count(*) >= 85 * ((SELECT n FROM n WHERE doc_id = a.doc_id) + (SELECT n FROM n WHERE doc_id = b.doc_id) - count(*))
+        ), k AS (
+            SELECT doc_id, md5(string_agg(g, '' ORDER BY g)) AS own FROM s GROUP BY doc_id
+        ), m AS (
+            SELECT l.a, count(DISTINCT y.own) AS n_links FROM l JOIN k x ON x.doc_id = l.a JOIN k y ON y.doc_id = l.b WHERE x.own <> y.own GROUP BY l.a
+        ), c AS (
+            SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT l.b, c.c FROM c JOIN l ON l.a = c.a WHERE c.c < l.b
+        )
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(c.c) FROM c WHERE c.a = d.doc_id) AS component_id, coalesce(m.n_links, 0) AS n_links
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+    """,
+    "op13_centroid_clustering": f"""
+        WITH kept AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64
+        ), c0 AS (
+            SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT 40)
+        ){_CLUSTERED}
+        SELECT vec_id,
+               CAST(a5.k AS INTEGER) AS cluster,
+               CAST(d AS BIGINT) AS distance,
+               CAST(sum(d) OVER (PARTITION BY a5.k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+        FROM a5 JOIN c5 ON a5.k = c5.k
+    """,
     "op6_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n
