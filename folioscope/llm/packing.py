@@ -277,7 +277,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
                 columns += [pa.array([task] * len(row), pa.int32()), pa.array(number, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return df.select(doc_id, text).mapInArrow(lambda b: trimmed(cut(b)), schema)
+    return df.select(doc_id, text).mapInArrow(lambda b: trimmed(cut(b), "tokens"), schema)
 
 
 def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -50,8 +50,18 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; at their end memory that was freed goes back to the system, so that idle workers stay small."""
+#: What a worker keeps between tasks, by the operator that it is for.
+KEPT: dict[str, dict] = {}
+
+
+def trimmed(batches: Iterator[pa.RecordBatch], own: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end memory that was freed goes back to the system, so that idle workers stay small.
+
+    What the worker keeps for other operators than ``own`` is given up first.
+    """
+    for name, cache in KEPT.items():
+        if name != own:
+            cache.clear()
     try:
         yield from batches
     finally:

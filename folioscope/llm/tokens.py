@@ -13,6 +13,8 @@ from collections.abc import Set
 
 import numpy as np
 
+from .rows import KEPT
+
 #: Words remembered by a worker; then it starts anew.
 CACHE_WORDS = 150_000
 _ODD = re.compile("[\x1c-\x1f]")
@@ -95,11 +97,11 @@ class WordTokens(dict):
         return [b"".join(map(self.__getitem__, w)) for w in split]
 
 
-_KNOWN: dict[str, WordTokens] = {}
+_KNOWN: dict[str, WordTokens] = KEPT.setdefault("tokens", {})
 
 
 def tokens(path: str) -> WordTokens:
-    """The worker's own table for a tokenizer file; it stays between tasks."""
+    """The worker's own table for a tokenizer file; it stays between tasks, until another operator uses the worker."""
     if path not in _KNOWN:
         _KNOWN[path] = WordTokens(path)
     return _KNOWN[path]
