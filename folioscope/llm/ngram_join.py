@@ -5,8 +5,9 @@ to frequent by estimated document frequency; two sets can only reach the
 threshold if they share one of the first ``n - ceil(t * n) + 1`` columns of
 each, a bound that follows from the sizes alone. Those columns are dealt out
 by n-gram. Overlap counts of pairs accumulate over the columns of few sets, and
-pairs below a bound derived from their sizes are discarded; in longer columns
-neighbours by size hold together. What is left forms clusters. Within a cluster the product is taken block by block over all
+pairs below a bound derived from their sizes are discarded, as are those whose
+first shared column stands too late in one of the two; in longer columns
+neighbours by size hold together as far as such a first column allows. What is left forms clusters. Within a cluster the product is taken block by block over all
 columns: overlap counts accumulate column chunk by column chunk, and pairs
 below the bound of their sizes are discarded. Large clusters are split into
 blocks of bounded bytes, each pair of blocks being a task of its own.
@@ -187,27 +188,38 @@ def _bounds(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
 
 #: Columns of at most so many classes are counted pair by pair.
 FEW = 32
+#: Bits of the place in a posting, below those of the size, and of a size that a reach is compared with.
+PLACE_BITS, SIZE_BITS = 31, 40
 #: The count of a pair that stays together without one.
 _ALWAYS = 1 << 40
 
 
 def _near(percent: int):
-    """Sorted postings (h, n, cid) -> pairs (a, b, shared, need) of each column.
+    """Sorted postings (h, at, cid) -> pairs (a, b, shared, need, first) of each column.
+
+    ``at`` is the size of a set and the place of the column among its leading ones.
+    Two sets can only link if the first column that they share leaves enough columns
+    after it in both; for each size and place that is a reach, the largest size of a
+    partner. ``first`` says that both are within the other's reach here.
 
     A column of few classes gives all its pairs, to be counted; a longer one
-    only links neighbours by size, which holds together all its classes whose
-    sizes allow a link. Neither keeps more than a batch and FEW rows.
+    only links neighbours by size up to the largest reach before them, which holds
+    together all its classes that can link by it as their first, and says of each class
+    (as a pair with itself) that it is in one more such column. Neither keeps more than
+    a batch and FEW rows.
     """
 
-    def pairs_of(n: np.ndarray, cid: np.ndarray, i: np.ndarray, j: np.ndarray, shared: int) -> pa.RecordBatch:
-        ok = (100 * n[i] >= percent * n[j]) & (cid[i] != cid[j])  # n[i] <= n[j]
-        i, j = i[ok], j[ok]
-        need = _bounds(n[i], n[j], percent)
+    def rows_of(a: np.ndarray, b: np.ndarray, shared: int, need: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j])), pa.array(np.full(len(i), shared, np.int64)), pa.array(need)],
-            names=["a", "b", "shared", "need"],
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), shared, np.int64)), pa.array(need), pa.array(first)],
+            names=["a", "b", "shared", "need", "first"],
         )
 
+    def counted(n: np.ndarray, reach: np.ndarray, cid: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        ok = (100 * n[i] >= percent * n[j]) & (cid[i] != cid[j])  # n[i] <= n[j]
+        i, j = i[ok], j[ok]
+        return rows_of(cid[i], cid[j], 1, _bounds(n[i], n[j], percent), (n[j] <= reach[i]) & (n[i] <= reach[j]))
+
     def all_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
         for c in range(2, FEW + 1):
@@ -219,13 +231,16 @@ def _near(percent: int):
         return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int),) * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3  # the column that the last batch ended in
-        long = False  # it is a long one, of which only the last row is held
+        held = [np.empty(0, np.int64)] * 4  # the column that the last batch ended in
+        long = False  # it is a long one, of which only the last row is held, with the largest reach so far
         for batch in batches:
-            h, n, cid = (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, batch.columns, strict=True))
+            own, at, ids = (c.to_numpy() for c in batch.columns)
+            size = at >> PLACE_BITS
+            own_reach = (100 + percent) * (size - (at & ((1 << PLACE_BITS) - 1))) // percent - size
+            h, n, cid, reach = (np.concatenate(x) for x in zip(held, (own, size, ids, own_reach), strict=True))
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])  # copies of one class
-            h, n, cid = h[new], n[new], cid[new]
+            h, n, cid, reach = h[new], n[new], cid[new], reach[new]
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             sizes = np.diff(np.append(starts, len(h)))
             many = sizes > FEW
@@ -233,25 +248,45 @@ def _near(percent: int):
             whole = ~many
             whole[-1] = False
             chain = np.repeat(many, sizes)
-            at = np.flatnonzero(chain[1:] & (h[1:] == h[:-1]))
-            yield pairs_of(n, cid, at, at + 1, _ALWAYS)
-            yield pairs_of(n, cid, *all_pairs(starts[whole], sizes[whole]), 1)
+            column = np.repeat(np.arange(len(sizes)), sizes) << SIZE_BITS
+            widest = np.maximum.accumulate(column + reach) - column
+            at = np.flatnonzero(chain[1:] & (h[1:] == h[:-1]) & (n[1:] <= widest[:-1]))
+            yield rows_of(cid[at], cid[at + 1], _ALWAYS, np.ones(len(at), np.int64), np.ones(len(at), bool))
+            yield counted(n, reach, cid, *all_pairs(starts[whole], sizes[whole]))
+            chain[:1] &= not long  # a row that is held of a long column was told before
+            told = cid[chain]
+            yield rows_of(told, told, 1, np.ones(len(told), np.int64), np.zeros(len(told), bool))
             long = bool(many[-1])
             first = len(h) - 1 if long else starts[-1]
-            held = [h[first:], n[first:], cid[first:]]
+            held = [h[first:], n[first:], cid[first:], widest[first:] if long else reach[first:]]
         if len(held[0]) > 1:
-            yield pairs_of(held[1], held[2], *all_pairs(np.array([0]), np.array([len(held[0])])), 1)
+            yield counted(held[1], held[3], held[2], *all_pairs(np.array([0]), np.array([len(held[0])])))
 
     return run
 
 
+def _able(sets: DataFrame, percent: int, base: str) -> DataFrame:
+    """``a, b``: pairs of classes that may link, or that hold others together which may.
+
+    Columns that two classes may share without being counted are at most as many as
+    the long columns of the one that has fewer.
+    """
+    at = F.shiftleft(F.col("n"), PLACE_BITS).bitwiseOR(F.col("place").cast("long"))
+    postings = sets.select("n", "cid", F.posexplode("lead").alias("place", "h")).select("h", at.alias("at"), "cid")
+    dealt = postings.repartition("h").sortWithinPartitions("h", "at", "cid")
+    pairs = dealt.mapInArrow(_near(percent), "a long, b long, shared long, need long, first boolean")
+    told = [F.sum("shared").alias("shared"), F.max("need").alias("need"), F.bool_or("first").alias("first")]
+    counts = written(pairs.groupBy("a", "b").agg(*told).where("first OR a = b"), f"{base}/pairs")
+    within = counts.where("a = b").select(F.col("a").alias("cid"), F.col("shared").alias("n_long"))
+    met = counts.where("a <> b")
+    longs = [within.select(F.col("cid").alias(x), F.col("n_long").alias(f"{x}_long")) for x in ("a", "b")]
+    more = met.where("shared < need").join(longs[0], "a").join(longs[1], "b").where("shared + least(a_long, b_long) >= need")
+    return met.where("shared >= need").select("a", "b").unionByName(more.select("a", "b"))
+
+
 def _clusters(sets: DataFrame, percent: int, base: str) -> DataFrame:
     """``cid, cluster`` of all classes that may link with another."""
-    postings = sets.select(F.explode("lead").alias("h"), "n", "cid")
-    dealt = postings.repartition("h").sortWithinPartitions("h", "n", "cid")
-    pairs = dealt.mapInArrow(_near(percent), "a long, b long, shared long, need long")
-    able = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
-    edges = written(able.select("a", "b"), f"{base}/near")
+    edges = written(_able(sets, percent, base), f"{base}/near")
     return written(components(edges, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("cluster")), f"{base}/clusters")
 
 

@@ -84,3 +84,35 @@ def test_overlaps_of_random_sets():
     sets = [np.unique(r.integers(0, 400, r.integers(1, 300)).astype(np.uint64)) for _ in range(90)]
     want = [[0 if i == j else len(np.intersect1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
     assert (ngram_join.overlaps(sets, chunk_cells=900) == np.array(want)).all()
+
+
+def test_a_late_first_column_holds_nothing_together(spark, tmp_path):
+    own = lambda cid, n, m, place: (n, cid, [1 if i == place else 1000 * cid + i for i in range(m)])
+    clusters = lambda rows, name: sorted(r.cid for r in ngram_join._clusters(spark.createDataFrame(rows, "n long, cid long, lead array<long>"), 85, f"file://{tmp_path}/{name}").collect())
+    assert clusters([own(2, 101, 16, 10), own(3, 86, 13, 10)], "late") == []
+    assert clusters([own(2, 101, 16, 13), own(3, 86, 13, 0)], "early") == [2, 3]
+    assert clusters([own(c, 100, 16, 15) for c in range(2, 60)], "late-long") == []
+    assert clusters([own(c, 100, 16, 0) for c in range(2, 60)], "early-long") == list(range(2, 60))
+
+
+@pytest.mark.parametrize("seed, few", [(5, 2), (6, 4), (7, 32)])
+def test_texts_of_graded_lengths(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        r = random.Random(seed)
+        base = [f"v{r.randrange(400)}" for _ in range(140)]
+        rows = []
+        for doc_id in range(150):
+            words = base[r.randrange(20) : 140 - r.randrange(20)]
+            for _ in range(r.choice([0, 1, 2, 3])):
+                words[r.randrange(len(words))] = r.choice(base)
+            rows.append((doc_id, " ".join(words)))
+        got = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+        assert sorted(tuple(x)[:3] for x in got) == brute(rows)
+        low = {d: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for d, w in ((d, t.split()) for d, t in rows)}
+        sets = set(map(frozenset, low.values()))
+        links = {s: sum(s != o and 100 * len(s & o) >= 85 * len(s | o) for o in sets) for s in sets}
+        assert {x.doc_id: x.n_links for x in got} == {d: links[frozenset(s)] for d, s in low.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
