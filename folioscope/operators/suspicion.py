@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.shared import stored, work_folder
+from . import text_index
 from .extract import numbered_lines
 
 CODE_FILE = r"\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|rb|php|cs|swift|scala|dart)$"
@@ -48,16 +50,21 @@ def suspects(docs: DataFrame, lines: DataFrame, key: str, text: str, least: int
     """``key, place, path, kind, shared``: documents that name a changed file and share ``least`` telling tokens with what left it.
 
     Most shared first, ``cap`` a document, then a row with null path and how many more.
-    Documents and files meet by token; only pairs that share enough are looked at further.
+    Only pairs of a document and a file that it names are made; their tokens are compared after that.
     """
     gone = changed_tokens(lines.where(F.col("path").rlike(CODE_FILE))).where(~F.col("token").isin(*GENERIC))
-    has = docs.select(key, F.explode(t.tokens(F.col(text))).alias("token"))
-    pairs = has.join(gone, "token").groupBy(key, "path").agg(F.count(F.lit(1)).alias("shared"), F.min("first_seq").alias("seq")).where(F.col("shared") >= least)
+    gone = stored(gone, f"{work_folder(docs.sparkSession, 'gone')}/tokens")
     file = F.regexp_replace("path", r"^\./", "")
     stem = F.regexp_replace(F.regexp_extract(file, "[^/]*$", 0), r"\.[^.]+$", "")
+    ticked = F.concat(F.lit("`"), stem, F.lit("`"))
+    forms = gone.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("path", F.explode(F.array(file, ticked)).alias("pattern"))
+    near = text_index.found_in(docs, [key], text, forms).join(forms, "pattern").select(key, "path").distinct()
+    has = docs.join(near.select(key).distinct(), key, "left_semi").select(key, F.explode(t.tokens(F.col(text))).alias("token"))
+    met = has.join(near, key).join(gone, ["path", "token"])
+    pairs = met.groupBy(key, "path").agg(F.count(F.lit(1)).alias("shared"), F.min("first_seq").alias("seq")).where(F.col("shared") >= least)
     # the first line that names the file decides; within a line the path does
     line_of = lambda what: F.when(F.contains(F.col(text), what), F.length(F.regexp_replace(F.split_part(F.col(text), what, F.lit(1)), "[^\n]", "")))
-    by_path, by_stem = line_of(file), line_of(F.concat(F.lit("`"), stem, F.lit("`")))
+    by_path, by_stem = line_of(file), line_of(ticked)
     kind = F.when(by_path.isNotNull() & (by_stem.isNull() | (by_path <= by_stem)), "path").when(by_stem.isNotNull(), "module")
     named = pairs.join(docs.select(key, text), key).select(key, "path", "shared", "seq", kind.alias("kind")).where("kind IS NOT NULL")
     ranked = named.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("shared"), "seq", "path")).cast("long"))

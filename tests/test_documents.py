@@ -2,6 +2,7 @@
 
 from folioscope.operators import guard, markdown, rules, scan, suspicion
 from folioscope.plans import catalog
+from plan_rows import most_rows
 
 
 def rows(df, *names):
@@ -71,3 +72,14 @@ def test_nothing_found_is_no_drift(spark):
 
     some, none = spark.createDataFrame([("GET", "/a")], "method string, path string"), spark.createDataFrame([], "method string, path string")
     assert drift.api_drift(some, none, True).count() == drift.api_drift(none, some, True).count() == 0
+
+
+def test_suspects_are_compared_with_the_files_they_name(spark):
+    lines = [(f"src/u{k}.py", 1, k, "delete", "charge_card refund_window") for k in range(300)] + [("./src/deep.py", 1, 5, "delete", "ledger settle ledger"), ("notes.md", 1, 1, "delete", "charge_card refund_window")]
+    docs = [(f"D{k}", f"charge_card and refund_window of src/u{k}.py") for k in range(0, 300, 3)]
+    docs += [("E", "ledger\nsettle in `deep`"), ("F", "settle in src/deep.py"), ("G", "ledger, settle, src/deep.py"), ("H", "charge_card and refund_window alone"), ("I", None)]
+    lines, docs = spark.createDataFrame(lines, "path string, hunk long, seq long, op string, text string"), spark.createDataFrame(docs, "doc string, content string")
+    found = suspicion.suspects(docs, lines, "doc", "content")
+    got = {(r.doc, r.place, r.path, r.kind) for r in found.collect()}
+    assert got == {(f"D{k}", 1, f"src/u{k}.py", "path") for k in range(0, 300, 3)} | {("E", 1, "./src/deep.py", "module"), ("G", 1, "./src/deep.py", "path")}
+    assert most_rows(found) < 20_000
