@@ -22,7 +22,9 @@ def untracked_todos(todos: DataFrame, docs: DataFrame, doc: str, text: str) -> D
     texts = text_index.found_in(low, ["_doc"], "_low", t, "_sought").select("_doc", F.col("pattern").alias("_sought"))
     named = text_index.found_in(docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")), ["_doc"], "_text", t, "path").select("_doc", F.col("pattern").alias("path"))
     long = t.where(F.length("_said") > 30).join(texts.select("_sought").distinct(), "_sought", "left_semi").select("path", "line")
-    short = t.where((F.length("_said") <= 30) & (F.col("_said") != "")).join(texts, "_sought").join(named, ["_doc", "path"], "left_semi").select("path", "line")
+    # files meet the few documents that name them first: a text as such may stand in many documents and many notes
+    near = t.where((F.length("_said") <= 30) & (F.col("_said") != "")).select("path", "_sought").distinct().join(named, "path")
+    short = t.join(near.join(texts, ["_doc", "_sought"], "left_semi").select("path", "_sought").distinct(), ["path", "_sought"], "left_semi").where("length(_said) <= 30").select("path", "line")
     empty = t.where(F.col("_said") == "").join(named.select("path").distinct(), "path", "left_semi").select("path", "line")
     tracked = long.unionByName(short).unionByName(empty).distinct()
     return t.drop("_said", "_sought").join(tracked, ["path", "line"], "left_anti").select(*todos.columns)

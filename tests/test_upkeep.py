@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 from folioscope.operators import upkeep
+from plan_rows import most_rows
 
 
 def rows(df):
@@ -68,3 +69,11 @@ def test_stale_documents(spark):
     assert rows(upkeep.stale_documents(d, c)) == sorted(want, key=repr)
     assert {r[1] for r in rows(upkeep.stale_documents(d, c, 1000, 3))} >= {"FRS001", "FRS003"}
     assert upkeep.stale_documents(d, c.where("committed IS NOT NULL").limit(2)).count() == 0
+
+
+def test_a_text_in_many_notes_and_documents_is_no_pair_of_each(spark):
+    todos = [(f"src/e{k}.js", 1, "FIXME", "later") for k in range(300)]
+    docs = [(f"D{k}", f"Roadmap: Later, src/e{k * 2}.js") for k in range(300)]
+    found = upkeep.untracked_todos(spark.createDataFrame(todos, "path string, line int, kind string, note string"), spark.createDataFrame(docs, "doc string, content string"), "doc", "content")
+    assert sorted(r.path for r in found.collect()) == sorted(f"src/e{k}.js" for k in range(1, 300, 2))
+    assert most_rows(found) < 20_000
