@@ -8,7 +8,8 @@ with the whole pattern. No pair of a text and a pattern is made without a gram i
 common, and a frequent gram only counts for patterns that have no rarer one.
 
 Up to SENT patterns are sent to the texts, which then stay where they are. More
-than that are joined on grams, with keys of texts, and texts are fetched by key.
+than that are joined on grams, with keys of texts, and texts are fetched by key; the
+grams of texts pass a sieve of bounded size first, so that those of no pattern aren't shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a gram, and patterns that are sent to all tasks at most (some tens of MB).
 GRAM, SENT = 6, 200_000
+#: Bits that number the words, of 64 bits each, of a sieve that is sent to all tasks: a million rows at most.
+SIEVE_BITS = 20
 
 
 def grams(text: Column, n: int) -> Column:
@@ -27,6 +30,19 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
+def _slot(gram: Column) -> tuple[Column, Column]:
+    """The word of the sieve that a gram falls to, and its bit there."""
+    h = F.xxhash64(gram)
+    return F.shiftrightunsigned(h, 64 - SIEVE_BITS).alias("_word"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(gram), 64) AS INT))").alias("_bit")
+
+
+def _sieved(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``held`` whose ``gram`` may be among those of ``wanted``; few others pass, and no row is shuffled."""
+    word, bit = _slot(F.col("gram"))
+    words = wanted.select(word, bit).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return held.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def found_in(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame, pattern: str = "pattern", most: int = SENT) -> DataFrame:
     """``keys, pattern``: each pattern that stands somewhere in each text, once.
 
@@ -45,10 +61,14 @@ def found_in(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame,
 
     own = p.select("pattern", F.explode(F.when(F.length("pattern") >= GRAM, grams(F.col("pattern"), GRAM)).otherwise(F.array("pattern"))).alias("gram"))
     held = F.explode(F.concat(*[grams(F.col("_text"), n) for n in sizes])).alias("gram")
-    counts = named.select(held).join(sent(own.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    sieved = (lambda df, wanted: df) if few else _sieved
+    counts = sieved(named.select(held), own.select("gram"))
+    if few:
+        counts = counts.join(sent(own.select("gram").distinct()), "gram", "left_semi")
+    counts = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))  # grams of no pattern that pass the sieve meet none below
     rated = own.join(counts, "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all_held"))
     chosen = rated.where("all_held").select("pattern", "gram")
-    near = named.select(*ids, *(["_text"] if few else []), held).join(sent(chosen), "gram")
+    near = sieved(named.select(*ids, *(["_text"] if few else []), held), chosen).join(sent(chosen), "gram")
     if not few:
         near = near.select(*ids, "pattern").join(named, ids)
     return near.where(F.contains("_text", F.col("pattern"))).select(*ids, "pattern").distinct().select(*out)

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from folioscope.operators import text_index
+from plan_rows import most_rows
 
 TEXTS = [(1, "see src/routes/users.ts here"), (2, "the users.ts file, `users` and é.md"), (3, "no users"), (4, None), (5, ""), (6, "`users`"), (6, "xsrc/routes/users.tsx"), (7, "a" * 3000 + "needle"), (8, "NEEDLE é")]
 PATTERNS = ["src/routes/users.ts", "users.ts", "`users`", "needle", "é", "aaaaaaa", "zzzzzzzz", "users.ts", "", None, "us"]
@@ -54,3 +55,11 @@ def test_blast_radius(spark):
     changed = spark.createDataFrame([("docs/ARCHITECTURE.md",), ("SECURITY.md",), ("SECURITY.md",), ("Z.md",)], "doc string")
     got = sorted((r.changed, r.doc) for r in text_index.mentions(df, "doc", "text", changed).collect())
     assert got == [("SECURITY.md", "AGENTS.md"), ("docs/ARCHITECTURE.md", "SECURITY.md"), ("docs/ARCHITECTURE.md", "X.md"), ("docs/ARCHITECTURE.md", "Y.md")]
+
+
+def test_grams_of_no_pattern_are_not_shuffled(spark):
+    texts = spark.createDataFrame([(k, "".join(chr(97 + (k * 7919 + i * i * 31 + i // 7) % 26) for i in range(500)) + f" needle{k % 9}") for k in range(200)], "id int, text string")
+    patterns = spark.createDataFrame([(f"needle{k}",) for k in range(9)], "pattern string")
+    found = text_index.found_in(texts, ["id"], "text", patterns, most=2)
+    assert sorted((r.id, r.pattern) for r in found.collect()) == [(k, f"needle{k % 9}") for k in range(200)]
+    assert most_rows(found, "shuffleRecordsWritten") < 5_000
