@@ -164,3 +164,25 @@ def test_orthonormal_basis():
     q = d.orthonormal(a)
     assert np.abs(q.T @ q - np.eye(q.shape[1])).max() < 1e-4
     assert np.abs(a - q @ (q.T @ a)).max() < 1e-3 * np.abs(a).max()
+
+
+def test_space_is_fitted_on_every_word(spark):
+    """What only stands in the middle of long texts is in the space, wherever in the table they are."""
+    r = random.Random(15)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    docs = spark.createDataFrame([(k, f"{text(96)} rare{k} {text(95)}") for k in range(300)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, text(20))], "item_id long, text string")
+    s = d.Settings(buckets=1 << 14, sample=16)
+    _, space, _ = d._fitted(docs.select("text"), items, s, "item_id", "text")
+    got = [np.abs(space[d.bucket(f"rare{k}", s.buckets)]).max() for k in range(300)]
+    assert min(got) > 0
+
+
+def test_windows_of_buckets_are_those_of_words():
+    r = np.random.default_rng(4)
+    space, step = r.normal(size=(1 << 12, 5)).astype(np.float32), 16
+    texts = [[f"w{k}" for k in r.integers(0, 900, n)] for n in (1, 15, 16, 17, 40, 5000, 32, 1)]
+    vectors, begin = d._vectors([np.array([d.bucket(w, len(space)) for w in words], np.uint16) for words in texts], space, step)
+    for k, words in enumerate(texts):
+        assert np.allclose(vectors[begin[k] : begin[k + 1]], d.windows(words, d.Vectors(space), step), atol=1e-4)
