@@ -93,3 +93,27 @@ def test_repeated_ids_count_once_and_names_clash_in_any_case(spark):
     assert sample.count() == len({k for k in range(40)} - {r.doc_id for r in df.where(toxicity.held_out("doc_id")).select("doc_id").distinct().collect()})
     out = toxicity.scored(df, None)
     assert out.columns == ["doc_id", "text", "score"] and out.agg({"score": "max"}).first()[0] == 0
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    """More rows than one task fits alone are dealt over tasks, none is left out."""
+    monkeypatch.setattr(toxicity, "PORTION", 64)
+    rows, labels = made(1500, 4)
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    s = toxicity.Settings(buckets=1 << 12, positives=40, negatives=60)
+    held = {r.doc_id for r in docs.where(toxicity.held_out("doc_id")).collect()}
+    assert toxicity.training_sample(docs, marked, s).count() == len(rows) - len(held)
+    model = toxicity.trained(docs, marked, s)
+    texts, truth = [t for i, t in rows if i in held], np.array([y for i, _, y in labels if i in held])
+    got = toxicity.scores(texts, model, toxicity.Words(model)) >= toxicity.CUT
+    assert (got == (truth == 1)).mean() > 0.95
+    again = toxicity.trained(docs.repartition(5), marked, s)
+    assert np.allclose(again.thresholds, model.thresholds, atol=1e-2) and np.allclose(again.out, model.out, atol=1e-3)
+
+
+def test_cuts_from_counts_are_those_from_rows():
+    r = np.random.default_rng(2)
+    y, lang, toxic = np.round(r.normal(size=600), 1), r.integers(0, 5, 600), r.integers(0, 2, 600)
+    each, n = np.unique(np.stack([y, lang, toxic]), axis=1, return_counts=True)
+    assert np.isfinite(toxicity.calibrated(each[0], each[1].astype(int), each[2].astype(int), n)).all()
+    assert np.allclose(toxicity.calibrated(y, lang, toxic), toxicity.calibrated(y, lang, toxic, np.ones(600, int)))
