@@ -60,6 +60,16 @@ def findings(measured: DataFrame, key: str = "doc_id") -> DataFrame:
     return measured.select(key, F.explode(F.array(*rows)).alias("x")).where("x.warn").select(key, "x.code", "x.metric", "x.value")
 
 
+def labels(measured: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, flesch_ease, ease, grade`` of scored documents.
+
+    Others are left out by an empty array: a filter would be pushed below the metrics, which would then be worked out for it once more.
+    """
+    row = F.struct(F.col("flesch_ease"), F.col("fk_grade"))
+    scored = measured.select(key, F.inline(F.when(F.col("flesch_ease").isNotNull(), F.array(row))))
+    return scored.select(key, "flesch_ease", ease_label(F.col("flesch_ease")).alias("ease"), grade_label(F.col("fk_grade")).alias("grade"))
+
+
 def ease_label(ease: Column) -> Column:
     return (
         F.when(ease >= 90, "Very Easy").when(ease >= 70, "Easy").when(ease >= 60, "Standard").when(ease >= 50, "Fairly Difficult")

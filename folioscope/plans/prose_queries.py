@@ -69,8 +69,7 @@ def doc_quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readability_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _measured(spark, sf_dir).where(F.col("flesch_ease").isNotNull())
-    return m.select("doc_id", "flesch_ease", prose.ease_label(F.col("flesch_ease")).alias("ease"), prose.grade_label(F.col("fk_grade")).alias("grade"))
+    return prose.labels(_measured(spark, sf_dir))
 
 
 def prose_totals_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
