@@ -47,7 +47,7 @@ def bounded(pattern: str) -> str:
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(" \t\r\n\f\x0B"))
 
 
 def lines(text: Column) -> Column:
@@ -142,7 +142,7 @@ def identifier_words(x: Column) -> Column:
 def tokens(text: Column, least: int = 3) -> Column:
     """Identifiers and their words, lower case, without short and stop words, each once in order of first sight."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_.-]*"), F.lit(0))
-    each = F.flatten(F.transform(found, lambda w: F.concat(F.array(F.lower(w)), identifier_words(w))))
+    each = F.flatten(F.transform(F.array_distinct(found), lambda w: F.concat(F.array(F.lower(w)), identifier_words(w))))
     return F.array_distinct(F.filter(each, lambda t: (F.length(t) >= least) & ~t.isin(*STOP_WORDS)))
 
 
