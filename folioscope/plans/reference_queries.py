@@ -323,7 +323,7 @@ DIFFS = Derived("diffs", """SELECT 'd' || event_id AS id, 'diff --git a/' || eve
     r AS (SELECT *, sum(starts) OVER (PARTITION BY id, path ORDER BY line) AS run FROM s)
     SELECT id, path, min(line) AS first_seq, CASE WHEN count(*) FILTER (WHERE op = '+') = 0 THEN 'delete' WHEN count(*) FILTER (WHERE op = '-') = 0 THEN 'add' ELSE 'replace' END AS activity FROM r GROUP BY id, path, run""")
 def diff_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.activities(extract.diff_lines(DIFFS.df(spark, sf_dir), "id", "diff"), "id")
+    return extract.activities(DIFFS.df(spark, sf_dir), "id", "diff")
 
 
 @query("""WITH u AS (SELECT o_orderkey AS doc, o_orderdate AS tm, 0 AS made FROM orders UNION ALL SELECT NULL, ts, 1 FROM events)
