@@ -62,8 +62,20 @@ def capped(findings: DataFrame, group: str, order: list[str], cap: int, shown: s
     return first.unionByName(more.select(group, F.lit(cap + 1).cast("long").alias("place"), F.concat(F.lit("... and "), F.col("left").cast("string"), F.lit(" more")).alias("shown")))
 
 
-def sharing_pairs(rows: DataFrame, owner: str, item: str) -> DataFrame:
-    """Pairs of owners that share items: ``a, b, shared``."""
-    x = rows.select(owner, item).distinct()
-    a, b = x.select(F.col(owner).alias("a"), item), x.select(F.col(owner).alias("b"), item)
-    return a.join(b, item).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+#: Rows, and pairs of them, that a task of ``sharing_pairs`` holds on average; tasks at most.
+HELD, MOST_TASKS = 250_000, 10_000
+
+
+def sharing_pairs(rows: DataFrame, owner: str, item: str, held: int = HELD) -> DataFrame:
+    """Pairs of owners that share items: ``a, b, shared``.
+
+    Rows are dealt by item and pairs by pair over as many tasks as there is need of, by
+    their numbers, so what a task holds doesn't grow with the table.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = lambda n: min(MOST_TASKS, max(cores, -(-int(n or 0) // held)))
+    known = rows.select(F.col(owner).alias("a"), F.col(item).alias("item")).where("a IS NOT NULL AND item IS NOT NULL")
+    x = known.repartition(tasks(rows.count()), "item").distinct()
+    n = x.groupBy("item").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) DIV 2"))).first()[0]
+    pairs = x.join(x.withColumnRenamed("a", "b"), "item").where("a < b").select("a", "b")
+    return pairs.repartition(tasks(n), "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
