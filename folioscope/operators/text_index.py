@@ -1,4 +1,9 @@
-"""Which of many patterns stand in which of many texts, through an index of their rarest grams.
+"""Which of many patterns stand in which of many texts, through an index of words and of their rarest grams.
+
+A pattern without blanks, quotes or angle brackets can only stand within a word, a
+stretch of text between those. So patterns are looked for in the different words of all
+texts, and texts are looked up by the words that hold one. Other patterns are looked for
+in whole texts, in the way that follows.
 
 A pattern can only stand in a text that holds each of its grams (``GRAM``
 characters in a row; a shorter pattern is its own gram). So texts are looked up by
@@ -19,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored, work_folder
+
 #: Characters of a gram, and patterns that are sent to all tasks at most (some tens of MB).
 GRAM, SENT = 6, 200_000
 #: Bits that number the words, of 64 bits each, of a sieve that is sent to all tasks: a million rows at most.
@@ -43,6 +50,23 @@ def _sieved(held: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
 
 
+#: What ends a word.
+BETWEEN = r'[ \t\r\n\f\x0B"<>]+'
+
+
+def _wanted(patterns: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """Different patterns that stand within a word wherever they stand, and others."""
+    p = patterns.select(F.col(pattern).alias("pattern")).where("pattern IS NOT NULL AND pattern <> ''").distinct()
+    p = stored(p.withColumn("_plain", ~F.col("pattern").rlike(BETWEEN)), f"{work_folder(patterns.sparkSession, 'patterns')}/all")
+    return p.where("_plain").select("pattern"), p.where("NOT _plain").select("pattern")
+
+
+def _words(texts: DataFrame, text: str) -> DataFrame:
+    """``word, _text``: the different words of all texts, written, as texts of their own."""
+    words = texts.select(F.explode(F.split(text, BETWEEN, -1)).alias("word")).where("word <> ''").distinct()
+    return stored(words, f"{work_folder(texts.sparkSession, 'words')}/all").withColumn("_text", F.col("word"))
+
+
 def found_in(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame, pattern: str = "pattern", most: int = SENT) -> DataFrame:
     """``keys, pattern``: each pattern that stands somewhere in each text, once.
 
@@ -52,10 +76,23 @@ def found_in(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame,
     ids = [f"_k{i}" for i in range(len(keys))]
     out = [*[F.col(i).alias(k) for i, k in zip(ids, keys, strict=True)], "pattern"]
     named = texts.where(F.col(text).isNotNull()).select(*[F.col(k).alias(i) for i, k in zip(ids, keys, strict=True)], F.col(text).alias("_text"))
-    p = patterns.select(F.col(pattern).alias("pattern")).where("pattern IS NOT NULL AND pattern <> ''").distinct()
+    plain, others = _wanted(patterns, pattern)
+    found = [_by_grams(named, ids, others, most)]
+    if not plain.isEmpty():
+        hits = _by_grams(_words(named, "_text"), ["word"], plain, most).withColumnRenamed("word", "gram")
+        hits = stored(hits, f"{work_folder(texts.sparkSession, 'hits')}/all")
+        few = hits.limit(most + 1).count() <= most
+        held = named.select(*ids, F.explode(F.array_distinct(F.split("_text", BETWEEN, -1))).alias("gram"))
+        near = held.join(F.broadcast(hits), "gram") if few else _sieved(held, hits).join(hits, "gram")
+        found.append(near.select(*ids, "pattern").distinct())
+    return reduce(DataFrame.unionAll, found).select(*out)
+
+
+def _by_grams(named: DataFrame, ids: list[str], p: DataFrame, most: int) -> DataFrame:
+    """``ids, pattern``: each of the different patterns ``p`` that stands in each ``_text``, once."""
     sizes = sorted(r.n for r in p.select(F.least(F.length("pattern"), F.lit(GRAM)).alias("n")).distinct().collect())  # GRAM rows at most
     if not sizes:
-        return named.select(*ids, F.lit("").alias("pattern")).where("false").select(*out)
+        return named.select(*ids, F.lit("").alias("pattern")).where("false")
     few = p.limit(most + 1).count() <= most
     sent = F.broadcast if few else (lambda df: df)
 
@@ -71,7 +108,7 @@ def found_in(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame,
     near = sieved(named.select(*ids, *(["_text"] if few else []), held), chosen).join(sent(chosen), "gram")
     if not few:
         near = near.select(*ids, "pattern").join(named, ids)
-    return near.where(F.contains("_text", F.col("pattern"))).select(*ids, "pattern").distinct().select(*out)
+    return near.where(F.contains("_text", F.col("pattern"))).select(*ids, "pattern").distinct()
 
 
 #: The ways in which a line can name a file, the surest first.
@@ -126,6 +163,13 @@ def mentions(docs: DataFrame, doc: str, text: str, changed: DataFrame, most: int
 def unnamed(required: DataFrame, texts: DataFrame, key: str, text: str, most: int = SENT) -> DataFrame:
     """Required names that stand in no text, whatever their number."""
     names = required.select(key).where(F.col(key).isNotNull()).distinct()
-    digested = texts.select(F.sha2(text, 256).alias("_digest"), text)
-    seen = found_in(digested, ["_digest"], text, names, key, most).select(F.col("pattern").alias(key))
-    return names.join(seen, key, "left_anti")
+    plain, others = _wanted(names, key)
+    digested = texts.where(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("_digest"), F.col(text).alias("_text"))
+    seen = _by_grams(digested, ["_digest"], others, most).select(F.col("pattern").alias(key))
+    if not plain.isEmpty():
+        words = _words(digested, "_text")  # most names are words, and only the rest is looked for within them
+        rest = stored(plain.join(words.select(F.col("word").alias("pattern")), "pattern", "left_anti"), f"{work_folder(texts.sparkSession, 'rest')}/all")
+        held = _by_grams(words, ["word"], rest, most).select("pattern")
+        plain = rest.join(held, "pattern", "left_anti")
+    rest = plain.unionAll(others).select(F.col("pattern").alias(key)).join(seen, key, "left_anti")
+    return rest.unionAll(names.where(F.col(key) == ""))  # an empty name has no hits

@@ -63,3 +63,25 @@ def test_grams_of_no_pattern_are_not_shuffled(spark):
     found = text_index.found_in(texts, ["id"], "text", patterns, most=2)
     assert sorted((r.id, r.pattern) for r in found.collect()) == [(k, f"needle{k % 9}") for k in range(200)]
     assert most_rows(found, "shuffleRecordsWritten") < 5_000
+
+
+def test_words_and_patterns_across_them(spark):
+    texts = [(1, 'see <a href="docs/é b">docs/x</a>'), (2, "adocs/xb\tc\n" + "y" * 100), (3, "x\u00a0z 😀😀w"), (4, None)]
+    patterns = ["docs/x", "é b", "b", "/a>", "y" * 70, "y" * 101, '"docs', "\tc", "x\u00a0z", "😀w", "s/xb c"]
+    df, wanted = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    for most in (100, 1):
+        got = [(r.id, r.pattern) for r in text_index.found_in(df, ["id"], "text", wanted, most=most).collect()]
+        assert sorted(got) == sorted((i, p) for i, x in texts for p in patterns if x and p in x)
+    left = text_index.unnamed(wanted, df, "pattern", "text")
+    assert sorted(r.pattern for r in left.collect()) == sorted(["y" * 101, "s/xb c"])
+
+
+def test_grams_are_of_different_words_alone(spark, monkeypatch):
+    """Texts aren't cut into grams where their words are few."""
+    seen = []
+    plain = text_index._by_grams
+    monkeypatch.setattr(text_index, "_by_grams", lambda named, ids, p, most: seen.append((named, p)) or plain(named, ids, p, most))
+    texts = spark.createDataFrame([(k, f"one two three word{k % 5} " * 50) for k in range(100)], "id int, text string")
+    found = text_index.found_in(texts, ["id"], "text", spark.createDataFrame([("word3",), ("hre",)], "pattern string"))
+    assert found.count() == 120
+    assert [named.count() for named, p in seen if not p.isEmpty()] == [8]
