@@ -51,6 +51,26 @@ def test_candidates(spark, most, seed):
     assert got == brute(rules, most)
 
 
+@pytest.mark.parametrize("first_work", [1, 1_000_000])
+def test_copies_of_rules_are_one_set(spark, monkeypatch, first_work):
+    monkeypatch.setattr(conflicts, "FIRST_WORK", first_work)
+    rng = random.Random(7)
+    texts = ["Always run slow tests before committing many files here", "Never run slow tests before committing big files there", "Use tabs and spaces running slow tests"]
+    rules = [(f"f{k % 50:02}", rng.randrange(1, 4), k, rng.choice(texts)) for k in range(300)]
+    df = spark.createDataFrame(rules, "file string, line int, place int, rule string").repartition(3)
+    for most in (7, 40):
+        assert [tuple(r) for r in conflicts.candidates(df, most).orderBy("rank").collect()] == brute(rules, most)
+
+
+def test_sets_that_meet_do_not_grow_with_copies(spark, monkeypatch):
+    met = []
+    plain = conflicts._work
+    monkeypatch.setattr(conflicts, "_work", lambda sets, *same: met.append(plain(sets, *same)) or met[-1])
+    rules = [(f"f{k}", 1, 0, f"Never run slow tests before committing files number{k % 3}x") for k in range(600)]
+    conflicts.candidates(spark.createDataFrame(rules, "file string, line int, place int, rule string"), 5).collect()
+    assert max(met[0].values()) < 100
+
+
 def test_few_rules(spark):
     df = spark.createDataFrame([("a", 1, 0, "Never use tabs for indentation."), ("b", 1, 0, "Always use tabs for indentation.")], "file string, line int, place int, rule string")
     assert conflicts.candidates(df).collect() == []  # a plain contradiction
