@@ -1,8 +1,10 @@
-"""Token ids of whole texts by a public tokenizer file, word by word.
+"""Token ids of whole texts by a public tokenizer file, piece by piece.
 
-The tokenizer drops white space and never looks across it, so a text's ids are
-those of its words one after the other. Each task remembers the ids of words
-and asks the tokenizer only for new ones, many at a time.
+The tokenizer drops white space and cuts texts into runs of letters, digits,
+runs of marks and a few endings, and encodes each of these pieces by itself.
+A text of Latin letters, digits and marks is cut the same way here; of any other
+text the words are looked at one by one, and odd ones are encoded whole. Each task
+remembers the ids of pieces and asks the tokenizer only for new ones, many at a time.
 """
 
 from __future__ import annotations
@@ -15,11 +17,15 @@ import numpy as np
 
 from .rows import KEPT
 
-#: Words remembered by a worker; then it starts anew.
-CACHE_WORDS = 150_000
+#: Pieces remembered by a worker; then it keeps those of the texts at hand alone.
+CACHE_PIECES = 250_000
 _ODD = re.compile("[\x1c-\x1f]")
-#: Latin letters that are one code point in any normal form, then marks.
-_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+#: Latin letters that are one code point in any normal form, and whose lower case is one of them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ƀ"
+_MARKS = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+_PLAIN = re.compile(rf"[{_LETTERS}0-9{_MARKS} \t-\r]*")
+#: What the tokenizer cuts off from letters, in lower-cased plain texts: an ending, a digit or a run of marks (by its first sign, as that is found fast).
+_APART = re.compile(rf"[0-9{_MARKS}](?:(?<=')(?:s|t|re|ve|m|ll|d)|(?<=[{_MARKS}])[{_MARKS}]+)?")
 _PLAIN_SPACE = re.compile("[ \t\r\n]+")
 
 
@@ -36,13 +42,25 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+def pieces_of(text: str, odd: set[str]) -> list[str]:
+    """The pieces of a text; words that are not plain, or may hold special tokens, are a piece each and go to ``odd`` as well."""
+    if "<|" not in text and _PLAIN.fullmatch(text):
+        return _APART.sub(r" \g<0> ", text.lower()).split()
+    out = []
+    for w in words_of(text):
+        if "<|" not in w and _PLAIN.fullmatch(w):
+            out += _APART.sub(r" \g<0> ", w.lower()).split()
+        else:
+            odd.add(w)
+            out.append(w)
+    return out
+
+
 class WordTokens(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes.
+    """piece -> its ids as little-endian unsigned 32-bit bytes.
 
-    A word of Latin letters and marks after them is two pieces to the
-    tokenizer, so the letters (in lower case, as the tokenizer has them) and
-    the marks are looked up apart. Letters alone end in exactly one token with
-    the end-of-word suffix, which tells the words of a long call apart again.
+    Plain pieces are in the form that the tokenizer's normalizers give, so its
+    model is asked for them without these, with bytes spelt as its byte level has them.
     """
 
     def __init__(self, path: str):
@@ -51,50 +69,34 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        vocabulary = self.of.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cores: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if (m := _LATIN.fullmatch(word)) and (core := self.cores.get(m[1].lower())) is not None:
-            marks = m[2]
-            if not marks:
-                ids = core
-            else:
-                if (end := self.cores.get(marks)) is None:
-                    end = self.cores[marks] = self._whole(marks)
-                ids = core + end
-        else:
-            ids = self._whole(word)
-        self[word] = ids
+        self.model = self.of.model
+        plain = filter(_PLAIN.fullmatch, map(chr, range(0x80, 0x250)))
+        self.spelt = {ord(c): "".join(p for p, _ in self.of.pre_tokenizer.pre_tokenize_str(c)) for c in plain}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = np.array(self.of.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         return ids
 
-    def learn(self, words: Set[str]) -> None:
-        """Look up the letters of new words, a thousand to a call."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_WORDS:
+    def learn(self, met: Set[str], odd: Set[str] = frozenset()) -> None:
+        """Look up new pieces, but for ``odd`` ones, which are looked up when they are met."""
+        new = met.difference(self)
+        if len(self) + len(new) > CACHE_PIECES:
+            kept = {p: self[p] for p in met.difference(new)}  # frequent ones are met again
             self.clear()
-            self.cores.clear()
-            new = list(words)
-        letters = {m[1].lower() for m in map(_LATIN.fullmatch, new) if m}
-        cores = [c for c in letters if c not in self.cores]
-        chunks = [cores[i : i + 1000] for i in range(0, len(cores), 1000)]
-        for chunk, e in zip(chunks, self.of.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(ends) != len(chunk):
-                continue  # such words are looked up one by one when they are met
-            whole = ids.tobytes()
-            self.cores.update(zip(chunk, [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            self.update(kept)
+        ids: list[int] = []
+        plain, ends, tokenize = list(new.difference(odd) if odd else new), [0], self.model.tokenize
+        for p in plain:
+            ids += [t.id for t in tokenize(p if p.isascii() else p.translate(self.spelt))]
+            ends.append(4 * len(ids))
+        whole = np.array(ids, "<u4").tobytes()
+        self.update(zip(plain, [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [words_of(t) for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, w)) for w in split]
+        odd: set[str] = set()
+        split = [pieces_of(t, odd) for t in texts]
+        self.learn(set().union(*split), odd)
+        return [b"".join(map(self.__getitem__, p)) for p in split]
 
 
 _KNOWN: dict[str, WordTokens] = KEPT.setdefault("tokens", {})

@@ -23,6 +23,24 @@ def test_special_strings():
         assert OF.encode([text]) == [np.array(OF.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
+def test_pieces_are_encoded_once_and_frequent_ones_are_kept(monkeypatch):
+    """Words that differ in case or marks share a piece, and a full table keeps what is met again."""
+    from folioscope.llm import tokens
+
+    of = WordTokens(default_path())
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 60)
+    asked = []
+    learn = of.learn
+    monkeypatch.setattr(of, "learn", lambda met, *odd: (asked.append(len(met.difference(of))), learn(met, *odd)))
+    letters = "bcdfghjklm"
+    for k in range(20):
+        texts = [f"The thé, THE thé; the's 42 ({letters[k % 10]}q{letters[k // 10]}x) <|x|>"] + [" ".join(a + letters[k % 10] + b + "z" * (k // 10 + 1) for a in "aeiou" for b in "ae")]
+        assert of.encode(texts) == [np.array(of.of.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(of) <= 60
+    assert len({"the", "thé"} & of.keys()) == 2 and not {"The", "THE", "thé,", "thé;"} & of.keys()
+    assert all(n <= 13 for n in asked[1:])
+
+
 def check_plan(histogram, capacity):
     bins, where = packing.plan(histogram, capacity)
     assert all(sum(c) <= capacity for c in bins)
