@@ -77,6 +77,48 @@ def features(word: str, buckets: int) -> tuple[int, ...]:
     return tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % buckets for p in parts)
 
 
+#: One step of a CRC-32, by the byte; code points of a word that are hashed beside those of others.
+_STEP, LONGEST = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32), 32
+_STEP = (_STEP ^ _STEP[0]).astype(np.uint32)
+
+
+def _crc_step(crc: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return _STEP[(crc ^ byte) & 255] ^ (crc >> 8)
+
+
+def _crc_of(first: str, points: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """CRC-32 of ``first`` and the first ``n`` code points of each row, all below 0x800, in UTF-8."""
+    crc = np.full(len(points), zlib.crc32(first.encode()) ^ 0xFFFFFFFF, np.uint32)
+    for k in range(points.shape[1]):
+        at = np.flatnonzero(n > k)
+        if not len(at):
+            break
+        c, own = points[at, k], crc[at]
+        wide = c > 127
+        own = _crc_step(own, np.where(wide, 0xC0 | c >> 6, c))
+        crc[at] = np.where(wide, _crc_step(own, 0x80 | c & 63), own)
+    return crc ^ np.uint32(0xFFFFFFFF)
+
+
+def features_of(words: list[str], buckets: int) -> np.ndarray:
+    """``features`` of many words, a row each; those of usual letters and length are hashed side by side."""
+    out = np.empty((len(words), N_FEATURES), np.int64)
+    for lo in range(0, len(words), 8192):
+        part = [w.strip(_EDGES) or w for w in words[lo : lo + 8192]]
+        n = np.fromiter(map(len, part), np.int64, len(part))
+        points = np.array([w[:LONGEST] for w in part], f"U{LONGEST}").view(np.uint32).reshape(-1, LONGEST)
+        plain = (n <= LONGEST) & (points.max(1) < 0x800)
+        own, rows = out[lo : lo + 8192], np.flatnonzero(plain)
+        points, n = points[rows], n[rows]
+        begin = np.maximum(n - 4, 0)
+        last = points[np.arange(len(rows))[:, None], np.minimum(begin[:, None] + np.arange(4), LONGEST - 1)]
+        found = [_crc_of("=", points, n), *[_crc_of(str(k), points[:, :k], np.minimum(n, k)) for k in (3, 4, 5, 6)], _crc_of("-", last, n - begin)]
+        own[rows] = np.stack(found, 1) % np.uint32(buckets)
+        for k in np.flatnonzero(~plain):
+            own[k] = features(part[k], buckets)
+    return out
+
+
 N_FEATURES = len(features("x", 2))
 
 
@@ -123,39 +165,48 @@ def _pooled(table: np.ndarray, ids: np.ndarray, starts: np.ndarray, bias: np.nda
 class Words(dict):
     """word -> row of the table of filter products; bounded, then it starts anew."""
 
-    def __init__(self, model: Model, most: int = 50_000):
+    def __init__(self, model: Model, most: int = 60_000):
         super().__init__()
         self.model, self.most = model, most
         self.flat = model.kernels.transpose(1, 0, 2).reshape(model.kernels.shape[1], -1)
         self.table = np.zeros((1024, len(TAPS), model.kernels.shape[2]), np.float32)  # row 0 is padding
+        self.lang = np.zeros((1024, len(LANGUAGES)), np.int32)  # whose function word it is
         self.used = 1
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
+        new = list(words.difference(self))
+        if len(self) + len(new) > self.most:  # those that are met now are kept, frequent ones are met again
+            kept = list(words.difference(new))
+            rows = np.fromiter(map(self.__getitem__, kept), np.int64, len(kept))
+            self.table[1 : len(kept) + 1] = self.table[rows]
+            self.lang[1 : len(kept) + 1] = self.lang[rows]
             self.clear()
-            self.used, new = 1, list(words)
+            self.used = len(kept) + 1
+            self.update(zip(kept, range(1, self.used), strict=True))
         if not new:
             return
         if (need := self.used + len(new)) > len(self.table):
-            bigger = np.zeros((max(need, 2 * len(self.table)), *self.table.shape[1:]), np.float32)
-            bigger[: self.used] = self.table[: self.used]
-            self.table = bigger
-        rows = np.array([features(w, len(self.model.embedding)) for w in new])
+            more = max(need, 2 * len(self.table))
+            self.table, self.lang = (np.concatenate([x[: self.used], np.zeros((more - self.used, *x.shape[1:]), x.dtype)]) for x in (self.table, self.lang))
+        rows = features_of(new, len(self.model.embedding))
         vectors = self.model.embedding[rows].sum(1)
         self.table[self.used : need] = (vectors @ self.flat).reshape(len(new), *self.table.shape[1:])
+        self.lang[self.used : need] = 0
+        for k, w in enumerate(new):
+            if w in _ANY:
+                self.lang[self.used + k] = [w in of for of in _SETS]
         self.update(zip(new, range(self.used, need), strict=True))
         self.used = need
 
 
-def guess_language(words: list[str]) -> int:
-    """The place in LANGUAGES of the most frequent function words, or after them."""
-    counts = [sum(map(of.__contains__, words)) for of in _SETS]
-    best = max(counts)
-    return counts.index(best) if best else len(LANGUAGES)
+def guessed_languages(lang: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each text the place in LANGUAGES of the most frequent function words, or after them; ``lang``: word, language."""
+    counts = np.add.reduceat(lang, starts, axis=0)
+    return np.where(counts.any(1), counts.argmax(1), len(LANGUAGES))
 
 
 _SETS = [frozenset(FUNCTION_WORDS[lang]) for lang in LANGUAGES]
+_ANY = frozenset().union(*_SETS)
 
 
 def _flat(split: list[list[str]], of: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +223,7 @@ def _flat(split: list[list[str]], of: dict[str, int]) -> tuple[np.ndarray, np.nd
 def logits(texts: list[str | None], model: Model, known: Words) -> tuple[np.ndarray, np.ndarray]:
     """Logits and language guesses of whole texts."""
     split = [split_words(t) for t in texts]
-    out, lo = [], 0
+    out, langs, lo = [], [], 0
     while lo < len(split):  # some tens of thousands of words at once
         hi, n = lo, 0
         while hi < len(split) and (hi == lo or n + len(split[hi]) < 60_000):
@@ -182,8 +233,9 @@ def logits(texts: list[str | None], model: Model, known: Words) -> tuple[np.ndar
         known.learn(set().union(*part))
         ids, starts = _flat(part, known)
         out.append(_pooled(known.table, ids, starts, model.bias) @ model.out + model.out_bias)
+        langs.append(guessed_languages(known.lang[ids], starts))
         lo = hi
-    return np.concatenate(out) if out else np.zeros(0), np.array([guess_language(w) for w in split], np.int64)
+    return (np.concatenate(out), np.concatenate(langs)) if out else (np.zeros(0), np.zeros(0, np.int64))
 
 
 #: Texts of a step, and words of theirs unless it is one text.
@@ -283,8 +335,7 @@ class Adam:
         vocabulary: dict[str, int] = {}
         docs = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in split_words(t)], np.int32) for t in texts]
         feats = np.zeros((len(vocabulary) + 1, N_FEATURES), np.int32)
-        for w, k in vocabulary.items():
-            feats[k] = features(w, s.buckets)
+        feats[1:] = features_of(list(vocabulary), s.buckets)
         weight = np.where(toxic == 1, ratio, 1.0)
         for _ in range(epochs):
             r.shuffle(train)

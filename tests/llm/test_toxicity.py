@@ -117,3 +117,28 @@ def test_cuts_from_counts_are_those_from_rows():
     each, n = np.unique(np.stack([y, lang, toxic]), axis=1, return_counts=True)
     assert np.isfinite(toxicity.calibrated(each[0], each[1].astype(int), each[2].astype(int), n)).all()
     assert np.allclose(toxicity.calibrated(y, lang, toxic), toxicity.calibrated(y, lang, toxic, np.ones(600, int)))
+
+
+def test_words_hashed_side_by_side_have_the_same_features():
+    words = ["a", "...", "été!", "«ñandú»", "straße", "q" * 32, "q" * 33, "日本語", "€uro", "x\x00", "\x00", "\ud800", "𝄞clef", "ı", "abc", "abcd", "abcdefg", "߿", "ࠀ"]
+    for buckets in (1 << 14, 1 << 16, 1 << 31):
+        assert toxicity.features_of(words, buckets).tolist() == [list(toxicity.features(w, buckets)) for w in words]
+    assert toxicity.features_of([], 8).shape == (0, toxicity.N_FEATURES)
+
+
+def test_a_full_table_keeps_the_words_that_are_met_again():
+    s = toxicity.Settings(buckets=64, width=4, filters=2)
+    model = toxicity._model(toxicity._started(s, np.random.default_rng(3)))
+    known, fresh = toxicity.Words(model, most=40), []
+    learnt = toxicity.features_of
+    try:
+        toxicity.features_of = lambda words, buckets: (fresh.extend(words), learnt(words, buckets))[1]
+        for k in range(30):
+            texts = [" ".join(["the", "and", "der", "das", "und", *[f"w{k}x{i}" for i in range(10)]]), "die der el", None, f"x{k}"]
+            y, lang = toxicity.logits(texts, model, known)
+            want, guessed = toxicity.logits(texts, model, toxicity.Words(model))
+            assert np.allclose(y, want, atol=1e-5) and lang.tolist() == guessed.tolist() == [0, 0, 4, 4]
+            assert len(known) <= 40
+    finally:
+        toxicity.features_of = learnt
+    assert fresh.count("the") == 31  # once in the small table, and in each new one
