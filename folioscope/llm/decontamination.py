@@ -90,7 +90,7 @@ class Buckets(dict):
         self.buckets = buckets
 
     def __missing__(self, word: str) -> int:
-        k = self[word] = bucket(word, self.buckets)
+        k = self[word] = zlib.crc32((word.strip(_EDGES) or word).encode("utf-8", "surrogatepass")) % self.buckets  # as ``bucket``, without a call
         return k
 
 
@@ -201,7 +201,7 @@ def _frequencies(docs: DataFrame, s: Settings, base: str) -> tuple[np.ndarray, i
             for raw in batch.column(0).to_pylist():
                 ids = np.frombuffer(raw, kind)
                 wide += -(-len(ids) // (2 * s.step))
-                total[np.unique(ids)] += 1  # a bucket once, however many of the words it has
+                total[ids] += 1  # a bucket once, however many of the words it has: repeated places are set once
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(met, [-1, -2])), pa.array(np.append(total[met], [rows, wide]))], names=["b", "n"])
 
@@ -232,9 +232,15 @@ def orthonormal(a: np.ndarray) -> np.ndarray:
 def _add_product(out: np.ndarray, ids: np.ndarray, starts: np.ndarray, weight: np.ndarray, idf: np.ndarray, own: np.ndarray) -> None:
     """Adds ``A' A own`` of some passages, each one word or more; ``starts``: where they begin in ``ids``."""
     ends = np.append(starts[1:], len(ids))
+    here, rank = np.zeros(len(idf), bool), np.empty(len(idf), np.int64)
     for lo in range(0, len(starts), FIT_PASSAGES):  # a few passages at once have few different buckets
         begin, end, w = starts[lo : lo + FIT_PASSAGES], ends[lo : lo + FIT_PASSAGES], weight[lo : lo + FIT_PASSAGES]
-        met, at = np.unique(ids[begin[0] : end[-1]], return_inverse=True)
+        part = ids[begin[0] : end[-1]]
+        here[part] = True
+        met = np.flatnonzero(here)
+        here[met] = False
+        rank[met] = np.arange(len(met))
+        at = rank[part]
         place = np.repeat(np.arange(len(begin)), end - begin)
         x = np.bincount(place * len(met) + at, minlength=len(begin) * len(met)).reshape(len(begin), -1).astype(np.float32)
         x *= idf[met]

@@ -186,3 +186,23 @@ def test_windows_of_buckets_are_those_of_words():
     vectors, begin = d._vectors([np.array([d.bucket(w, len(space)) for w in words], np.uint16) for words in texts], space, step)
     for k, words in enumerate(texts):
         assert np.allclose(vectors[begin[k] : begin[k + 1]], d.windows(words, d.Vectors(space), step), atol=1e-4)
+
+
+def test_products_of_passages_need_no_sorting(monkeypatch):
+    """The product over passages is that of their dense matrix, and buckets are gathered without a sort."""
+    r = np.random.default_rng(4)
+    sizes = r.integers(1, 40, 200)
+    starts, ids = np.append(0, np.cumsum(sizes)[:-1]), r.integers(0, 500, sizes.sum())
+    weight, idf, own = r.random(200).astype(np.float32), r.random(512).astype(np.float32) + 0.1, r.normal(size=(512, 9)).astype(np.float32)
+    x = np.zeros((200, 512))
+    np.add.at(x, (np.repeat(np.arange(200), sizes), ids), 1)
+    x *= idf
+    x *= weight[:, None] / np.linalg.norm(x, axis=1)[:, None]
+
+    def sorts(*a, **k):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(np, "unique", sorts)
+    out = np.zeros((512, 9), np.float32)
+    d._add_product(out, ids, starts, weight, idf, own)
+    assert np.allclose(out, x.T @ (x @ own), atol=1e-4)
